@@ -23,6 +23,7 @@ def instant_micros(c: Column | str) -> Column:
     s = F.regexp_replace(F.regexp_replace(s, r"(\d):(?=$|[.,Z+ -])", "$1"), r"(\d),(\d)", "$1.$2")
     s = F.regexp_replace(s, r"(?<=\d)\s+(?=Z|UTC|[+-]\d)", "")
     s = F.regexp_replace(F.regexp_replace(s, r"(UTC|GMT)$", "Z"), r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
+    s = F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2}[T ]\d{1,2}:\d{2})(?=$|Z|[+-])", "$1:00")
     s = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(s, F.lit("T00:00:00Z"))).when(
         s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?$"), F.concat(s, F.lit("Z"))
     ).otherwise(s)
