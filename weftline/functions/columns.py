@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,17 +19,30 @@ def instant_micros(c: Column | str) -> Column:
     texts give null. Does not depend on the session's time zone.
     """
     c = F.col(c) if isinstance(c, str) else c
-    s = F.upper(F.trim(c))
-    s = F.regexp_replace(s, r"^(\d{4})[/.-]?(\d{2})[/.-]?(\d{2})(?=$|[T ])", "$1-$2-$3")
-    s = F.regexp_replace(s, r"[T ]\s*(\d{2})(\d{2})(\d{2})?(?=$|[.,Z+ -])", "T$1:$2:$3")
-    s = F.regexp_replace(F.regexp_replace(s, r"(\d):(?=$|[.,Z+ -])", "$1"), r"(\d),(\d)", "$1.$2")
-    s = F.regexp_replace(s, r"(?<=\d)\s+(?=Z|UTC|[+-]\d)", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"(UTC|GMT)$", "Z"), r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
-    s = F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2}[T ]\d{1,2}:\d{2})(?=$|Z|[+-])", "$1:00")
-    s = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(s, F.lit("T00:00:00Z"))).when(
-        s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?$"), F.concat(s, F.lit("Z"))
-    ).otherwise(s)
-    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{1,2}:.*(Z|[+-]\d{1,2}(:\d{2})?)$"), F.unix_micros(s.try_cast("timestamp")))
+    def plain(s: Column) -> Column:
+        s = F.upper(F.trim(s))
+        s = F.regexp_replace(s, r"^(\d{4})[/.-]?(\d{2})[/.-]?(\d{2})(?=$|[T ])", "$1-$2-$3")
+        s = F.regexp_replace(s, r"[T ]\s*(\d{2})(\d{2})(\d{2})?(?=$|[.,Z+ -])", "T$1:$2:$3")
+        s = F.regexp_replace(F.regexp_replace(s, r"(\d):(?=$|[.,Z+ -])", "$1"), r"(\d),(\d)", "$1.$2")
+        s = F.regexp_replace(s, r"(?<=\d)\s+(?=Z|UTC|[+-]\d)", "")
+        s = F.regexp_replace(F.regexp_replace(s, r"(UTC|GMT)$", "Z"), r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
+        return F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2}[T ]\d{1,2}:\d{2})(?=$|Z|[+-])", "$1:00")
+
+    def zoned(s: Column) -> Column:
+        return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(s, F.lit("T00:00:00Z"))).when(
+            s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?$"), F.concat(s, F.lit("Z"))
+        ).otherwise(s)
+
+    def micros(s: Column) -> Column:
+        return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{1,2}:.*(Z|[+-]\d{1,2}(:\d{2})?)$"), F.unix_micros(s.try_cast("timestamp")))
+
+    clean = c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$")  # the usual case needs no repair
+    return F.when(clean, F.unix_micros(c.try_cast("timestamp"))).otherwise(once(once(once(c, plain), zoned), micros))
+
+
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f uses it (expressions are otherwise copied)."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), 0)
 
 
 def sorted_set(c: Column | str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import Scratch
+
 HOT_SHARE = 1 / 1000  # so at most 1,000 keys can be hot: the proven bound of what is broadcast
 
 
@@ -40,13 +42,12 @@ def block_pairs(members: DataFrame, key: str, member: str, block: int = 1000, di
     only pairs whose values in that column differ are returned. Members are distinct by
     (key, member[, differ]); null keys and members give no pair.
     """
-    cols = [key, member, *([differ] if differ else [])]
-    m = members.select(*cols).filter(F.col(key).isNotNull() & F.col(member).isNotNull()).distinct()
-    if differ:  # groups with one form have no pair
-        sizes = m.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(differ).alias("_lo"), F.max(differ).alias("_hi")).filter("_lo < _hi").select(key, "_n")
-    else:
-        sizes = m.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    m = m.join(sizes, key).withColumn("_nb", F.ceil(F.col("_n") / block).cast("int"))
+    scratch = Scratch(members.sparkSession, "pairs")
+    m = members.select(key, member, *([differ] if differ else [])).filter(F.col(key).isNotNull() & F.col(member).isNotNull()).distinct()
+    lo, hi = (F.min(differ), F.max(differ)) if differ else (F.min(member), F.max(member))
+    sizes = m.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), lo.alias("_lo"), hi.alias("_hi")).filter("_lo < _hi").select(key, "_n")
+    m = scratch.write(join_unique(m, sizes, key, "inner"), "members")  # only groups with a pair are left
+    m = m.withColumn("_nb", F.ceil(F.col("_n") / block).cast("int"))
     m = m.withColumn("_b", F.pmod(F.xxhash64(member), F.col("_nb")).cast("int"))
     lhs = m.withColumn("_o", F.explode(F.sequence(F.col("_b"), F.col("_nb") - 1)))
     lhs = lhs.select(key, F.col("_b").alias("_i"), F.col("_o").alias("_j"), F.col(member).alias("_x"), *([F.col(differ).alias("_dx")] if differ else []))
