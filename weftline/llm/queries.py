@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import lookalike, radix, survivor
+from weftline.llm import lookalike, mixing, packing, radix, residue, survivor
 from weftline.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +17,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_records": lambda s, d: survivor.surviving_records(table(s, d, "institution_records"), table(s, d, "source_trust")),
     "p6_found": lambda s, d: lookalike.look_alikes_found(table(s, d, "works"), table(s, d, "institutions")),
     "p6_forms": lambda s, d: lookalike.unified_names(table(s, d, "works"), table(s, d, "institutions")),
+    "p8_pack": lambda s, d: packing.pack_documents(table(s, d, "documents"), table(s, d, "pack_capacities")),
+    "p8_summary": lambda s, d: packing.packing_summary(table(s, d, "documents"), table(s, d, "pack_capacities")),
+    "p9_mix": lambda s, d: mixing.mixed_documents(table(s, d, "documents"), table(s, d, "mix_targets")),
+    "p9_shares": lambda s, d: mixing.mixed_shares(table(s, d, "documents"), table(s, d, "mix_targets")),
+    "p10_found": lambda s, d: residue.residue_found(table(s, d, "documents")),
+    "p10_scores": lambda s, d: residue.judge_documents(table(s, d, "documents")),
+    "p10_clean": lambda s, d: residue.clean_documents(table(s, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {}
