@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftline.plans import data_queries
+from weftline.plans import data_queries, network_oracles, network_queries
 
-QUERIES = {**data_queries.QUERIES}
-ORACLES = {**data_queries.ORACLES}
-FLAGSHIP = data_queries.QUERIES["p7_found"]
+QUERIES = {**data_queries.QUERIES, **network_queries.QUERIES}
+ORACLES = {**data_queries.ORACLES, **network_oracles.ORACLES}
+FLAGSHIP = network_queries.QUERIES["edg3_edges_year"]

@@ -59,6 +59,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._paths: list[str] = []
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
@@ -66,12 +67,21 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._weftline_path = path
+        self._paths.append(path)
         return out
 
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def intact(self) -> bool:
+        """Whether every table written so far, and not dropped, is still there."""
+        return all(fs.exists(p) for fs, p in map(self._fs, self._paths))
+
     def drop(self, *tables: DataFrame | None) -> None:
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
             path = getattr(t, "_weftline_path", None)
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            if path in self._paths:
+                fs, p = self._fs(path)
+                fs.delete(p, True)
+                self._paths.remove(path)
