@@ -47,7 +47,8 @@ def weighted_percentile(c: DataFrame, keys: list[str], value: str, q: float, n:
     want = F.greatest(F.lit(1), F.ceil(F.col("_all") * q))
     pick = run.withColumn("_want", want).filter((F.col("_to") >= F.col("_want")) & (F.col("_to") - F.col("_n") < F.col("_want")))
     pick = pick.select(*keys, "_s", (F.col("_want") - (F.col("_to") - F.col("_n"))).alias("_left"))
-    inside = ok.join(pick, [*keys, "_s"]).groupBy(*keys, "_left", value).agg(F.sum(n).alias("_n"))
+    same = [ok[k].eqNullSafe(pick[k]) for k in keys]  # a null key is a key
+    inside = ok.join(pick, [*same, ok["_s"] == pick["_s"]]).select(ok["*"], pick["_left"]).groupBy(*keys, "_left", value).agg(F.sum(n).alias("_n"))
     inside = inside.withColumn("_to", F.sum("_n").over(w.orderBy(value)))
     return inside.filter("_to >= _left").groupBy(*keys).agg(F.min(value).alias(f"{value}_p{round(q * 100)}"))
 
