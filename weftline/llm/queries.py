@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import lookalike, mixing, packing, radix, residue, survivor
+from weftline.plans.network_oracles import sid
 from weftline.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -26,4 +27,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_clean": lambda s, d: residue.clean_documents(table(s, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {}
+# The same results in SQL where SQL can say them, for the correctness check.
+_T = r"regexp_replace(lower(upper({})), '[\p{{P}}\p{{Z}}\p{{Cc}}\p{{Cf}}\s$+<=>^`|~]', '', 'g')"
+_DOI = r"regexp_replace(lower(doi), '(?s)^.*?(10\.\d+)', '\1')"
+_KEYS = f"SELECT DISTINCT work_id, {_T.format('title')} AS t, coalesce({_T.format(_DOI)}, '') AS d FROM works WHERE title IS NOT NULL AND work_id IS NOT NULL"
+
+
+def _stand_in(field: str) -> str:
+    x = "lower(x)"
+    if field == "source_ror_ids":
+        x = r"regexp_replace(trim(lower(x)), '^(?:[a-z]+://)?(?:www\.)?ror\.[a-z]+/*|^[a-z]+://[^/]*/*', '', 'g')"
+    bare = rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}]', '', 'g')"
+    bad = [*survivor.STAND_INS, *([survivor.NO_COUNTRY] if field == "source_country_codes" else [])]
+    return f"{bare} IN ({', '.join(repr(b) for b in bad)})"
+
+
+def _usable(field: str) -> str:
+    return f"SELECT {sid('institution_id')} AS institution_id, '{field}' AS field_name, record_id, metadata_source, openalex_updated_date FROM institution_records WHERE len(list_filter({field}, lambda x: x IS NOT NULL AND NOT ({_stand_in(field)}))) > 0"
+
+
+_DAY = "replace(trim(openalex_updated_date), '/', '-')"
+_AT = f"epoch_us(TRY_CAST(CASE WHEN regexp_matches({_DAY}, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN {_DAY} WHEN length({_DAY}) = 10 THEN {_DAY} || ' 00:00:00+00' ELSE {_DAY} || '+00' END AS TIMESTAMPTZ))"
+_LOOK = lookalike.look_alikes()
+_FROM, _TO = "".join(map(chr, _LOOK)), "".join(map(chr, _LOOK.values()))
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)).replace("'", "''")
+_ASCII = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+
+
+def _form(c: str) -> str:
+    """One visual form by SQL: enough for the characters of this data, without the full decomposition tables."""
+    plain = rf"regexp_replace(regexp_replace({c}, '\p{{Cf}}', '', 'g'), '[\p{{Z}}\s]+', ' ', 'g')"
+    parts = f"replace(replace(replace({plain}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'Ⅱ', 'II')"
+    return f"trim(nfc_normalize(translate(translate({parts}, '{_WIDE}', '{_ASCII}'), '{_FROM}', '{_TO}')))"
+
+
+def _pairs(field: str, table_name: str, key: str, text: str) -> str:
+    rows = rf"SELECT DISTINCT {key} AS k, {_form(text)} AS f, trim(regexp_replace({text}, '[ \t\r\n\v\f]+', ' ', 'g')) AS p FROM {table_name} WHERE {text} IS NOT NULL"
+    return f"SELECT DISTINCT '{field}' AS field_name, a.k AS key_a, b.k AS key_b FROM ({rows}) AS a JOIN ({rows}) AS b ON a.f = b.f AND a.p <> b.p AND a.k < b.k"
+
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"WITH k AS ({_KEYS}) SELECT DISTINCT a.work_id AS work_id_a, b.work_id AS work_id_b FROM k AS a JOIN k AS b ON a.t = b.t AND a.d = b.d AND a.work_id < b.work_id",
+    "p1_membership": f"SELECT work_id, min(work_id) OVER (PARTITION BY t, d) AS representative_work_id, count(*) OVER (PARTITION BY t, d) AS work_id_count FROM ({_KEYS}) AS k",
+    "p3_found": f"""WITH u AS ({' UNION ALL '.join(map(_usable, survivor.FIELDS))}), b AS (SELECT u.*, row_number() OVER (PARTITION BY institution_id, field_name ORDER BY t.trust_rank ASC NULLS LAST, {_AT} DESC NULLS LAST, record_id) AS k FROM u LEFT JOIN source_trust AS t USING (metadata_source) WHERE institution_id IS NOT NULL)
+        SELECT institution_id, field_name, record_id FROM b WHERE k = 1 AND institution_id IN (SELECT {sid('institution_id')} FROM institution_records GROUP BY 1 HAVING count(DISTINCT record_id) > 1)""",
+    "p6_found": _pairs("works.title", "works", "work_id", "title") + " UNION ALL " + _pairs("institutions.display_name", "institutions", "institution_id", "display_name"),
+}
