@@ -28,7 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 # The same results in SQL where SQL can say them, for the correctness check.
-_T = r"regexp_replace(lower(upper({})), '[\p{{P}}\p{{Z}}\p{{Cc}}\p{{Cf}}\s$+<=>^`|~]', '', 'g')"
+_T = r"regexp_replace(translate(replace(lower(upper({})), 'ß', 'ss'), 'ς', 'σ'), '[\p{{P}}\p{{Z}}\p{{Cc}}\p{{Cf}}\s$+<=>^`|~]', '', 'g')"
 _DOI = r"regexp_replace(lower(doi), '(?s)^.*?(10\.\d+)', '\1')"
 _KEYS = f"SELECT DISTINCT work_id, {_T.format('title')} AS t, coalesce({_T.format(_DOI)}, '') AS d FROM works WHERE title IS NOT NULL AND work_id IS NOT NULL"
 

@@ -21,7 +21,8 @@ STEP = 6  # bytes that a further split looks at
 
 def canonical_text(c: Column | str) -> Column:
     """Text without white space, case and punctuation; accents, letters, marks and digits stay. Null stays null."""
-    return F.regexp_replace(F.lower(F.upper(c)), r"[\p{P}\p{Z}\p{Cc}\p{Cf}\s$+<=>^`|~]", "")
+    folded = F.translate(F.replace(F.lower(F.upper(c)), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    return F.regexp_replace(folded, r"[\p{P}\p{Z}\p{Cc}\p{Cf}\s$+<=>^`|~]", "")
 
 
 def canonical_doi(c: Column | str) -> Column:

@@ -18,7 +18,7 @@ from weftline.session import Scratch
 BUCKETS = 1 << 18
 FIT_DOCS = 40_000  # most documents that the models are fitted on, taken by hash; all documents are scored
 EM_ROUNDS = 5
-MASS = 300.0  # pseudo-counts that pull a word's odds to the whole collection's
+SHRINK = 0.015  # pseudo-counts, as a share of each class, that pull a word's odds to the whole collection's
 JUNK, CONTENT, SLOT = 2.0, -20.0, -8.0  # log odds from which a passage speaks for or against residue, and a sign for a slot
 
 # Phrases that only residue uses (trusted records consist of nothing else). They are
@@ -32,7 +32,7 @@ TRUSTED_PHRASES = (
     r"goes here\.?$", r"^replace this text", r"^click here to edit", r"^todo\b", r"_placeholder\b", r"replace default text", r"default text\)$",
     r"^type your \w+", r"delete this line", r"^(?:saisir|écrire) ici", r"remplacer ce texte", r"^escriba aquí", r"(?:sustituya|reemplace) este texto", r"^hier steht d(?:ie|er|as)\b", r"bitte ersetzen", r"^escreva aqui", r"substitua este texto",
     r"^(?:lorem ipsum|sample text|dummy (?:text|paragraph)|this is filler|blindtext|texte d'exemple|texto de (?:relleno|ejemplo|exemplo))",
-    r"verify (?:that )?you are (?:human|not a robot)", r"(?:service|site|page|address|item) (?:has been|was) (?:retired|removed|moved|withdrawn|blocked)", r"no content is available", r"your address has been blocked", r"rate limit",
+    r"verify (?:that )?you are (?:human|not a robot)", r"(?:service|site|page|address|item) (?:has been|was) (?:retired|removed|moved|withdrawn|blocked)", r"no content is available", r"your address has been blocked", r"rate limit", r"not found on this server", r"do not have permission to access", r"down for maintenance",
     r"can(?:no|')t find the (?:record|page|item)", r"(?:internal|interner|interne|interno) (?:server )?(?:error|fehler|erro)\b", r"^(?:erreur|error|erro) intern[eo]",
 )
 # Common function words; eight words without one of them are no prose of these languages.
@@ -211,10 +211,11 @@ def fit(docs: DataFrame, scratch: Scratch, fit_docs: int = FIT_DOCS, rounds: int
 
 
 def _odds(neg: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Log odds of each feature, drawn to the collection's by ``MASS``; features seen less than three times say nothing."""
+    """Log odds of each feature, drawn to the collection's; features seen less than three times say nothing."""
     total = neg + pos
     q = total / max(1.0, total.sum())
-    w = np.log((pos + MASS * q + 1e-9) / (pos.sum() + MASS)) - np.log((neg + MASS * q + 1e-9) / (neg.sum() + MASS))
+    a, b = max(1.0, SHRINK * pos.sum()), max(1.0, SHRINK * neg.sum())
+    w = np.log((pos + a * q + 1e-9) / (pos.sum() + a)) - np.log((neg + b * q + 1e-9) / (neg.sum() + b))
     return np.where(total < 3, 0.0, np.clip(w, -4.0, 4.0)).astype(np.float32)
 
 
