@@ -70,4 +70,4 @@ def top_one(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     from pyspark.sql import Window
 
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rn", rn).filter("_rn = 1").drop("_rn")
+    return df.withColumn("__weftline_rank__", rn).filter("__weftline_rank__ = 1").drop("__weftline_rank__")
