@@ -65,7 +65,7 @@ def pagerank(g: DataFrame, damping: float = 0.85, tolerance: float = 1e-13, roun
 
 
 def pagerank_distributed(e: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
-    """The same by joins, for views of any size; ``rounds`` power iterations, each written once."""
+    """The same by joins, for views of any size; ``rounds`` power iterations, each written once (error below 2 * damping ** rounds)."""
     scratch = Scratch(e.sparkSession, "pagerank")
     ends = e.select(*VIEW, F.col("fractional_count").alias("w"), F.explode(F.array(F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b")))).alias("x")).select(*VIEW, "w", "x.*")
     strength = ends.groupBy(*VIEW, "a").agg(F.sum("w").alias("s"))
