@@ -179,12 +179,12 @@ def hash_sample(df: DataFrame, stratum: list[str], key: str, n: int, seed: str)
 
 def lexical_topic_scores(registry: DataFrame, terms: list[str]) -> DataFrame:
     """Topics by token overlap with search terms: 0.55 name + 0.25 field + 0.2 domain, + 0.25 if the name holds the term, at most 1."""
-    spark = registry.sparkSession
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+)"), 1))
-    t = spark.createDataFrame([(x,) for x in terms], "term string").withColumn("tw", words("term"))
-    r = registry.select("topic_id", "display_name", words("display_name").alias("nw"), words("subfield_name").alias("fw"), words("domain_name").alias("dw"))
+    asked = F.explode(F.array(*[F.lit(t) for t in terms])) if terms else F.explode(F.array().cast("array<string>"))
+    r = registry.select("topic_id", "display_name", words("display_name").alias("nw"), words("subfield_name").alias("fw"), words("domain_name").alias("dw"), asked.alias("term"))
+    r = r.withColumn("tw", words("term"))
     part = lambda c: F.size(F.array_intersect("tw", c)) / F.greatest(F.lit(1), F.size("tw"))
     exact = F.when(F.contains(F.lower("display_name"), F.lower("term")), 0.25).otherwise(0.0)
     score = F.least(F.lit(1.0), 0.55 * part("nw") + 0.25 * part("fw") + 0.2 * part("dw") + exact)
-    s = r.join(F.broadcast(t)).withColumn("score", F.round(score, 6)).filter("score > 0")
+    s = r.withColumn("score", F.round(score, 6)).filter("score > 0")
     return s.groupBy("topic_id", "display_name").agg(F.max("score").alias("evidence"), F.count(F.lit(1)).alias("term_count"))

@@ -20,7 +20,7 @@ def matrix(flows: DataFrame) -> DataFrame:
     g = flows.select("geographic_level", F.explode(F.array("source_geography", "target_geography")).alias("g")).distinct().withColumn("o", F.dense_rank().over(Window.partitionBy("geographic_level").orderBy("g")))
     out = flows
     for side in ("source", "target"):
-        out = out.join(F.broadcast(g.select("geographic_level", F.col("g").alias(f"{side}_geography"), F.col("o").alias(f"{side}_order"))), ["geographic_level", f"{side}_geography"])
+        out = out.join(g.select("geographic_level", F.col("g").alias(f"{side}_geography"), F.col("o").alias(f"{side}_order")), ["geographic_level", f"{side}_geography"])
     return out.withColumn("cell_status", F.lit("observed_nonzero"))
 
 

@@ -20,8 +20,11 @@ def query_plan(topics: DataFrame, countries: DataFrame, first_year: int, last_ye
     if first_year > last_year:
         raise ValueError("the first year is after the last")
     t, c = _shards(topics, "topic_id", topic_shard, "topic_shard"), _shards(countries, "country_code", country_shard, "country_shard")
-    years = topics.sparkSession.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
-    p = years.join(F.broadcast(t)).join(F.broadcast(c))
+    shards = c.limit(1001).collect()  # settings: a few hundred countries in shards
+    if len(shards) > 1000:
+        raise ValueError("more than 1,000 country shards")
+    each = F.explode(F.array(*[F.struct(F.lit(r.country_shard).alias("country_shard"), F.lit(r.country_codes).alias("country_codes")) for r in shards]))
+    p = t.withColumn("year", F.explode(F.sequence(F.lit(first_year), F.lit(last_year)))).withColumn("c", each).select("year", "topic_shard", "topic_ids", "c.*")
     return p.withColumn("query_id", F.sha2(F.concat_ws("|", F.col("year").cast("string"), "topic_ids", "country_codes"), 256))
 
 
