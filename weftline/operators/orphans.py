@@ -88,7 +88,8 @@ class OrphanTracker:
 
 
 def counts_by_month(opened: DataFrame) -> DataFrame:
-    month = F.date_format(F.timestamp_micros("citing_seen"), "yyyy-MM")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("citing_seen") / 86_400_000_000).cast("int"))  # in UTC, whatever the session's zone
+    month = F.date_format(day, "yyyy-MM")
     return opened.groupBy(month.alias("arrival_month"), "status").agg(
         F.count(F.lit(1)).alias("reference_count"), F.count_distinct("citing").alias("citing_work_count"), F.count_distinct("ref").alias("referenced_work_count")
     )
@@ -129,8 +130,7 @@ def track_works(works: DataFrame, tombstones: DataFrame, batches: int = 2, snaps
     for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
         tracker.step(part(seen, "seen", lo, hi), part(refs, "citing_seen", lo, hi), part(gone, "at", lo, hi).select("key"))
         if snapshots:
-            end = F.lit(None).cast("string") if hi is None else F.lit(hi)
-            shot = tracker.snapshot().withColumn("period", F.lit(i + 1)).withColumn("period_end", F.date_format(F.timestamp_micros(end.cast("long")), "yyyy-MM-dd HH:mm:ss"))
+            shot = tracker.snapshot().withColumn("period", F.lit(i + 1)).withColumn("period_end", F.timestamp_micros(F.lit(hi).cast("long")))
             shots.append(scratch.write(shot, "snapshot"))
     if snapshots:
         out = shots[0]
