@@ -62,7 +62,9 @@ told AS (SELECT id AS child, {sid("p", "I")} AS parent FROM (SELECT id, unnest(p
 link AS (SELECT a.own AS node, min(b.own) AS parent FROM told JOIN own AS a ON a.id = told.child JOIN own AS b ON b.id = told.parent WHERE a.own <> b.own GROUP BY 1),
 climb AS (SELECT node, parent AS here, 1 AS n FROM link UNION ALL SELECT c.node, l.parent, c.n + 1 FROM climb AS c JOIN link AS l ON l.node = c.here WHERE c.n < 3000 AND c.here <> c.node),
 ends AS (SELECT c.node, c.here, c.n FROM climb AS c WHERE NOT EXISTS (SELECT 1 FROM link AS l WHERE l.node = c.here))
-SELECT l.node AS institution_id, coalesce(e.here, 'CYCLE') AS root_institution_id, coalesce(e.n, -1)::INTEGER AS depth FROM link AS l LEFT JOIN ends AS e ON e.node = l.node"""
+@SELECT l.node AS institution_id, coalesce(e.here, 'CYCLE') AS root_institution_id, coalesce(e.n, -1)::INTEGER AS depth FROM link AS l LEFT JOIN ends AS e ON e.node = l.node"""
+_P2_STEPS, _P2_ROOTS = _P2.split("@")
+_ABOVE = "SELECT c.here AS institution_id, c.node AS descendant_id, c.n::INTEGER AS distance FROM climb AS c JOIN ends AS e ON e.node = c.node"
 
 _SEEN = f"SELECT {sid('work_id')} AS id, min(epoch_us(TRY_CAST(source_retrieved_at_utc AS TIMESTAMPTZ))) AS seen FROM works GROUP BY 1"
 _P4 = f"""WITH f AS ({_SEEN}), dead AS (SELECT DISTINCT {sid('work_id')} AS id FROM work_tombstones), r AS (SELECT DISTINCT {sid('work_id')} AS work_id, item_key AS ref FROM ({_flat_rows('reference')}) AS z WHERE item_key <> ''),
@@ -71,7 +73,11 @@ s AS (SELECT r.work_id, r.ref, a.seen, CASE WHEN dead.id IS NOT NULL THEN 'delet
 _ENDS = "SELECT 'source_id' AS endpoint, source_id AS institution_id, target_id AS partner_id, layer_weight FROM layer_edges UNION ALL SELECT 'target_id', target_id, source_id, layer_weight FROM layer_edges"
 
 ORACLES: dict[str, str] = {
-    "p2_found": _P2,
+    "p2_found": _P2_STEPS + _P2_ROOTS,
+    "p2_descendants": _P2_STEPS + _ABOVE,
+    "p2_hierarchy": _P2_STEPS + f"""SELECT o.own AS institution_id, CASE WHEN l.node IS NULL THEN o.own ELSE coalesce(e.here, 'CYCLE') END AS root_institution_id, CASE WHEN l.node IS NULL THEN 0 ELSE coalesce(e.n, -1) END::INTEGER AS depth,
+        CASE WHEN l.node IS NULL THEN [o.own] WHEN e.node IS NOT NULL THEN list_append((SELECT list(c.here ORDER BY c.n DESC) FROM climb AS c WHERE c.node = o.own), o.own) END AS path, CASE WHEN l.node IS NULL OR e.node IS NOT NULL THEN coalesce(d.n, 0) END AS descendant_count
+        FROM (SELECT DISTINCT own FROM own) AS o LEFT JOIN link AS l ON l.node = o.own LEFT JOIN ends AS e ON e.node = o.own LEFT JOIN (SELECT institution_id, count(*) AS n FROM ({_ABOVE}) AS a GROUP BY 1) AS d ON d.institution_id = o.own""",
     "p4_found": _P4 + "SELECT work_id, ref AS referenced_work_id, status FROM s WHERE status IS NOT NULL",
     "p4_counts": _P4 + "SELECT strftime(make_timestamp(seen), '%Y-%m') AS arrival_month, status, count(*) AS reference_count, count(DISTINCT work_id) AS citing_work_count, count(DISTINCT ref) AS referenced_work_count FROM s WHERE status IS NOT NULL GROUP BY 1, 2",
     "p5_found": f"SELECT endpoint, institution_id FROM ({_ENDS}) AS e WHERE institution_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) * 50 >= (SELECT count(*) FROM layer_edges)",

@@ -128,6 +128,15 @@ STEPS: dict[str, str] = {
     "fam": f"SELECT {V}, f AS topic_family, count(*) AS visible_edge_count, sum(full_count)::BIGINT AS full_count, sum(fractional_count) AS fractional_count, sum(distinct_work_count)::BIGINT AS edge_work_count_sum FROM (SELECT *, unnest(fams) AS f FROM edges) AS z GROUP BY ALL",
     "share": f"""SELECT *, endpoint_weight / sum(endpoint_weight) OVER (PARTITION BY {V}, geographic_level, geography) AS partner_share FROM (SELECT {V}, geographic_level, g AS geography, p AS partner, sum(fractional_count) AS endpoint_weight, sum(full_count)::DOUBLE AS full_weight FROM (SELECT {V}, geographic_level, source_geography AS g, target_geography AS p, fractional_count, full_count FROM flows
         UNION ALL SELECT {V}, geographic_level, target_geography, source_geography, fractional_count, full_count FROM flows) AS z GROUP BY ALL) AS y""",
+    "attr": " UNION ALL ".join(f"SELECT institution_id, '{c}' AS c, {c} AS v, count(*) AS n FROM ext WHERE {c} IS NOT NULL GROUP BY ALL" for c in ("ror_id", "display_name", "country_code", "institution_type")),
+    "mode": "SELECT institution_id, c, v, k, kinds FROM (SELECT *, row_number() OVER (PARTITION BY institution_id, c ORDER BY n DESC, v) AS k, count(*) OVER (PARTITION BY institution_id, c) AS kinds FROM attr) AS z WHERE k = 1",
+    "reg": "SELECT ror, arg_min(n, record_id) AS rname, arg_min(cc, record_id) AS rcc FROM (SELECT regexp_extract(lower(source_ror_ids[1]), '([0-9a-hj-km-np-tv-z]{9})/*$', 1) AS ror, record_id, coalesce(source_display_names[1], chr(0)) AS n, coalesce(source_country_codes[1], chr(0)) AS cc FROM institution_records WHERE metadata_source = 'registry_dump') AS z WHERE ror <> '' GROUP BY 1",
+    "reach": f"SELECT {V}, institution_id, institution_id AS other FROM outs UNION SELECT r.year, r.corpus_view, r.hierarchy_view, r.institution_id, s.partner_id FROM reach AS r JOIN sym AS s ON s.year = r.year AND s.corpus_view = r.corpus_view AND s.hierarchy_view = r.hierarchy_view AND s.institution_id = r.other",
+    "comp": f"SELECT {V}, institution_id, min(other) AS component_id FROM reach GROUP BY ALL",
+    "scoped": "SELECT publication_year AS year, corpus_view, hierarchy_view, scope_view, count(*) AS n FROM (SELECT *, unnest(['primary', 'expanded']) AS scope_view FROM (SELECT *, unnest(['strict', 'broad']) AS corpus_view FROM wi) AS y) AS z WHERE (CASE corpus_view WHEN 'strict' THEN strict_primary ELSE broad_primary END) AND (CASE scope_view WHEN 'primary' THEN is_primary_network_scope ELSE target AND analytical_scope IN ('primary', 'secondary') END) GROUP BY ALL",
+    "roll": f"SELECT y.*, (SELECT count(DISTINCT e.source_id || '|' || e.target_id) FROM edges AS e WHERE e.corpus_view = y.corpus_view AND e.hierarchy_view = y.hierarchy_view AND e.year BETWEEN y.year - 2 AND y.year) AS rolling_edge_count FROM (SELECT {V}, count(*) AS annual_edge_count FROM edges GROUP BY ALL) AS y",
+    "own": "SELECT * FROM scored WHERE corpus_view = 'broad' AND hierarchy_view = 'organization' AND source_region <> target_region",
+    "top": "SELECT source_id, target_id, sum(full_count)::BIGINT AS total_full_count, round(sum(fractional_count), 9) AS w, max(normalized_intensity) AS maximum_normalized_intensity, max(a5) / 5.0 AS maximum_persistence_5y, list_slice(list_sort(list_distinct(flatten(list(sample)))), 1, 10) AS ids, min(source_region) AS source_region, min(target_region) AS target_region, min(source_country) AS source_country, min(target_country) AS target_country FROM own GROUP BY 1, 2 ORDER BY w DESC, source_id, target_id LIMIT 50",
 }
 
 
@@ -223,6 +232,37 @@ ORACLES: dict[str, str] = {name: sql(text) for name, text in {
     "ext1_effective_partners": f"SELECT {N}, count(*) AS partner_count, round(exp(-sum(p * ln(p))), 6) AS effective_partner_count FROM (SELECT *, fractional_count / sum(fractional_count) OVER (PARTITION BY {N}) AS p FROM sym) AS z GROUP BY ALL",
     "ext2_repeat_partners": f"SELECT {N}, count(*) AS partner_count, count(*) FILTER (WHERE old) AS repeat_partner_count, round(count(*) FILTER (WHERE old) / count(*), 6) AS repeat_partner_ratio FROM (SELECT s.*, s.year > min(s.year) OVER (PARTITION BY corpus_view, hierarchy_view, institution_id, partner_id) AS old FROM sym AS s) AS z GROUP BY ALL",
     "ext3_percentile_rank": f"SELECT {N}, work_count, round(CASE WHEN n = 1 THEN 0.5 ELSE (rk + (ties - 1) / 2.0 - 1) / (n - 1) END, 6)::DOUBLE AS work_count_percentile FROM (SELECT {N}, work_count, rank() OVER (PARTITION BY {V} ORDER BY work_count) AS rk, count(*) OVER (PARTITION BY {V}, work_count) AS ties, count(*) OVER (PARTITION BY {V}) AS n FROM outs) AS z",
+    "mst1_master": "SELECT i.institution_id, max(m.v) FILTER (WHERE c = 'ror_id') AS ror_id, max(m.v) FILTER (WHERE c = 'display_name') AS display_name, max(m.v) FILTER (WHERE c = 'country_code') AS country_code, max(m.v) FILTER (WHERE c = 'institution_type') AS institution_type, any_value(i.n) AS assertion_work_count, array_to_string(list_sort(list_concat(list('conflicting_' || c) FILTER (WHERE kinds > 1), list_transform(list_filter(['country_code', 'display_name', 'institution_type', 'ror_id'], lambda q: NOT list_contains(coalesce(list(c) FILTER (WHERE c IS NOT NULL), []), q)), lambda q: 'missing_' || q))), ',') AS issues FROM (SELECT institution_id, count(*) AS n FROM ext GROUP BY 1) AS i LEFT JOIN mode AS m USING (institution_id) GROUP BY i.institution_id",
+    "ror2_enriched": """SELECT institution_id, CASE WHEN ror IS NULL THEN 'missing_ror_id' WHEN r_ror IS NULL THEN 'not_retrieved' ELSE 'enriched' END AS registry_status, CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN 'source' END AS coordinate_source, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
+        concat_ws(',', CASE WHEN r_ror IS NOT NULL AND nullif(rcc, chr(0)) <> country_code THEN 'country' END, CASE WHEN r_ror IS NOT NULL AND lower(nullif(rname, chr(0))) <> lower(display_name) THEN 'name' END) AS conflicts FROM (SELECT i.*, r.ror AS r_ror, r.rname, r.rcc FROM (SELECT *, nullif(regexp_extract(lower(ror_id), '([0-9a-hj-km-np-tv-z]{9})/*$', 1), '') AS ror FROM inst) AS i LEFT JOIN reg AS r ON r.ror = i.ror) AS z""",
+    "top1_lexical": """SELECT topic_id, display_name, max(score) AS evidence, count(*) AS term_count FROM (SELECT topic_id, display_name, round(least(1.0::DOUBLE, 0.55::DOUBLE * len(list_intersect(tw, nw)) / len(tw) + 0.25::DOUBLE * len(list_intersect(tw, fw)) / len(tw) + 0.2::DOUBLE * len(list_intersect(tw, dw)) / len(tw) + CASE WHEN contains(lower(display_name), term) THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END), 6) AS score
+        FROM (SELECT *, list_distinct(regexp_extract_all(term, '[a-z0-9]+')) AS tw FROM (SELECT topic_id, display_name, list_distinct(regexp_extract_all(lower(display_name), '[a-z0-9]+')) AS nw, list_distinct(regexp_extract_all(lower(subfield_name), '[a-z0-9]+')) AS fw, list_distinct(regexp_extract_all(lower(domain_name), '[a-z0-9]+')) AS dw, unnest(['flood exposure', 'remote sensing', 'land cover', 'network analysis']) AS term FROM topic_registry) AS y) AS x) AS z WHERE score > 0 GROUP BY 1, 2""",
+    "met5_components": f"SELECT {V}, component_id, count(*) AS size FROM comp GROUP BY ALL",
+    "met5_components_distributed": f"SELECT {V}, component_id, count(*) AS size FROM comp GROUP BY ALL",
+    "met5_graph": f"""SELECT {V}, node_count, {r('mean_degree', 'mean_full_strength', 'mean_fractional_strength')}, coalesce(edge_count, 0) AS edge_count, round(coalesce(a, 0.0), 6) AS cross_region_edge_share, round(coalesce(b, 0.0), 6) AS cross_region_fractional_weight_share, connected_component_count, round(coalesce(2.0::DOUBLE * coalesce(edge_count, 0) / nullif(node_count * (node_count - 1), 0), 0.0), 6) AS density, round(largest / node_count, 6) AS largest_component_share
+        FROM (SELECT {V}, count(*) AS node_count, avg(degree) AS mean_degree, avg(full_strength) AS mean_full_strength, avg(fractional_strength) AS mean_fractional_strength FROM nodes GROUP BY ALL) AS n LEFT JOIN (SELECT {V}, count(*) AS edge_count, avg((source_region <> target_region)::INTEGER) AS a, coalesce(sum(fractional_count) FILTER (WHERE source_region <> target_region), 0.0) / sum(fractional_count) AS b FROM edges GROUP BY ALL) AS e USING (year, corpus_view, hierarchy_view)
+        JOIN (SELECT {V}, count(*) AS connected_component_count, max(size) AS largest FROM (SELECT {V}, component_id, count(*) AS size FROM comp GROUP BY ALL) AS c0 GROUP BY ALL) AS c USING (year, corpus_view, hierarchy_view)""",
+    "sim3_coverage": f"""SELECT s.*, round(coalesce(x.t, 0.0), 6) AS expected_score, coalesce(v.n, 0) AS eligible_institution_count, coalesce(v.core, 0) AS core_institution_count, round(coalesce(v.w, 0.0), 6) AS vector_weight, coalesce(e.n, 0) AS selected_edge_count, coalesce(e.k, 0) AS threshold_eligible_pair_count, s.in_scope_institution_count - coalesce(v.n, 0) AS zero_vector_institution_count, coalesce(v.n, 0) - coalesce(v.core, 0) AS excluded_by_core_count,
+        round(coalesce(v.n, 0) / s.in_scope_institution_count, 6) AS eligible_share, coalesce(v.core, 0) * (coalesce(v.core, 0) - 1) // 2 AS candidate_pair_count, true AS score_reconciles FROM (SELECT {V}, count(DISTINCT institution_id) AS in_scope_institution_count FROM mem GROUP BY ALL) AS s LEFT JOIN (SELECT c.year, c.corpus_view, c.hierarchy_view, sum(t.topic_score) AS t FROM ctx AS c JOIN elig AS t ON t.work_id = c.work_id AND t.corpus_view = c.corpus_view GROUP BY ALL) AS x USING (year, corpus_view, hierarchy_view)
+        LEFT JOIN (SELECT {V}, count(DISTINCT institution_id) AS n, count(DISTINCT institution_id) FILTER (WHERE core) AS core, sum(topic_weight) AS w FROM vec GROUP BY ALL) AS v USING (year, corpus_view, hierarchy_view) LEFT JOIN (SELECT {V}, count(*) AS n, max(eligible) AS k FROM sims GROUP BY ALL) AS e USING (year, corpus_view, hierarchy_view)""",
+    "sen1_matrix": """SELECT comparison_id, baseline_label, alternative_label, round(a, 6) AS baseline_value, round(b, 6) AS alternative_value, round(b - a, 6) AS absolute_difference, round(abs(b - a) / greatest(abs(a), 1e-12), 6) AS absolute_relative_change, coalesce(abs(b - a) / greatest(abs(a), 1e-12) >= 0.2, false) AS major_change, CASE WHEN comparison_id = 'S08' THEN 'not_available_no_human_reviewed_registry' ELSE 'complete' END AS status FROM (
+        SELECT 'S01' AS comparison_id, 'strict' AS baseline_label, 'broad' AS alternative_label, (SELECT count(*)::DOUBLE FROM edges WHERE hierarchy_view = 'organization' AND corpus_view = 'strict') AS a, (SELECT count(*)::DOUBLE FROM edges WHERE hierarchy_view = 'organization' AND corpus_view = 'broad') AS b
+        UNION ALL SELECT 'S02', 'full count', 'fractional count', (SELECT sum(full_count)::DOUBLE FROM edges WHERE corpus_view = 'broad' AND hierarchy_view = 'organization'), (SELECT sum(fractional_count) FROM edges WHERE corpus_view = 'broad' AND hierarchy_view = 'organization')
+        UNION ALL SELECT 'S03', 'organization', 'umbrella', (SELECT count(*)::DOUBLE FROM edges WHERE corpus_view = 'broad' AND hierarchy_view = 'organization'), (SELECT count(*)::DOUBLE FROM edges WHERE corpus_view = 'broad' AND hierarchy_view = 'umbrella')
+        UNION ALL SELECT 'S04', 'annual', 'trailing 3-year union', (SELECT avg(annual_edge_count) FROM roll WHERE corpus_view = 'broad' AND hierarchy_view = 'organization'), (SELECT avg(rolling_edge_count) FROM roll WHERE corpus_view = 'broad' AND hierarchy_view = 'organization')
+        UNION ALL SELECT 'S05', 'include', 'exclude large consortia', (SELECT sum(fractional_weight) FROM pairs WHERE corpus_view = 'broad' AND hierarchy_view = 'organization'), (SELECT sum(fractional_weight) FROM pairs WHERE corpus_view = 'broad' AND hierarchy_view = 'organization' AND NOT is_large_consortium)
+        UNION ALL SELECT 'S06', 'primary', 'expanded', (SELECT sum(n)::DOUBLE FROM scoped WHERE corpus_view = 'broad' AND hierarchy_view = 'organization' AND scope_view = 'primary'), (SELECT sum(n)::DOUBLE FROM scoped WHERE corpus_view = 'broad' AND hierarchy_view = 'organization' AND scope_view = 'expanded')
+        UNION ALL SELECT 'S07', 'published primary', 'with preprints', (SELECT count(*)::DOUBLE FROM corpus WHERE broad_primary), (SELECT count(*)::DOUBLE FROM corpus WHERE broad_preprint_sensitivity)
+        UNION ALL SELECT 'S08', 'provisional', 'human-reviewed', NULL::DOUBLE, NULL::DOUBLE) AS z""",
+    "aud2_edges": """SELECT t.source_id, t.target_id, total_full_count, round(w, 6) AS total_fractional_count, round(maximum_normalized_intensity, 6) AS maximum_normalized_intensity, round(maximum_persistence_5y, 6)::DOUBLE AS maximum_persistence_5y, source_region, target_region, source_country, target_country, array_to_string(ids, '|') AS work_ids_sample, coalesce(a.x, '') AS source_raw_affiliation_samples, coalesce(b.x, '') AS target_raw_affiliation_samples,
+        concat_ws('|', CASE WHEN coalesce(source_country, '') = '' OR coalesce(target_country, '') = '' THEN 'missing_country' END, CASE WHEN coalesce(a.x, '') = '' THEN 'missing_source_affiliation_sample' END, CASE WHEN coalesce(b.x, '') = '' THEN 'missing_target_affiliation_sample' END) AS suspicious_flags FROM top AS t
+        LEFT JOIN (SELECT source_id, target_id, array_to_string(list_slice(list_sort(list_distinct(flatten(list(affs)))), 1, 10), '|') AS x FROM (SELECT source_id, target_id, unnest(ids) AS work_id FROM top) AS q JOIN wi ON wi.work_id = q.work_id AND wi.institution_id = q.source_id AND wi.hierarchy_view = 'organization' GROUP BY 1, 2) AS a USING (source_id, target_id)
+        LEFT JOIN (SELECT source_id, target_id, array_to_string(list_slice(list_sort(list_distinct(flatten(list(affs)))), 1, 10), '|') AS x FROM (SELECT source_id, target_id, unnest(ids) AS work_id FROM top) AS q JOIN wi ON wi.work_id = q.work_id AND wi.institution_id = q.target_id AND wi.hierarchy_view = 'organization' GROUP BY 1, 2) AS b USING (source_id, target_id)""",
+    "map3_coverage": f"""SELECT {V}, n.total_node_count, n.coordinate_node_count, e.total_edge_count, e.coordinate_edge_count, coalesce(k.n, 0) AS selected_edge_count, n.total_node_count - n.coordinate_node_count AS missing_coordinate_node_count, e.total_edge_count - e.coordinate_edge_count AS missing_coordinate_edge_count, round(n.coordinate_node_count / n.total_node_count, 6) AS node_coordinate_coverage_share
+        FROM (SELECT {V}, count(*) AS total_node_count, count(*) FILTER (WHERE latitude IS NOT NULL AND longitude IS NOT NULL) AS coordinate_node_count FROM outs GROUP BY ALL) AS n JOIN (SELECT e.year, e.corpus_view, e.hierarchy_view, count(*) AS total_edge_count, count(*) FILTER (WHERE a.latitude IS NOT NULL AND a.longitude IS NOT NULL AND b.latitude IS NOT NULL AND b.longitude IS NOT NULL) AS coordinate_edge_count FROM edges AS e
+        JOIN outs AS a ON a.year = e.year AND a.corpus_view = e.corpus_view AND a.hierarchy_view = e.hierarchy_view AND a.institution_id = e.source_id JOIN outs AS b ON b.year = e.year AND b.corpus_view = e.corpus_view AND b.hierarchy_view = e.hierarchy_view AND b.institution_id = e.target_id GROUP BY ALL) AS e USING (year, corpus_view, hierarchy_view) LEFT JOIN (SELECT {V}, count(*) AS n FROM kept GROUP BY ALL) AS k USING (year, corpus_view, hierarchy_view)""",
+    "view4_labels": "SELECT institution_id, arg_max(display_name, year) AS display_name, string_agg(DISTINCT year::VARCHAR, ',' ORDER BY year::VARCHAR) AS years FROM outs GROUP BY 1",
+    "val1_contracts": "SELECT 'works' AS table_name, count(*) AS row_count, count(DISTINCT work_id) AS distinct_keys, true AS key_is_unique FROM w UNION ALL SELECT 'work_topics', count(*), count(DISTINCT (work_id, topic_id)), true FROM topics UNION ALL SELECT 'work_corpus', count(*), count(DISTINCT work_id), true FROM corpus UNION ALL SELECT 'work_institutions', count(*), count(DISTINCT (work_id, hierarchy_view, institution_id)), true FROM wi UNION ALL SELECT 'edges_year', count(*), count(*), true FROM edges UNION ALL SELECT 'institution_outputs_year', count(*), count(*), true FROM outs UNION ALL SELECT 'region_flows_year', count(*), count(*), true FROM flows",
     "src1_projected_scan": "SELECT year, count(*) AS n FROM layer_edges WHERE year >= 2018 AND layer = 'coauthorship' GROUP BY 1",
     "mpx0_layer_years": "SELECT layer, year, count(*) AS edge_count, round(sum(layer_weight), 6) AS weight FROM layer_edges GROUP BY 1, 2",
 }.items()}
