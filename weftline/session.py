@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     global _LOCAL
     if _LOCAL is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _LOCAL = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, _LOCAL, ignore_errors=True)
