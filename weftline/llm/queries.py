@@ -68,6 +68,7 @@ def _pairs(field: str, table_name: str, key: str, text: str) -> str:
 
 ORACLES: dict[str, str] = {
     "p1_found": f"WITH k AS ({_KEYS}) SELECT DISTINCT a.work_id AS work_id_a, b.work_id AS work_id_b FROM k AS a JOIN k AS b ON a.t = b.t AND a.d = b.d AND a.work_id < b.work_id",
+    "p1_records": f"WITH k AS ({_KEYS}), c AS (SELECT min(work_id) AS work_id, count(*) AS work_id_count FROM k GROUP BY t, d) SELECT DISTINCT c.work_id, w.title, w.doi, c.work_id_count FROM c JOIN works AS w ON w.work_id = c.work_id",
     "p1_membership": f"SELECT work_id, min(work_id) OVER (PARTITION BY t, d) AS representative_work_id, count(*) OVER (PARTITION BY t, d) AS work_id_count FROM ({_KEYS}) AS k",
     "p3_found": f"""WITH u AS ({' UNION ALL '.join(map(_usable, survivor.FIELDS))}), b AS (SELECT u.*, row_number() OVER (PARTITION BY institution_id, field_name ORDER BY t.trust_rank ASC NULLS LAST, {_AT} DESC NULLS LAST, record_id) AS k FROM u LEFT JOIN source_trust AS t USING (metadata_source) WHERE institution_id IS NOT NULL)
         SELECT institution_id, field_name, record_id FROM b WHERE k = 1 AND institution_id IN (SELECT {sid('institution_id')} FROM institution_records GROUP BY 1 HAVING count(DISTINCT record_id) > 1)""",
