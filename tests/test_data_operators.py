@@ -68,7 +68,7 @@ def brute_orphans(works, gone):
             continue
         if w not in first or (t or "~") < (first[w] or "~"):
             first[w] = t
-        for x in json.loads(j) if j else []:
+        for x in json.loads(j) if j and j[0] == "[" else []:
             if x and x.startswith("W"):
                 refs.add((w, x))
     out = set()
