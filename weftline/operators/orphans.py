@@ -112,7 +112,7 @@ def track_works(works: DataFrame, tombstones: DataFrame, batches: int = 2, snaps
     spark = works.sparkSession
     scratch = Scratch(spark, "p4")
     seen = scratch.write(works.select(short_id("work_id").alias("key"), instant_micros("source_retrieved_at_utc").alias("seen")).filter("key is not null").groupBy("key").agg(F.min("seen").alias("seen")), "seen")
-    refs = work_references(works).distinct().withColumnRenamed("work_id", "citing").withColumnRenamed("referenced", "ref")
+    refs = scratch.write(work_references(works).distinct().withColumnsRenamed({"work_id": "citing", "referenced": "ref"}), "read")  # the JSON is read once
     refs = scratch.write(join_unique(refs, seen.select(F.col("key").alias("citing"), F.col("seen").alias("citing_seen")), "citing", "left"), "told")
     gone = tombstones.select(short_id("work_id").alias("key"), F.unix_micros(F.col("deleted_at").cast("timestamp")).alias("at"))
     cuts = []
