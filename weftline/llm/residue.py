@@ -148,7 +148,7 @@ def fit(docs: DataFrame, scratch: Scratch, fit_docs: int = FIT_DOCS, rounds: int
             for t in b.column(0).to_pylist():
                 ps = passages(t)
                 trusted = trusted_record(ps)
-                for p in ps:
+                for p in dict.fromkeys(ps):  # once a document: a long repetitive text must not outweigh the rest
                     model.append(0)
                     sure.append(trusted)
                     feats.append(passage_features(p))
