@@ -238,6 +238,17 @@ def test_geography_registry_and_master(spark):
     assert mst["I1"] == ("a", ["conflicting_display_name", "missing_institution_type", "missing_ror_id"]) and len(mst["I2"][1]) == 4
 
 
+def test_geography_knows_every_analytical_code(spark):
+    codes = ["TW", "HU", "RO", "PE", "BD", "PH", "KZ", "TH", "XK", "AQ", "NA", "NG", "GH", "US"]
+    i = spark.createDataFrame([(c, c) for c in codes], "institution_id string, country_code string")
+    g = {r.institution_id: r for r in institutions.with_geography(i).collect()}
+    assert all(g[c].country_code == c and g[c].geography_issue is None for c in codes)
+    assert {c: g[c].macro_region for c in codes[:10]} == {"TW": "Asia", "HU": "Europe", "RO": "Europe", "PE": "Americas", "BD": "Asia", "PH": "Asia", "KZ": "Asia", "TH": "Asia", "XK": "Europe", "AQ": "Unknown"}
+    assert g["PH"].subregion == g["TH"].subregion == "South-eastern Asia" and g["NG"].subregion == g["GH"].subregion == "Sub-Saharan Africa"
+    rows = institutions.region_rows()
+    assert len(rows) == len({r[0] for r in rows}) == 251 and {(c, n, m) for c, n, m, _ in institutions.COUNTRIES} <= {r[:3] for r in rows}
+
+
 def test_views_of_flows(spark):
     f = spark.createDataFrame([(2020, "broad", "organization", "macro_region", "Asia", "Asia", 4.0), (2020, "broad", "organization", "macro_region", "Asia", "Europe", 2.0), (2020, "broad", "organization", "macro_region", "Europe", "Europe", 1.0)], "year int, corpus_view string, hierarchy_view string, geographic_level string, source_geography string, target_geography string, fractional_count double")
     s = {(r.geography, r.partner): r.partner_share for r in present.partner_shares(f).collect()}

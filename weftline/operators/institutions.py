@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +14,7 @@ from weftline.operators.nested import emit_tagged
 
 TARGET_REGIONS = ("Europe", "Asia", "Americas")
 UNKNOWN = ("ZZ", "Unknown", "Unknown", "Unknown")
-# Country code, name, macro-region, subregion (UN M49). Other codes: pass a table.
+# Country code, name, macro-region, subregion (UN M49) as the checking SQL has them. All codes: ``region_rows``.
 COUNTRIES = [
     ("DE", "Germany", "Europe", "Western Europe"), ("FR", "France", "Europe", "Western Europe"), ("NL", "Netherlands", "Europe", "Western Europe"), ("AT", "Austria", "Europe", "Western Europe"), ("CH", "Switzerland", "Europe", "Western Europe"), ("BE", "Belgium", "Europe", "Western Europe"),
     ("GB", "United Kingdom", "Europe", "Northern Europe"), ("IE", "Ireland", "Europe", "Northern Europe"), ("SE", "Sweden", "Europe", "Northern Europe"), ("FI", "Finland", "Europe", "Northern Europe"), ("NO", "Norway", "Europe", "Northern Europe"), ("DK", "Denmark", "Europe", "Northern Europe"),
@@ -114,8 +117,15 @@ def master(ext: DataFrame) -> DataFrame:
     return m.select("institution_id", *cols, F.coalesce(other, F.col("names")).alias("alternative_names"), "lineage", "assertion_work_count", F.array_sort(issues).alias("issues"))
 
 
+def region_rows() -> list[tuple[str, str, str, str]]:
+    """All 251 analytical codes of ``regions.csv``; names of COUNTRIES and M49's spelling of South-eastern Asia are kept."""
+    names = {c[0]: c[1] for c in COUNTRIES}
+    rows = csv.reader(files("weftline.operators").joinpath("regions.csv").read_text(encoding="utf-8").splitlines()[1:])
+    return [(code, names.get(code, name), macro, {"Southeastern Asia": "South-eastern Asia"}.get(sub, sub)) for code, name, macro, sub in rows]
+
+
 def regions(spark) -> DataFrame:
-    return spark.createDataFrame(COUNTRIES, "country_code string, country_name string, macro_region string, subregion string")
+    return spark.createDataFrame(region_rows(), "country_code string, country_name string, macro_region string, subregion string")
 
 
 def institution_rows(institutions: DataFrame) -> DataFrame:
