@@ -153,6 +153,23 @@ def test_nested_odd_cases(spark):
     assert {r.raw_id for r in inst} == {"I1", None, " I2"} and {r.work_id for r in inst} == {"W1"}
 
 
+def test_flat_tables_drop_nothing(spark):
+    author = {"author": {"id": "A1", "orcid": "o"}, "affiliations": [None, {"raw_affiliation_string": "x", "institution_ids": ["I1"], "n": 1}], "institutions": [{"id": "I1"}], "is_corresponding": True, "raw_affiliation_strings": "one"}
+    topic = {"id": "T1", "score": "high", "field": {"id": "f", "display_name": "F"}, "domain": {"id": "d"}, "subfield": "s"}
+    df = spark.createDataFrame([("W1", json.dumps([author, 5, {"institutions": "no JSON", "affiliations": 7}]), json.dumps([topic, {"id": "T2", "score": 1}]), None, None, None, None)], WORKS)
+    tagged = nested.flat_rows(df, nests=nested.FLAT_NESTS, payload=True)
+    kept = lambda r: None if r.rest is None else json.loads(r.rest)
+    a = {r.item_index: r for r in nested.flat_table(tagged, "authorship").collect()}
+    assert a[0].author_id == "A1" and kept(a[0]) == {"author": {"orcid": "o"}, "is_corresponding": True, "raw_affiliation_strings": "one"}
+    assert kept(a[1]) == 5 and kept(a[2]) == {"institutions": "no JSON", "affiliations": 7}
+    f = nested.flat_table(tagged, "authorship_affiliation").collect()
+    assert [(r.item_index, r.sub_index, r.raw_affiliation_string, r.institution_ids, kept(r)) for r in f] == [(0, 1, "x", ["I1"], {"n": 1})]
+    t = {r.item_index: r for r in nested.flat_table(tagged, "topic").collect()}
+    assert (t[0].field_id, t[0].field_display_name, t[0].domain_id, t[0].score) == ("f", "F", "d", None) and kept(t[0]) == {"score": "high", "subfield": "s"}
+    assert t[1].score == 1.0 and t[1].rest is None
+    assert "authorship_affiliation" not in {r.child_kind for r in nested.flat_rows(df).collect()}
+
+
 def test_write_tagged_reads_back_by_tag(spark, tmp_path):
     df = nested.flat_rows(spark.createDataFrame([("W1", None, '[{"id":"T1"}]', None, '["W2"]', None, None)], WORKS))
     nested.write_tagged(df, str(tmp_path / "t"))

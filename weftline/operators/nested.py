@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,12 @@ WORK_NESTS = (
     Nest("reference", "referenced_works_json"),
 )
 
+#: With the lists that only the flat tables have; ``p7_found`` lists the tags of WORK_NESTS.
+FLAT_NESTS = (
+    Nest("authorship", "authorships_json", ("author", "id"), (*WORK_NESTS[0].children, Nest("authorship_affiliation", "affiliations"))),
+    *WORK_NESTS[1:],
+)
+
 _OUT = "{id} string, child_kind string, item_index int, sub_index int, item_key string"
 _SHORT = re.compile(r"[A-Z][0-9]+")
 _NOTHING: list = []
@@ -138,27 +145,76 @@ def flat_rows(df: DataFrame, id_column: str = "work_id", **kw) -> DataFrame:
 PAYLOADS = {
     "authorship": "author struct<id:string,display_name:string>, author_position string, raw_affiliation_strings array<string>",
     "authorship_institution": "id string, display_name string, ror string, country_code string, type string, lineage array<string>",
-    "topic": "id string, display_name string, score double, subfield struct<display_name:string>, field struct<display_name:string>, domain struct<display_name:string>",
+    "authorship_affiliation": "raw_affiliation_string string, institution_ids array<string>",
+    "topic": "id string, display_name string, score double, subfield struct<id:string,display_name:string>, field struct<id:string,display_name:string>, domain struct<id:string,display_name:string>",
     "location": "source struct<id:string,display_name:string,type:string>, is_oa boolean, landing_page_url string, license string, version string",
     "reference": "",
 }
 
 
+def _left(x: object, kind: T.DataType, lists: frozenset[str] = frozenset()) -> object:
+    """What of a value its schema has no place for; None if nothing. Child tables have ``lists``."""
+    if x is None or isinstance(kind, T.StringType):
+        return None
+    if isinstance(kind, T.StructType):
+        if not isinstance(x, dict):
+            return x
+        named = {f.name: f.dataType for f in kind}
+        out = {}
+        for k, v in x.items():
+            if k in lists and (v is None or isinstance(v, (list, dict)) or read_array(v)):
+                continue
+            if k not in named:
+                out[k] = v
+            elif (r := _left(v, named[k])) is not None:
+                out[k] = r
+        return out or None
+    if isinstance(kind, T.ArrayType):
+        return None if isinstance(x, list) else x
+    number = isinstance(x, (int, float)) and not isinstance(x, bool)
+    return None if (isinstance(x, bool) if isinstance(kind, T.BooleanType) else number) else x
+
+
+def rest(schema: T.StructType, lists: frozenset[str]) -> Callable:
+    """A column function: payload to the JSON of all that neither the schema nor a child table takes, or null."""
+
+    @F.pandas_udf(T.StringType())
+    def of(s: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            left = None if t is None else _left(json.loads(t), schema, lists)
+            return None if left is None else json.dumps(left, sort_keys=True)
+
+        return s.map(one, na_action=None).astype(object)
+
+    return of
+
+
+def _all(nests: Iterable[Nest]) -> Iterator[Nest]:
+    for n in nests:
+        yield n
+        yield from _all(n.children)
+
+
 def flat_table(tagged: DataFrame, kind: str) -> DataFrame:
-    """The table of one tag, its payload read with the tag's schema (fields that do not fit are null)."""
+    """The table of one tag, its payload read with the tag's schema (fields that do not fit are null).
+
+    ``rest`` has the JSON of whatever was delivered besides: unnamed fields, values that do not fit,
+    elements that are no objects. It is null where nothing is.
+    """
     own = tagged.filter(F.col("child_kind") == kind).drop("child_kind")
     fields = PAYLOADS[kind]
     if not fields:
         return own.drop("payload")
-    body = F.from_json("payload", T.StructType.fromDDL(fields))
-    own = own.withColumn("_p", body)
-    for f in T.StructType.fromDDL(fields):
+    schema = T.StructType.fromDDL(fields)
+    lists = frozenset(c.field for n in _all(FLAT_NESTS) if n.kind == kind for c in n.children)
+    own = own.withColumn("_p", F.from_json("payload", schema))
+    for f in schema:
         if isinstance(f.dataType, T.StructType):
             for g in f.dataType:
                 own = own.withColumn(f"{f.name}_{g.name}", F.col(f"_p.{f.name}.{g.name}"))
         else:
             own = own.withColumn(f.name if f.name != "id" else "raw_id", F.col(f"_p.{f.name}"))
-    return own.drop("_p", "payload")
+    return own.withColumn("rest", rest(schema, lists)("payload")).drop("_p", "payload")
 
 
 def write_tagged(tagged: DataFrame, path: str) -> None:

@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _flat(kind: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        tagged = nested.flat_rows(table(spark, d, "works"), kinds=[kind], payload=kind != "reference")
+        tagged = nested.flat_rows(table(spark, d, "works"), nests=nested.FLAT_NESTS, kinds=[kind], payload=kind != "reference")
         return nested.flat_table(tagged, kind) if kind != "reference" else tagged.drop("child_kind")
 
     return run
@@ -34,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "p7_found": lambda s, d: nested.flat_rows(table(s, d, "works")),
     "p7_authorships": _flat("authorship"),
     "p7_authorship_institutions": _flat("authorship_institution"),
+    "p7_authorship_affiliations": _flat("authorship_affiliation"),
     "p7_topics": _flat("topic"),
     "p7_locations": _flat("location"),
     "p7_references": _flat("reference"),
