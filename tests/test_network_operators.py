@@ -249,6 +249,17 @@ def test_geography_knows_every_analytical_code(spark):
     assert len(rows) == len({r[0] for r in rows}) == 251 and {(c, n, m) for c, n, m, _ in institutions.COUNTRIES} <= {r[:3] for r in rows}
 
 
+def test_rule_chains_of_any_length_and_cycles(spark):
+    n = 150
+    rules = [(f"I{k}", f"I{k + 1}", f"r{k}") for k in range(n)] + [(f"I{n}", None, None), ("I900", "I901", "c0"), ("I901", "I902", "c1"), ("I902", "I901", "c2"), ("I950", "I999", "u")]
+    i = spark.createDataFrame(rules, "institution_id string, canonical_institution_id string, canonicalization_rule_id string")
+    u = {r.institution_id: r for r in institutions.hierarchy_views(i).filter("hierarchy_view = 'umbrella'").collect()}
+    assert len(u) == len(rules) and {u[f"I{k}"].canonical_institution_id for k in range(n + 1)} == {f"I{n}"}
+    assert u["I0"].canonicalization_rule_ids == sorted(f"r{k}" for k in range(n)) and not u[f"I{n}"].is_collapsed and u[f"I{n}"].canonicalization_rule_ids == []
+    assert all(u[c].canonical_institution_id == c and not u[c].is_collapsed for c in ("I900", "I901", "I902"))
+    assert {tuple(r) for r in institutions.rule_problems(i).collect()} == {("I900", "I901", "cycle"), ("I901", "I902", "cycle"), ("I902", "I901", "cycle"), ("I950", "I999", "unknown_target")}
+
+
 def test_views_of_flows(spark):
     f = spark.createDataFrame([(2020, "broad", "organization", "macro_region", "Asia", "Asia", 4.0), (2020, "broad", "organization", "macro_region", "Asia", "Europe", 2.0), (2020, "broad", "organization", "macro_region", "Europe", "Europe", 1.0)], "year int, corpus_view string, hierarchy_view string, geographic_level string, source_geography string, target_geography string, fractional_count double")
     s = {(r.geography, r.partner): r.partner_share for r in present.partner_shares(f).collect()}

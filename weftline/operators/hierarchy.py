@@ -13,7 +13,7 @@ SPLIT_EVERY = 8
 CYCLE = "CYCLE"
 
 
-def _walk(scratch: Scratch, walks: DataFrame, path: bool) -> DataFrame:
+def walk(scratch: Scratch, walks: DataFrame, path: bool) -> DataFrame:
     """Double every open walk until it stands on a stop; rows that remain open lead into a cycle.
 
     ``walks``: node, at, steps, done[, path]; one row a node, stops among them (steps 0 or done).
@@ -73,11 +73,11 @@ def resolve_forest(pointers: DataFrame, *, split_every: int = SPLIT_EVERY, path:
     stops = roots.select("node", F.col("node").alias("at"), F.lit(0).alias("steps"), F.lit(True).alias("done"), *([none.alias("path")] if path else []))
     start = p.select("node", F.col("parent").alias("at"), F.lit(1).alias("steps"), splitter("parent").alias("done"), *([F.array("node").alias("path")] if path else []))
     first = scratch.write(start.unionByName(stops), "walk")
-    walked = _walk(scratch, first, path)
+    walked = walk(scratch, first, path)
 
     own = walked.filter("steps > 0")
     reduced = own.filter(splitter("node") & F.col("done")).withColumn("done", F.lit(False))
-    reduced = _walk(scratch, scratch.write(reduced.unionByName(walked.filter("steps = 0")), "reduced"), path)
+    reduced = walk(scratch, scratch.write(reduced.unionByName(walked.filter("steps = 0")), "reduced"), path)
     solved = reduced.select(F.col("node").alias("at"), F.when(F.col("done"), F.col("at")).alias("_root"), F.col("steps").alias("_more"), *([F.col("path").alias("_rest")] if path else []))
     out = join_unique(own, solved, "at", "left", total=n)
     found = F.col("done") & F.col("_root").isNotNull()

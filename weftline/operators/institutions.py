@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import compact_flags, short_id, sorted_set, union_arrays
+from weftline.operators.hierarchy import walk
 from weftline.operators.nested import emit_tagged
+from weftline.session import Scratch
 
 TARGET_REGIONS = ("Europe", "Asia", "Americas")
 UNKNOWN = ("ZZ", "Unknown", "Unknown", "Unknown")
@@ -173,20 +175,30 @@ def enriched(inst: DataFrame, registry: DataFrame) -> DataFrame:
     }).drop("_ror", "_name", "_cc", "_lat", "_lon", "_valid")
 
 
-def canonical_chain(inst: DataFrame, rounds: int = 6) -> DataFrame:
-    """(institution_id, canonical_institution_id, is_collapsed, rule ids) along chains of up to 2**rounds rules.
+def _resolved(inst: DataFrame) -> DataFrame:
+    """Each institution with what it is told to stand for (``told``), the end of that chain (``at``), whether it ends (``done``) and its rule ids."""
+    scratch = Scratch(inst.sparkSession, "canonical")
+    none = F.array().cast("array<string>")
+    told = F.coalesce(short_id("canonical_institution_id", "I"), F.col("institution_id"))
+    p = scratch.write(inst.select("institution_id", told.alias("told"), F.array_compact(F.array("canonicalization_rule_id")).alias("rules")), "told")
+    alias, same = p.filter("told <> institution_id"), p.filter("told = institution_id")
+    stops = alias.select(F.col("told").alias("node")).distinct().join(alias.select(F.col("institution_id").alias("node")), "node", "left_anti")
+    walks = alias.select(F.col("institution_id").alias("node"), F.col("told").alias("at"), F.lit(1).alias("steps"), F.lit(False).alias("done"), F.col("rules").alias("path"))
+    walks = walks.unionByName(stops.select("node", F.col("node").alias("at"), F.lit(0).alias("steps"), F.lit(True).alias("done"), none.alias("path")))
+    ends = walk(scratch, scratch.write(walks, "walk"), path=True).filter("steps > 0")
+    ends = ends.select(F.col("node").alias("institution_id"), "at", "done", F.col("path").alias("rules")).join(alias.select("institution_id", "told"), "institution_id")
+    return same.select("institution_id", "told", F.col("told").alias("at"), F.lit(True).alias("done"), none.alias("rules")).unionByName(ends)
+
+
+def canonical_chain(inst: DataFrame) -> DataFrame:
+    """(institution_id, canonical_institution_id, is_collapsed, rule ids) along chains of any length.
 
-    Works lazily by doubling; rule tables are curated and acyclic (``rule_problems`` tells). For
-    chains of unknown depth see ``operators.hierarchy``.
+    Institutions on a cycle of rules or below one stand for themselves; ``rule_problems`` tells them.
     """
-    to = short_id("canonical_institution_id", "I")
-    p = inst.select("institution_id", F.coalesce(to, F.col("institution_id")).alias("at"), F.when(to != F.col("institution_id"), F.array_compact(F.array("canonicalization_rule_id"))).otherwise(F.array().cast("array<string>")).alias("rules"))
-    alias = p.filter("at <> institution_id")
-    for _ in range(rounds):
-        nxt = alias.select(F.col("institution_id").alias("at"), F.col("at").alias("_to"), F.col("rules").alias("_r"))
-        alias = alias.join(nxt, "at", "left").select("institution_id", F.coalesce("_to", "at").alias("at"), F.concat("rules", F.coalesce("_r", F.array().cast("array<string>"))).alias("rules"))
-    same = p.filter("at = institution_id")
-    return same.unionByName(alias).select("institution_id", F.col("at").alias("canonical_institution_id"), (F.col("at") != F.col("institution_id")).alias("is_collapsed"), F.array_sort(F.array_distinct("rules")).alias("canonicalization_rule_ids"))
+    r = _resolved(inst)
+    at = F.when(F.col("done"), F.col("at")).otherwise(F.col("institution_id"))
+    rules = F.when(F.col("done"), F.array_sort(F.array_distinct("rules"))).otherwise(F.array().cast("array<string>"))
+    return r.select("institution_id", at.alias("canonical_institution_id"), (at != F.col("institution_id")).alias("is_collapsed"), rules.alias("canonicalization_rule_ids"))
 
 
 def hierarchy_views(inst: DataFrame) -> DataFrame:
@@ -196,13 +208,12 @@ def hierarchy_views(inst: DataFrame) -> DataFrame:
 
 
 def rule_problems(inst: DataFrame) -> DataFrame:
-    """Rules that point to an id without a row, or whose chain does not end (cycle or longer than 64)."""
-    end = canonical_chain(inst)
-    ids = inst.select(F.col("institution_id").alias("canonical_institution_id"), F.lit(True).alias("known"))
-    more = end.filter("is_collapsed").select(F.col("institution_id").alias("canonical_institution_id"), F.lit(True).alias("open"))
-    j = end.filter("is_collapsed").join(ids, "canonical_institution_id", "left").join(more, "canonical_institution_id", "left")
-    why = F.when(F.col("known").isNull(), "unknown_target").when(F.col("open"), "cycle")
-    return j.select("institution_id", "canonical_institution_id", why.alias("problem")).filter("problem is not null")
+    """Rules whose chain ends at an id without a row (with that id), or runs into a cycle (with the rule's own target)."""
+    r = _resolved(inst)
+    ids = inst.select(F.col("institution_id").alias("at"), F.lit(True).alias("known"))
+    j = r.filter("told <> institution_id").join(ids, "at", "left")
+    why = F.when(~F.col("done"), "cycle").when(F.col("known").isNull(), "unknown_target")
+    return j.select("institution_id", F.when(F.col("done"), F.col("at")).otherwise(F.col("told")).alias("canonical_institution_id"), why.alias("problem")).filter("problem is not null")
 
 
 def umbrella_candidates(institutions: DataFrame) -> DataFrame:
