@@ -189,5 +189,15 @@ def test_residue_on_held_out_documents(spark):
     assert clean.count() == len(docs) + 3 - len(got) and clean.columns == df.columns
 
 
+def test_residue_slots_of_any_form():
+    trusted = lambda t: any(sure for p in residue.passages(t) for sure, _ in residue.slot_windows(p))
+    text = "We mapped land cover in two regions. {} The results agree with the field survey."
+    long = "[Insert the full name and postal address of the responsible institution and of the person who answers for the data here]"
+    slots = (long, long.replace(" and postal", ". Then the postal"), long.replace(" and of", "\nand of"), "[The name\ngoes here]", "<enter the title.\nThen the year>", "<% render the list of all records. of this page and of all the pages behind it %>")
+    assert all(trusted(text.format(x)) for x in slots)
+    real = ("[12] and [13, 14]. ", "The form says '" + long + "' there. ", "[see the survey. It has all of the figures] ", "a < b. Then c > d. ")
+    assert not any(trusted(text.format(x)) for x in real)
+
+
 def test_residue_empty(spark):
     assert residue.residue_found(spark.createDataFrame([], "doc_id long, text string")).count() == 0

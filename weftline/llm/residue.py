@@ -45,8 +45,8 @@ FUNCTION_WORDS = frozenset(
 )
 # Spellings of an unfilled slot. In the first group nothing else is ever meant.
 PLAIN_SLOTS = (
-    r"\[\s*(?:insert|enter|your|add|rellenar|à compléter|preencher|einfügen)\b[^\[\]\n]{0,60}\]", r"\[[^\[\]\n]{1,40} (?:to be added|goes here|here)\]", r"<(?:insert|enter|your) [^<>\n]{1,40}>",
-    r"\([^()\n]{1,40} goes here\)", r"«[^«»\n]{1,40} hier einfügen»", r"<%=?[^%\n]{1,60}%>", r"\{%[^%\n]{1,60}%\}", r"@@[^@\n]{1,40}@@", r"\bXX_\w{1,40}_XX\b", r"&lt;[^&\n]{1,40}&gt;", r"%\([^()\n]{1,40}\)[sd]",
+    r"\[\s*(?:insert|enter|your|add|rellenar|à compléter|preencher|einfügen)\b[^\[\]\n]{0,1000}\]", r"\[[^\[\]\n]{1,1000} (?:to be added|goes here)\]", r"\[[^\[\]\n]{1,40} here\]", r"<(?:insert|enter|your) [^<>\n]{1,1000}>",
+    r"\([^()\n]{1,1000} goes here\)", r"«[^«»\n]{1,1000} hier einfügen»", r"<%=?[^%\n]{1,1000}%>", r"\{%[^%\n]{1,1000}%\}", r"@@[^@\n]{1,40}@@", r"\bXX_\w{1,40}_XX\b", r"&lt;[^&\n]{1,40}&gt;", r"%\([^()\n]{1,40}\)[sd]",
     r"\b\w+_PLACEHOLDER\b", r"\[object Object\]", r"<<[^<>\n]{1,40}>>", r"%%[^%\n]{1,40}%%",
 )
 OTHER_SLOTS = (
@@ -55,6 +55,9 @@ OTHER_SLOTS = (
 )
 _SLOT = re.compile("(?i:" + "|".join(PLAIN_SLOTS) + ")|" + "|".join(OTHER_SLOTS))
 _PLAIN = re.compile("|".join(PLAIN_SLOTS), re.I)
+# The spellings that may be long, over line breaks and sentence ends too: looked for in the whole text.
+_WIDE = re.compile("|".join(x.replace(r"\n", "").replace(" (?:to", r"\s(?:to").replace(" hier", r"\shier").replace("your) ", r"your)\s").replace(" goes", r"\sgoes") for x in PLAIN_SLOTS if "1000" in x), re.I)
+_QUOTES = ("''", '""', "“”", "‘’", "``")
 _TRUST = re.compile("|".join(TRUSTED_PHRASES), re.I)
 _EMPTY = re.compile(r"%[sd]|undefined|nan|null|none|nil|\[object object\]", re.I)
 _PASSAGE = re.compile(r"\n+|(?<=[.!?])\s+")
@@ -89,7 +92,7 @@ def slot_windows(passage: str) -> Iterator[tuple[bool, list[int]]]:
     if not hits:
         return
     quotes = [m.span() for m in _QUOTED.finditer(passage)]
-    inside = [any(a < m.start() and m.end() < b + (m.end() == b) for a, b in quotes) for m in hits]
+    inside = [any(a < m.start() and m.end() < b + (m.end() == b) for a, b in quotes) or passage[max(0, m.start() - 1) : m.start()] + passage[m.end() : m.end() + 1] in _QUOTES for m in hits]
     empties = sum(bool(_EMPTY.fullmatch(m.group())) and not q for m, q in zip(hits, inside))
     masked, last, at = [], 0, []
     for m in hits:
@@ -109,7 +112,9 @@ def slot_windows(passage: str) -> Iterator[tuple[bool, list[int]]]:
 
 
 def passages(text: str) -> list[str]:
-    return [p for p in map(str.strip, _PASSAGE.split(text)) if p]
+    """Lines and sentences of a text; a slot that may be long is never cut."""
+    whole = _WIDE.sub(lambda m: re.sub(r"[.!?]*\s+", " ", m.group()), text)
+    return [p for p in map(str.strip, _PASSAGE.split(whole)) if p]
 
 
 def _wordless(p: str) -> bool:
