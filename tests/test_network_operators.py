@@ -249,6 +249,15 @@ def test_geography_knows_every_analytical_code(spark):
     assert len(rows) == len({r[0] for r in rows}) == 251 and {(c, n, m) for c, n, m, _ in institutions.COUNTRIES} <= {r[:3] for r in rows}
 
 
+def test_distributed_pagerank_converges(spark):
+    path = [(2020, "broad", "organization", f"I{k:02d}", f"I{k + 1:02d}", 1.0 + k % 3) for k in range(12)]
+    e = spark.createDataFrame(path, "year int, corpus_view string, hierarchy_view string, source_id string, target_id string, fractional_count double")
+    o = spark.createDataFrame([(2020, "broad", "organization", f"I{k:02d}") for k in range(14)], "year int, corpus_view string, hierarchy_view string, institution_id string")
+    a = {r.institution_id: r.pagerank for r in graphs.pagerank(graphs.graph_rows(e, o)).collect()}
+    b = {r.institution_id: r.pagerank for r in graphs.pagerank_distributed(e, o).collect()}
+    assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-11 for k in a)
+
+
 def test_rule_chains_of_any_length_and_cycles(spark):
     n = 150
     rules = [(f"I{k}", f"I{k + 1}", f"r{k}") for k in range(n)] + [(f"I{n}", None, None), ("I900", "I901", "c0"), ("I901", "I902", "c1"), ("I902", "I901", "c2"), ("I950", "I999", "u")]

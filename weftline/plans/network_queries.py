@@ -86,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _q(make) f
     # metrics
     "met1_nodes": lambda b: b.nodes.select(*NODE, "degree", "full_strength", "fractional_strength", "bridge_score", "partner_country_count", "partner_region_count"),
     "met2_pagerank": lambda b: graphs.pagerank(b.graph),
-    "met2_pagerank_distributed": lambda b: graphs.pagerank_distributed(b.edges, b.outputs, rounds=30),
+    "met2_pagerank_distributed": lambda b: graphs.pagerank_distributed(b.edges, b.outputs),
     "met3_betweenness": lambda b: graphs.betweenness(b.graph),
     "met5_components": lambda b: graphs.components(b.graph).groupBy(*VIEW, "component_id").agg(F.count(F.lit(1)).alias("size")),
     "met5_components_distributed": lambda b: graphs.components_distributed(b.edges, b.outputs).groupBy(*VIEW, "component_id").agg(F.count(F.lit(1)).alias("size")),
