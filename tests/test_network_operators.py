@@ -244,9 +244,24 @@ def test_geography_knows_every_analytical_code(spark):
     g = {r.institution_id: r for r in institutions.with_geography(i).collect()}
     assert all(g[c].country_code == c and g[c].geography_issue is None for c in codes)
     assert {c: g[c].macro_region for c in codes[:10]} == {"TW": "Asia", "HU": "Europe", "RO": "Europe", "PE": "Americas", "BD": "Asia", "PH": "Asia", "KZ": "Asia", "TH": "Asia", "XK": "Europe", "AQ": "Unknown"}
-    assert g["PH"].subregion == g["TH"].subregion == "South-eastern Asia" and g["NG"].subregion == g["GH"].subregion == "Sub-Saharan Africa"
+    assert g["PH"].subregion == g["TH"].subregion == "Southeastern Asia" and g["NG"].subregion == g["GH"].subregion == "Sub-Saharan Africa"
     rows = institutions.region_rows()
-    assert len(rows) == len({r[0] for r in rows}) == 251 and {(c, n, m) for c, n, m, _ in institutions.COUNTRIES} <= {r[:3] for r in rows}
+    assert len(rows) == len({r[0] for r in rows}) == 251
+
+
+def test_type_policies_are_the_fixed_ones(spark):
+    rows = {t: (a, b, c) for t, a, b, c in corpus.WORK_TYPES}
+    assert len(rows) == 25 and rows["book-chapter"] == rows["dataset"] == (False, False, True) and rows["data-paper"] == rows["review"] == (True, True, True)
+    assert rows["preprint"] == (False, True, True) and rows["letter"] == (False, False, False) and "article " not in rows
+    i = spark.createDataFrame([("I1", "Education", "old"), ("I2", "funder", "old"), ("I3", None, "old"), ("I4", "guild", "old"), ("I5", "healthcare", "old")], "institution_id string, institution_type string, normalized_category string")
+    t = {r.institution_id: (r.normalized_category, r.analytical_scope, r.is_primary_research_scope) for r in institutions.typed(i).collect()}
+    assert t == {"I1": ("education", "primary", True), "I2": ("funder", "excluded", False), "I3": ("unknown", "unknown", False), "I4": ("unknown", "unknown", False), "I5": ("healthcare", "secondary", False)}
+
+
+def test_layer_overlap_counts_nodes_of_self_links(spark):
+    e = [(2020, "broad", "organization", "coauthorship", "A", "B"), (2020, "broad", "organization", "citation_flow", "B", "A"), (2020, "broad", "organization", "citation_flow", "C", "C"), (2020, "broad", "organization", "coauthorship", "B", None)]
+    r = layers.layer_overlap(spark.createDataFrame(e, "year int, corpus_view string, hierarchy_view string, layer string, source_id string, target_id string")).first()
+    assert (r.shared_dyad_count, r.shared_node_count, round(r.node_jaccard, 6)) == (1, 2, round(2 / 3, 6))
 
 
 def test_distributed_pagerank_converges(spark):

@@ -11,10 +11,14 @@ from weftline.operators.skew import join_unique, top_one
 
 FIRST_YEAR, LAST_YEAR = 2010, 2025
 
-# Fixed values: (work type, counts in the primary corpus, with preprints, in the expanded corpus).
+# Fixed values: (work type, counts in the primary corpus, with preprints, in the expanded corpus). Any other type counts in none.
 WORK_TYPES = [
-    ("article", True, True, True), ("conference-paper", True, True, True), ("book-chapter", True, True, True), ("review", True, True, True),
-    ("preprint", False, True, True), ("book", False, False, True), ("dissertation", False, False, True), ("report", False, False, True), ("dataset", False, False, False),
+    ("article", True, True, True), ("conference-paper", True, True, True), ("review", True, True, True), ("data-paper", True, True, True), ("software-paper", True, True, True),
+    ("preprint", False, True, True),
+    ("conference-abstract", False, False, True), ("dataset", False, False, True), ("software", False, False, True), ("book", False, False, True), ("book-chapter", False, False, True),
+    ("dissertation", False, False, True), ("report", False, False, True), ("standard", False, False, True),
+    ("libguides", False, False, False), ("other", False, False, False), ("reference-entry", False, False, False), ("peer-review", False, False, False), ("paratext", False, False, False),
+    ("book-review", False, False, False), ("editorial", False, False, False), ("erratum", False, False, False), ("supplementary-materials", False, False, False), ("letter", False, False, False), ("retraction", False, False, False),
 ]
 VARIANTS = (
     "strict_primary", "broad_primary", "strict_preprint_sensitivity", "broad_preprint_sensitivity", "strict_expanded_sensitivity",
@@ -167,7 +171,7 @@ def corpus_violations(corpus: DataFrame) -> DataFrame:
 def type_profile(works: DataFrame) -> DataFrame:
     """Works by type with the type's policy; unknown types take the policy of none."""
     c = works.groupBy("work_type").agg(F.count(F.lit(1)).alias("work_count")).join(F.broadcast(type_policy(works.sparkSession)), "work_type", "left")
-    return c.select("work_type", "work_count", *[F.coalesce(x, F.lit(False)).alias(x) for x in ("in_primary", "in_preprint", "in_expanded")])
+    return c.select("work_type", "work_count", F.col("in_primary").isNotNull().alias("is_known_type"), *[F.coalesce(x, F.lit(False)).alias(x) for x in ("in_primary", "in_preprint", "in_expanded")])
 
 
 def hash_sample(df: DataFrame, stratum: list[str], key: str, n: int, seed: str) -> DataFrame:

@@ -287,7 +287,8 @@ def _modularity(n: int, edges: list[tuple[int, int, float]], com: list[int], gam
 
 
 def derived_seed(seed: int, year: int, corpus: str, hierarchy: str, resolution: float) -> int:
-    return seed + year * 100 + 10 * (corpus != "strict") + 5 * (hierarchy != "organization") + round(resolution * 2)
+    """One seed for each graph and resolution: a year counts 100, a resolution its tenfold, the corpus 2, the hierarchy 1."""
+    return seed + year * 100 + int(resolution * 10) + 2 * (corpus != "strict") + (hierarchy != "organization")
 
 
 def communities(g: DataFrame, seed: int = 20_240) -> DataFrame:

@@ -16,17 +16,12 @@ from weftline.session import Scratch
 
 TARGET_REGIONS = ("Europe", "Asia", "Americas")
 UNKNOWN = ("ZZ", "Unknown", "Unknown", "Unknown")
-# Country code, name, macro-region, subregion (UN M49) as the checking SQL has them. All codes: ``region_rows``.
-COUNTRIES = [
-    ("DE", "Germany", "Europe", "Western Europe"), ("FR", "France", "Europe", "Western Europe"), ("NL", "Netherlands", "Europe", "Western Europe"), ("AT", "Austria", "Europe", "Western Europe"), ("CH", "Switzerland", "Europe", "Western Europe"), ("BE", "Belgium", "Europe", "Western Europe"),
-    ("GB", "United Kingdom", "Europe", "Northern Europe"), ("IE", "Ireland", "Europe", "Northern Europe"), ("SE", "Sweden", "Europe", "Northern Europe"), ("FI", "Finland", "Europe", "Northern Europe"), ("NO", "Norway", "Europe", "Northern Europe"), ("DK", "Denmark", "Europe", "Northern Europe"),
-    ("IT", "Italy", "Europe", "Southern Europe"), ("ES", "Spain", "Europe", "Southern Europe"), ("PT", "Portugal", "Europe", "Southern Europe"), ("GR", "Greece", "Europe", "Southern Europe"),
-    ("PL", "Poland", "Europe", "Eastern Europe"), ("CZ", "Czechia", "Europe", "Eastern Europe"), ("RU", "Russian Federation", "Europe", "Eastern Europe"), ("UA", "Ukraine", "Europe", "Eastern Europe"),
-    ("CN", "China", "Asia", "Eastern Asia"), ("JP", "Japan", "Asia", "Eastern Asia"), ("KR", "Republic of Korea", "Asia", "Eastern Asia"), ("TH", "Thailand", "Asia", "South-eastern Asia"), ("VN", "Viet Nam", "Asia", "South-eastern Asia"), ("ID", "Indonesia", "Asia", "South-eastern Asia"), ("MY", "Malaysia", "Asia", "South-eastern Asia"), ("SG", "Singapore", "Asia", "South-eastern Asia"),
-    ("IN", "India", "Asia", "Southern Asia"), ("IR", "Iran", "Asia", "Southern Asia"), ("PK", "Pakistan", "Asia", "Southern Asia"), ("TR", "Türkiye", "Asia", "Western Asia"), ("IL", "Israel", "Asia", "Western Asia"), ("SA", "Saudi Arabia", "Asia", "Western Asia"),
-    ("US", "United States", "Americas", "Northern America"), ("CA", "Canada", "Americas", "Northern America"), ("MX", "Mexico", "Americas", "Central America"), ("BR", "Brazil", "Americas", "South America"), ("AR", "Argentina", "Americas", "South America"), ("CL", "Chile", "Americas", "South America"), ("CO", "Colombia", "Americas", "South America"),
-    ("ZA", "South Africa", "Africa", "Southern Africa"), ("EG", "Egypt", "Africa", "Northern Africa"), ("NG", "Nigeria", "Africa", "Western Africa"), ("KE", "Kenya", "Africa", "Eastern Africa"), ("AU", "Australia", "Oceania", "Australia and New Zealand"), ("NZ", "New Zealand", "Oceania", "Australia and New Zealand"),
-]
+# Fixed values: (source type, category, scope, counts as research performing in the primary scope). Any other type is unknown.
+INSTITUTION_TYPES = [
+    ("education", "education", "primary", True), ("government", "government_research", "primary", True), ("nonprofit", "nonprofit_research", "primary", True), ("facility", "research_facility", "primary", True),
+    ("healthcare", "healthcare", "secondary", False), ("company", "company", "secondary", False), ("archive", "archive", "secondary", False), ("other", "other", "secondary", False),
+    ("funder", "funder", "excluded", False),
+]
 
 _AUTHORSHIP = "author struct<id:string>, institutions array<struct<id:string,ror:string,display_name:string,country_code:string,type:string,lineage:array<string>>>, raw_affiliation_strings array<string>, affiliations array<struct<raw_affiliation_string:string>>"
 
@@ -120,10 +115,27 @@ def master(ext: DataFrame) -> DataFrame:
 
 
 def region_rows() -> list[tuple[str, str, str, str]]:
-    """All 251 analytical codes of ``regions.csv``; names of COUNTRIES and M49's spelling of South-eastern Asia are kept."""
-    names = {c[0]: c[1] for c in COUNTRIES}
+    """All analytical country codes with name, macro-region and subregion, from the packaged table."""
     rows = csv.reader(files("weftline.operators").joinpath("regions.csv").read_text(encoding="utf-8").splitlines()[1:])
-    return [(code, names.get(code, name), macro, {"Southeastern Asia": "South-eastern Asia"}.get(sub, sub)) for code, name, macro, sub in rows]
+    return [tuple(r) for r in rows]
+
+
+def typed(inst: DataFrame) -> DataFrame:
+    """``normalized_category``, ``analytical_scope`` and ``is_primary_research_scope`` from ``institution_type``.
+
+    Types are compared in lower case; a null, empty or unlisted type is ``unknown`` and outside the
+    primary scope. Columns of these names are replaced.
+    """
+    names = ("normalized_category", "analytical_scope", "is_primary_research_scope")
+    table = inst.sparkSession.createDataFrame(INSTITUTION_TYPES, "_type string, _c string, _s string, _p boolean")
+    j = inst.drop(*names).withColumn("_type", F.lower("institution_type")).join(F.broadcast(table), "_type", "left")
+    return j.withColumns({names[0]: F.coalesce("_c", F.lit("unknown")), names[1]: F.coalesce("_s", F.lit("unknown")), names[2]: F.coalesce("_p", F.lit(False))}).drop("_type", "_c", "_s", "_p")
+
+
+def institution_type_profile(inst: DataFrame) -> DataFrame:
+    """Institutions by source type with what the type is mapped to."""
+    t = inst.groupBy("institution_type").agg(F.count(F.lit(1)).alias("institution_count"))
+    return typed(t).select("institution_type", "institution_count", "normalized_category", "analytical_scope", "is_primary_research_scope")
 
 
 def regions(spark) -> DataFrame:

@@ -198,8 +198,8 @@ def dyads(layers: DataFrame) -> DataFrame:
 def layer_overlap(layers: DataFrame) -> DataFrame:
     """Shared and united dyads and nodes of every two layers of a view that both have a dyad.
 
-    Each dyad becomes one row with the set of its layers, so layers are compared without a join of
-    their edges.
+    Nodes are the ends of all edges, self edges among them; a null end is none. Each dyad becomes
+    one row with the set of its layers, so layers are compared without a join of their edges.
     """
     def shared(items: DataFrame, keys: list[str], name: str) -> DataFrame:
         s = items.groupBy(*VIEW, *keys).agg(F.array_sort(F.collect_set("layer")).alias("ls"))
@@ -209,7 +209,7 @@ def layer_overlap(layers: DataFrame) -> DataFrame:
 
     d = dyads(layers)
     size = d.groupBy(*VIEW, "layer").agg(F.count(F.lit(1)).alias("n"))
-    nodes = d.select(*VIEW, "layer", F.explode(F.array("a", "b")).alias("x")).distinct()
+    nodes = endpoint_nodes(layers, *VIEW, "layer").filter("institution_id is not null").withColumnRenamed("institution_id", "x")
     nsize = nodes.groupBy(*VIEW, "layer").agg(F.count(F.lit(1)).alias("m"))
     z = size.join(nsize, [*VIEW, "layer"])
     ab = z.withColumnsRenamed({"layer": "layer_a", "n": "na", "m": "ma"}).join(z.withColumnsRenamed({"layer": "layer_b", "n": "nb", "m": "mb"}), VIEW).filter("layer_a < layer_b")

@@ -4,8 +4,35 @@ from __future__ import annotations
 
 import re
 
-from weftline.operators.corpus import FIRST_YEAR, LAST_YEAR, VARIANTS, WORK_TYPES
-from weftline.operators.institutions import COUNTRIES
+
+# Fixed values, stated here again and not taken from the operators, so that a wrong value there shows.
+FIRST_YEAR, LAST_YEAR = 2010, 2025
+VARIANTS = (
+    "strict_primary", "broad_primary", "strict_preprint_sensitivity", "broad_preprint_sensitivity", "strict_expanded_sensitivity",
+    "broad_expanded_sensitivity", "strict_all_versions_sensitivity", "broad_all_versions_sensitivity", "uncertain_topic_sensitivity",
+)
+PRIMARY_TYPES = ("article", "conference-paper", "review", "data-paper", "software-paper")
+EXPANDED_TYPES = ("conference-abstract", "dataset", "software", "book", "book-chapter", "dissertation", "report", "standard")
+EXCLUDED_TYPES = ("libguides", "other", "reference-entry", "peer-review", "paratext", "book-review", "editorial", "erratum", "supplementary-materials", "letter", "retraction")
+INSTITUTION_TYPES = """('education', 'education', 'primary', true), ('government', 'government_research', 'primary', true), ('nonprofit', 'nonprofit_research', 'primary', true), ('facility', 'research_facility', 'primary', true), ('healthcare', 'healthcare', 'secondary', false),
+    ('company', 'company', 'secondary', false), ('archive', 'archive', 'secondary', false), ('other', 'other', 'secondary', false), ('funder', 'funder', 'excluded', false)"""
+# Countries by macro-region and subregion: those of the tables that the check runs on, and the larger others.
+COUNTRIES = {
+    ("Europe", "Western Europe"): "DE Germany, FR France, NL Netherlands (Kingdom of the), AT Austria, CH Switzerland, BE Belgium",
+    ("Europe", "Northern Europe"): "GB United Kingdom of Great Britain and Northern Ireland, IE Ireland, SE Sweden, FI Finland, NO Norway, DK Denmark",
+    ("Europe", "Southern Europe"): "IT Italy, ES Spain, PT Portugal, GR Greece",
+    ("Europe", "Eastern Europe"): "PL Poland, CZ Czechia, RU Russian Federation, UA Ukraine",
+    ("Asia", "Eastern Asia"): "CN China, JP Japan, KR Republic of Korea",
+    ("Asia", "Southeastern Asia"): "TH Thailand, VN Viet Nam, ID Indonesia, MY Malaysia, SG Singapore",
+    ("Asia", "Southern Asia"): "IN India, IR Iran (Islamic Republic of), PK Pakistan",
+    ("Asia", "Western Asia"): "TR Türkiye, IL Israel, SA Saudi Arabia",
+    ("Americas", "Northern America"): "US United States of America, CA Canada",
+    ("Americas", "Central America"): "MX Mexico",
+    ("Americas", "South America"): "BR Brazil, AR Argentina, CL Chile, CO Colombia",
+    ("Africa", "Northern Africa"): "EG Egypt",
+    ("Africa", "Sub-Saharan Africa"): "ZA South Africa, NG Nigeria, KE Kenya",
+    ("Oceania", "Australia and New Zealand"): "AU Australia, NZ New Zealand",
+}
 
 
 def array_of(c: str, depth: int = 2) -> str:
@@ -28,8 +55,8 @@ def joined(xs: str) -> str:
     return f"array_to_string(list_sort(list_distinct({xs})), ',')"
 
 
-_types = ", ".join(f"('{t}', {a}, {b}, {c})" for t, a, b, c in WORK_TYPES)
-_countries = ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in COUNTRIES)
+_types = ", ".join([*(f"('{t}', true, true, true)" for t in PRIMARY_TYPES), "('preprint', false, true, true)", *(f"('{t}', false, false, true)" for t in EXPANDED_TYPES), *(f"('{t}', false, false, false)" for t in EXCLUDED_TYPES)])
+_countries = ", ".join(f"('{x[:2]}', '{x[3:]}', '{macro}', '{sub}')" for (macro, sub), names in COUNTRIES.items() for x in names.split(", "))
 _clean = "NOT is_retracted AND NOT is_paratext"
 _rep = "is_recommended_primary_representative"
 _flags = {
@@ -57,7 +84,7 @@ STEPS: dict[str, str] = {
         coalesce(dn, 1) AS exact_doi_member_count, coalesce(tn, 0) AS possible_title_member_count, tn IS NOT NULL AND dn IS NULL AS ambiguous_possible_family, k = 1 AS is_recommended_primary_representative, k::INTEGER AS representative_rank, first_id AS primary_representative_work_id,
         CASE WHEN dn > 1 AND k = 1 THEN 'selected_deterministically_within_exact_doi_family' WHEN dn > 1 THEN 'non_representative_exact_doi_duplicate' WHEN tn > 1 THEN 'retained_because_title_only_family_is_ambiguous' ELSE 'singleton_record' END AS representative_reason
         FROM (SELECT *, row_number() OVER o AS k, first_value(work_id) OVER o AS first_id FROM v1 WINDOW o AS (PARTITION BY CASE WHEN dn > 1 THEN ndoi ELSE work_id END ORDER BY is_retracted NULLS LAST, is_paratext NULLS LAST,
-        CASE WHEN work_type IN ({', '.join(repr(t) for t, a, *_ in WORK_TYPES if a)}) THEN 0 WHEN work_type = 'preprint' THEN 2 ELSE 1 END, cited_by_count DESC NULLS LAST, source_updated_date DESC NULLS LAST, work_id)) AS o""",
+        CASE WHEN work_type IN ({', '.join(map(repr, PRIMARY_TYPES))}) THEN 0 WHEN work_type = 'preprint' THEN 2 ELSE 1 END, cited_by_count DESC NULLS LAST, source_updated_date DESC NULLS LAST, work_id)) AS o""",
     "c0": f"""SELECT w.*, coalesce(t.s, false) AS s, coalesce(t.b, false) AS b, coalesce(t.u, false) AS u, coalesce(p.p1, false) AS p1, coalesce(p.p2, false) AS p2, coalesce(p.p3, false) AS p3, coalesce(t.fams, []) AS method_families, v.is_recommended_primary_representative
         FROM w JOIN versions AS v USING (work_id) LEFT JOIN (VALUES {_types}) AS p(work_type, p1, p2, p3) USING (work_type)
         LEFT JOIN (SELECT work_id, bool_or(corpus_membership = 'strict') AS s, bool_or(corpus_membership IN ('strict', 'broad_only')) AS b, bool_or(corpus_membership = 'uncertain') AS u,
@@ -121,7 +148,7 @@ STEPS: dict[str, str] = {
     "near": f"""SELECT *, row_number() OVER (PARTITION BY {V}, me ORDER BY s DESC, you)::INTEGER AS r FROM (SELECT {V}, source_id AS me, target_id AS you, s FROM cos UNION ALL SELECT {V}, target_id, source_id, s FROM cos) AS z""",
     "sims": """SELECT c.*, a.r AS source_neighbor_rank, b.r AS target_neighbor_rank FROM cos AS c JOIN near AS a ON a.year = c.year AND a.corpus_view = c.corpus_view AND a.hierarchy_view = c.hierarchy_view AND a.me = c.source_id AND a.you = c.target_id JOIN near AS b ON b.year = c.year AND b.corpus_view = c.corpus_view AND b.hierarchy_view = c.hierarchy_view AND b.me = c.target_id AND b.you = c.source_id WHERE least(a.r, b.r) <= 20""",
     "dyad": f"SELECT DISTINCT {V}, layer, least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM layer_edges WHERE source_id <> target_id",
-    "dnode": f"SELECT {V}, layer, a AS x FROM dyad UNION SELECT {V}, layer, b FROM dyad",
+    "dnode": f"SELECT {V}, layer, source_id AS x FROM layer_edges WHERE source_id IS NOT NULL UNION SELECT {V}, layer, target_id FROM layer_edges WHERE target_id IS NOT NULL",
     "cat": f"""SELECT n.*, coalesce(e.edge_count, 0) AS edge_count, coalesce(e.edge_count, 0) AS configured_filtered_edge_count, coalesce(e.tf, 0) AS total_full_weight, coalesce(e.tw, 0.0) AS total_fractional_weight, coalesce(a.n, 0) AS active_node_count, n.node_count - coalesce(a.n, 0) AS isolated_output_node_count
         FROM (SELECT {V}, count(*) AS node_count, count(*) FILTER (WHERE analytical_scope = 'primary') AS primary_node_count, sum(work_count)::BIGINT AS summed_node_work_count FROM outs GROUP BY ALL) AS n LEFT JOIN (SELECT {V}, count(*) AS edge_count, sum(full_count)::BIGINT AS tf, sum(fractional_count) AS tw FROM edges GROUP BY ALL) AS e USING (year, corpus_view, hierarchy_view)
         LEFT JOIN (SELECT {V}, count(DISTINCT institution_id) AS n FROM sym GROUP BY ALL) AS a USING (year, corpus_view, hierarchy_view)""",
@@ -168,7 +195,8 @@ ORACLES: dict[str, str] = {name: sql(text) for name, text in {
     "nrm4_export": "SELECT w.work_id, coalesce(t.n, 0)::INTEGER AS topic_count, coalesce(f.n, 0)::INTEGER AS reference_count, coalesce(t.x, '') AS topics, coalesce(f.x, '') AS refs FROM w LEFT JOIN (SELECT work_id, count(*) AS n, string_agg(topic_id, ',' ORDER BY topic_id) AS x FROM topics GROUP BY 1) AS t USING (work_id) LEFT JOIN (SELECT work_id, count(*) AS n, string_agg(referenced_work_id, ',' ORDER BY referenced_work_id) AS x FROM refs GROUP BY 1) AS f USING (work_id)",
     "nrm5_work_topics": f"SELECT work_id, topic_id, topic_name, {r('topic_score')}, corpus_membership, method_family, is_primary_topic FROM topics",
     "nrm6_reconciliation": "SELECT count(*) AS works, count(DISTINCT work_id) AS ids, min(publication_year) AS lo, max(publication_year) AS hi FROM w",
-    "typ1_types": f"SELECT c.work_type, c.work_count, coalesce(p.a, false) AS in_primary, coalesce(p.b, false) AS in_preprint, coalesce(p.c, false) AS in_expanded FROM (SELECT work_type, count(*) AS work_count FROM w GROUP BY 1) AS c LEFT JOIN (VALUES {_types}) AS p(work_type, a, b, c) ON p.work_type = c.work_type",
+    "typ1_types": f"SELECT c.work_type, c.work_count, p.a IS NOT NULL AS is_known_type, coalesce(p.a, false) AS in_primary, coalesce(p.b, false) AS in_preprint, coalesce(p.c, false) AS in_expanded FROM (SELECT work_type, count(*) AS work_count FROM w GROUP BY 1) AS c LEFT JOIN (VALUES {_types}) AS p(work_type, a, b, c) ON p.work_type = c.work_type",
+    "typ1_institution_types": f"SELECT i.institution_type, i.institution_count, coalesce(p.c, 'unknown') AS normalized_category, coalesce(p.s, 'unknown') AS analytical_scope, coalesce(p.p, false) AS is_primary_research_scope FROM (SELECT t AS institution_type, count(*) AS institution_count FROM (SELECT min(institution_type) AS t FROM institutions WHERE institution_id IS NOT NULL GROUP BY institution_id) AS y GROUP BY 1) AS i LEFT JOIN (VALUES {INSTITUTION_TYPES}) AS p(t, c, s, p) ON p.t = lower(i.institution_type)",
     "st6_hash_sample": "SELECT publication_year, work_id, k::INTEGER AS sample_rank FROM (SELECT publication_year, work_id, row_number() OVER (PARTITION BY publication_year ORDER BY sha256('20240|' || publication_year || '|' || work_id), work_id) AS k FROM w) AS z WHERE k <= 20",
     "st7_strata": "SELECT years, citations, work_id FROM (SELECT *, row_number() OVER (PARTITION BY years, citations ORDER BY sha256('7|' || years || '|' || citations || '|' || work_id), work_id) AS k FROM (SELECT work_id, CASE WHEN publication_year < 2016 THEN 'early' WHEN publication_year < 2021 THEN 'middle' ELSE 'late' END AS years, CASE WHEN cited_by_count > 0 THEN 'cited' ELSE 'uncited' END AS citations FROM w) AS y) AS z WHERE k <= 1",
     "ver1_families": "SELECT * FROM versions",
@@ -188,9 +216,9 @@ ORACLES: dict[str, str] = {name: sql(text) for name, text in {
     "edg2_diagnostics": f"SELECT {V}, work_id, max(institution_count) AS institution_count, count(*) AS pair_count, round(sum(fractional_weight), 6) AS fractional_sum, (max(institution_count) * (max(institution_count) - 1) // 2)::BIGINT AS expected_pair_count FROM pairs GROUP BY ALL",
     "edg3_edges_year": f"SELECT {E}, full_count, {r('fractional_count')}, distinct_work_count, large_consortium_work_count, maximum_consortium_size, array_to_string(fams, ',') AS families, array_to_string(sample, ',') AS sample, source_country, target_country FROM edges",
     "out1_outputs": f"SELECT {N}, country_code, work_count, {r('fractional_work_count')}, collaborative_work_count, single_institution_work_count, international_work_count, cross_region_work_count, round(international_work_count / work_count, 6) AS international_collaboration_share, round(cross_region_work_count / work_count, 6) AS cross_region_collaboration_share FROM outs",
-    "out2_reconciliation": f"SELECT a.*, {r('fractional_sum')}, b.work_count_sum, true AS reconciles FROM (SELECT {V}, count(DISTINCT work_id) AS distinct_work_count, count(*) AS membership_count FROM mem GROUP BY ALL) AS a JOIN (SELECT {V}, sum(fractional_work_count) AS fractional_sum, sum(work_count)::BIGINT AS work_count_sum FROM outs GROUP BY ALL) AS b USING (year, corpus_view, hierarchy_view)",
+    "out2_reconciliation": f"SELECT a.*, {r('fractional_sum')}, b.work_count_sum, a.membership_count = b.work_count_sum AND abs(a.distinct_work_count - b.fractional_sum) < 1e-6 AS reconciles FROM (SELECT {V}, count(DISTINCT work_id) AS distinct_work_count, count(*) AS membership_count FROM mem GROUP BY ALL) AS a JOIN (SELECT {V}, sum(fractional_work_count) AS fractional_sum, sum(work_count)::BIGINT AS work_count_sum FROM outs GROUP BY ALL) AS b USING (year, corpus_view, hierarchy_view)",
     "flw1_flows": f"SELECT {V}, geographic_level, source_geography, target_geography, full_count, {r('fractional_count', 'normalized_share')}, distinct_work_count, distinct_institution_pair_count, array_to_string(sample, ',') AS sample FROM flows",
-    "flw2_reconciliation": f"SELECT {V}, geographic_level, sum(full_count)::BIGINT AS flow_full, round(sum(fractional_count), 6) AS flow_fractional, true AS reconciles FROM flows GROUP BY ALL",
+    "flw2_reconciliation": f"SELECT f.*, f.flow_full = p.a AND abs(f.flow_fractional - p.b) < 1e-5 AS reconciles FROM (SELECT {V}, geographic_level, sum(full_count)::BIGINT AS flow_full, round(sum(fractional_count), 6) AS flow_fractional FROM flows GROUP BY ALL) AS f JOIN (SELECT {V}, sum(full_weight) AS a, sum(fractional_weight) AS b FROM pairs GROUP BY ALL) AS p USING (year, corpus_view, hierarchy_view)",
     "int1_intensity": f"SELECT {E}, {r('normalized_intensity', 'visualization_score')}, a3 AS active_years_3y, a5 AS active_years_5y, round(a3 / 3.0, 6)::DOUBLE AS persistence_3y, round(a5 / 5.0, 6)::DOUBLE AS persistence_5y, year - 2010 + 1 < 3 AS persistence_3y_incomplete_window, year - 2010 + 1 < 5 AS persistence_5y_incomplete_window FROM scored",
     "grf1_catalogue": f"SELECT {V}, node_count, primary_node_count, summed_node_work_count, edge_count, configured_filtered_edge_count, total_full_weight, {r('total_fractional_weight')}, active_node_count, isolated_output_node_count FROM cat",
     "met1_nodes": f"SELECT {N}, degree, full_strength, {r('fractional_strength', 'bridge_score')}, partner_country_count, partner_region_count FROM nodes",
@@ -199,7 +227,7 @@ ORACLES: dict[str, str] = {name: sql(text) for name, text in {
     "met8_dynamics": f"SELECT y.year, y.corpus_view, y.hierarchy_view, coalesce(c.n, 0) - coalesce(b.n, 0) AS new_edge_count, coalesce(b.n, 0) AS continuing_edge_count, coalesce(p.n, 0) - coalesce(b.n, 0) AS disappearing_edge_count FROM (SELECT *, lag(year) OVER (PARTITION BY corpus_view, hierarchy_view ORDER BY year) AS py FROM (SELECT DISTINCT {V} FROM edges) AS q) AS y LEFT JOIN (SELECT {V}, count(*) AS n FROM edges GROUP BY ALL) AS c USING (year, corpus_view, hierarchy_view) LEFT JOIN (SELECT {V}, count(*) AS n FROM edges GROUP BY ALL) AS p ON p.year = y.py AND p.corpus_view = y.corpus_view AND p.hierarchy_view = y.hierarchy_view LEFT JOIN (SELECT z.year, z.corpus_view, z.hierarchy_view, count(*) AS n FROM (SELECT e.*, q.py FROM edges AS e JOIN (SELECT *, lag(year) OVER (PARTITION BY corpus_view, hierarchy_view ORDER BY year) AS py FROM (SELECT DISTINCT {V} FROM edges) AS q0) AS q USING (year, corpus_view, hierarchy_view)) AS z JOIN edges AS o ON o.year = z.py AND o.corpus_view = z.corpus_view AND o.hierarchy_view = z.hierarchy_view AND o.source_id = z.source_id AND o.target_id = z.target_id GROUP BY ALL) AS b ON b.year = y.year AND b.corpus_view = y.corpus_view AND b.hierarchy_view = y.hierarchy_view",
     "cit1_flows": f"SELECT {E}, full_count, {r('fractional_count')}, negative_lag_full_count, minimum_citation_lag_years, maximum_citation_lag_years, is_institution_self_flow FROM cites",
     "cit2_coverage": "SELECT *, round(institution_resolved_reference_count / nullif(reference_count, 0), 6) AS institution_resolved_share FROM cover",
-    "cit3_reconciliation": f"SELECT {V}, c.institution_pair_contribution_count, coalesce(f.a, 0) AS flow_full, c.institution_resolved_reference_count, round(coalesce(f.b, 0.0), 6) AS flow_fractional, true AS reconciles FROM cover AS c LEFT JOIN (SELECT {V}, sum(full_count)::BIGINT AS a, sum(fractional_count) AS b FROM cites GROUP BY ALL) AS f USING (year, corpus_view, hierarchy_view)",
+    "cit3_reconciliation": f"SELECT {V}, c.institution_pair_contribution_count, coalesce(f.a, 0) AS flow_full, c.institution_resolved_reference_count, round(coalesce(f.b, 0.0), 6) AS flow_fractional, coalesce(f.a, 0) = c.institution_pair_contribution_count AND abs(coalesce(f.b, 0.0) - c.institution_resolved_reference_count) < 1e-6 AS reconciles FROM cover AS c LEFT JOIN (SELECT {V}, sum(full_count)::BIGINT AS a, sum(fractional_count) AS b FROM cites GROUP BY ALL) AS f USING (year, corpus_view, hierarchy_view)",
     "sim1_vectors": f"SELECT {N}, topic_id, {r('topic_weight', 'l2_norm')}, round(nw, 6) AS normalized_topic_weight, contributing_work_count, institution_work_count, core_rank FROM vec",
     "sim2_topk": f"SELECT {E}, shared_topic_count, round(s, 6) AS cosine_similarity, source_neighbor_rank, target_neighbor_rank, eligible AS threshold_eligible_pair_count FROM sims",
     "mpx1_layers": f"SELECT {V}, 'coauthorship' AS layer, source_id, target_id, round(fractional_count, 6) AS layer_weight, 'undirected' AS directionality FROM edges UNION ALL SELECT {V}, 'citation_flow', source_id, target_id, round(fractional_count, 6), 'directed' FROM cites UNION ALL SELECT {V}, 'topic_proximity', source_id, target_id, round(s, 6), 'undirected' FROM sims",
@@ -243,7 +271,7 @@ ORACLES: dict[str, str] = {name: sql(text) for name, text in {
         FROM (SELECT {V}, count(*) AS node_count, avg(degree) AS mean_degree, avg(full_strength) AS mean_full_strength, avg(fractional_strength) AS mean_fractional_strength FROM nodes GROUP BY ALL) AS n LEFT JOIN (SELECT {V}, count(*) AS edge_count, avg((source_region <> target_region)::INTEGER) AS a, coalesce(sum(fractional_count) FILTER (WHERE source_region <> target_region), 0.0) / sum(fractional_count) AS b FROM edges GROUP BY ALL) AS e USING (year, corpus_view, hierarchy_view)
         JOIN (SELECT {V}, count(*) AS connected_component_count, max(size) AS largest FROM (SELECT {V}, component_id, count(*) AS size FROM comp GROUP BY ALL) AS c0 GROUP BY ALL) AS c USING (year, corpus_view, hierarchy_view)""",
     "sim3_coverage": f"""SELECT s.*, round(coalesce(x.t, 0.0), 6) AS expected_score, coalesce(v.n, 0) AS eligible_institution_count, coalesce(v.core, 0) AS core_institution_count, round(coalesce(v.w, 0.0), 6) AS vector_weight, coalesce(e.n, 0) AS selected_edge_count, coalesce(e.k, 0) AS threshold_eligible_pair_count, s.in_scope_institution_count - coalesce(v.n, 0) AS zero_vector_institution_count, coalesce(v.n, 0) - coalesce(v.core, 0) AS excluded_by_core_count,
-        round(coalesce(v.n, 0) / s.in_scope_institution_count, 6) AS eligible_share, coalesce(v.core, 0) * (coalesce(v.core, 0) - 1) // 2 AS candidate_pair_count, true AS score_reconciles FROM (SELECT {V}, count(DISTINCT institution_id) AS in_scope_institution_count FROM mem GROUP BY ALL) AS s LEFT JOIN (SELECT c.year, c.corpus_view, c.hierarchy_view, sum(t.topic_score) AS t FROM ctx AS c JOIN elig AS t ON t.work_id = c.work_id AND t.corpus_view = c.corpus_view GROUP BY ALL) AS x USING (year, corpus_view, hierarchy_view)
+        round(coalesce(v.n, 0) / s.in_scope_institution_count, 6) AS eligible_share, coalesce(v.core, 0) * (coalesce(v.core, 0) - 1) // 2 AS candidate_pair_count, abs(coalesce(x.t, 0.0) - coalesce(v.w, 0.0)) < 1e-6 AS score_reconciles FROM (SELECT {V}, count(DISTINCT institution_id) AS in_scope_institution_count FROM mem GROUP BY ALL) AS s LEFT JOIN (SELECT c.year, c.corpus_view, c.hierarchy_view, sum(t.topic_score) AS t FROM ctx AS c JOIN elig AS t ON t.work_id = c.work_id AND t.corpus_view = c.corpus_view GROUP BY ALL) AS x USING (year, corpus_view, hierarchy_view)
         LEFT JOIN (SELECT {V}, count(DISTINCT institution_id) AS n, count(DISTINCT institution_id) FILTER (WHERE core) AS core, sum(topic_weight) AS w FROM vec GROUP BY ALL) AS v USING (year, corpus_view, hierarchy_view) LEFT JOIN (SELECT {V}, count(*) AS n, max(eligible) AS k FROM sims GROUP BY ALL) AS e USING (year, corpus_view, hierarchy_view)""",
     "sen1_matrix": """SELECT comparison_id, baseline_label, alternative_label, round(a, 6) AS baseline_value, round(b, 6) AS alternative_value, round(b - a, 6) AS absolute_difference, round(abs(b - a) / greatest(abs(a), 1e-12), 6) AS absolute_relative_change, coalesce(abs(b - a) / greatest(abs(a), 1e-12) >= 0.2, false) AS major_change, CASE WHEN comparison_id = 'S08' THEN 'not_available_no_human_reviewed_registry' ELSE 'complete' END AS status FROM (
         SELECT 'S01' AS comparison_id, 'strict' AS baseline_label, 'broad' AS alternative_label, (SELECT count(*)::DOUBLE FROM edges WHERE hierarchy_view = 'organization' AND corpus_view = 'strict') AS a, (SELECT count(*)::DOUBLE FROM edges WHERE hierarchy_view = 'organization' AND corpus_view = 'broad') AS b
@@ -262,7 +290,10 @@ ORACLES: dict[str, str] = {name: sql(text) for name, text in {
         FROM (SELECT {V}, count(*) AS total_node_count, count(*) FILTER (WHERE latitude IS NOT NULL AND longitude IS NOT NULL) AS coordinate_node_count FROM outs GROUP BY ALL) AS n JOIN (SELECT e.year, e.corpus_view, e.hierarchy_view, count(*) AS total_edge_count, count(*) FILTER (WHERE a.latitude IS NOT NULL AND a.longitude IS NOT NULL AND b.latitude IS NOT NULL AND b.longitude IS NOT NULL) AS coordinate_edge_count FROM edges AS e
         JOIN outs AS a ON a.year = e.year AND a.corpus_view = e.corpus_view AND a.hierarchy_view = e.hierarchy_view AND a.institution_id = e.source_id JOIN outs AS b ON b.year = e.year AND b.corpus_view = e.corpus_view AND b.hierarchy_view = e.hierarchy_view AND b.institution_id = e.target_id GROUP BY ALL) AS e USING (year, corpus_view, hierarchy_view) LEFT JOIN (SELECT {V}, count(*) AS n FROM kept GROUP BY ALL) AS k USING (year, corpus_view, hierarchy_view)""",
     "view4_labels": "SELECT institution_id, arg_max(display_name, year) AS display_name, string_agg(DISTINCT year::VARCHAR, ',' ORDER BY year::VARCHAR) AS years FROM outs GROUP BY 1",
-    "val1_contracts": "SELECT 'works' AS table_name, count(*) AS row_count, count(DISTINCT work_id) AS distinct_keys, true AS key_is_unique FROM w UNION ALL SELECT 'work_topics', count(*), count(DISTINCT (work_id, topic_id)), true FROM topics UNION ALL SELECT 'work_corpus', count(*), count(DISTINCT work_id), true FROM corpus UNION ALL SELECT 'work_institutions', count(*), count(DISTINCT (work_id, hierarchy_view, institution_id)), true FROM wi UNION ALL SELECT 'edges_year', count(*), count(*), true FROM edges UNION ALL SELECT 'institution_outputs_year', count(*), count(*), true FROM outs UNION ALL SELECT 'region_flows_year', count(*), count(*), true FROM flows",
+    "val1_contracts": " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS row_count, count(DISTINCT {key}) AS distinct_keys, count(*) = count(DISTINCT {key}) AS key_is_unique FROM {step}" for name, step, key in (
+        ("works", "w", "work_id"), ("work_topics", "topics", "(work_id, topic_id)"), ("work_corpus", "corpus", "work_id"), ("work_institutions", "wi", "(work_id, hierarchy_view, institution_id)"),
+        ("edges_year", "edges", f"({E})"), ("institution_outputs_year", "outs", f"({N})"), ("region_flows_year", "flows", f"({V}, geographic_level, source_geography, target_geography)"),
+    )),
     "src1_projected_scan": "SELECT year, count(*) AS n FROM layer_edges WHERE year >= 2018 AND layer = 'coauthorship' GROUP BY 1",
     "mpx0_layer_years": "SELECT layer, year, count(*) AS edge_count, round(sum(layer_weight), 6) AS weight FROM layer_edges GROUP BY 1, 2",
 }.items()}

@@ -54,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _q(make) f
     "nrm5_work_topics": lambda b: b.topics.select("work_id", "topic_id", "topic_name", "topic_score", "corpus_membership", "method_family", "is_primary_topic"),
     "nrm6_reconciliation": lambda b: b.works.agg(F.count(F.lit(1)).alias("works"), F.count_distinct("work_id").alias("ids"), F.min("publication_year").alias("lo"), F.max("publication_year").alias("hi")),
     "typ1_types": lambda b: corpus.type_profile(b.works),
+    "typ1_institution_types": lambda b: institutions.institution_type_profile(institutions.institution_rows(b.raw("institutions"))),
     "top1_lexical": lambda b: corpus.lexical_topic_scores(b.raw("topic_registry"), ["flood exposure", "remote sensing", "land cover", "network analysis"]),
     "st6_hash_sample": lambda b: corpus.hash_sample(b.works.select("publication_year", "work_id"), ["publication_year"], "work_id", 20, "20240").select("publication_year", "work_id", "sample_rank"),
     "st7_strata": lambda b: corpus.hash_sample(b.works.select("work_id", F.when(F.col("publication_year") < 2016, "early").when(F.col("publication_year") < 2021, "middle").otherwise("late").alias("years"), F.when(F.col("cited_by_count") > 0, "cited").otherwise("uncited").alias("citations")), ["years", "citations"], "work_id", 1, "7").select("years", "citations", "work_id"),
