@@ -4,6 +4,7 @@ import random
 import unicodedata
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,7 +191,7 @@ def test_residue_on_held_out_documents(spark):
 
 
 def test_residue_slots_of_any_form():
-    trusted = lambda t: any(sure for p in residue.passages(t) for sure, _ in residue.slot_windows(p))
+    trusted = lambda t: any(sure for sure, _ in residue.slot_features(t))
     text = "We mapped land cover in two regions. {} The results agree with the field survey."
     long = "[Insert the full name and postal address of the responsible institution and of the person who answers for the data here]"
     slots = (long, long.replace(" and postal", ". Then the postal"), long.replace(" and of", "\nand of"), "[The name\ngoes here]", "<enter the title.\nThen the year>", "<% render the list of all records. of this page and of all the pages behind it %>")
@@ -199,5 +200,26 @@ def test_residue_slots_of_any_form():
     assert not any(trusted(text.format(x)) for x in real)
 
 
+def test_residue_verdicts_do_not_depend_on_other_rows():
+    docs, _ = _corpus(random.Random(4), 300)
+    texts = [t for _, t in docs] + ["Name: {{ " + "a" * n + "1234567 }} of the list." for n in (20, 50, 55, 60)]
+    rnd = np.random.default_rng(1)
+    words = rnd.normal(0, 1, (residue.BUCKETS, 3)).astype(np.float32)
+    model = residue.Model(words, np.log([0.7, 0.3]), -2.0, rnd.normal(0, 1, residue.BUCKETS), 0.5)
+    alone = [tuple(float(x[0]) for x in residue.score([t], model)) for t in texts]
+    together = list(zip(*map(list, residue.score(texts, model))))
+    back = list(zip(*map(list, residue.score(texts[::-1], model))))[::-1]
+    for a, b, c in zip(alone, together, back):
+        assert np.allclose(a, b, atol=1e-3) and np.allclose(a, c, atol=1e-3)
+
+
+def test_passages_are_whole_and_distinct():
+    long = "The survey covers the valley. " * 80_000 + "x" * 1_300_000 + "\nLast line here"
+    ps = residue.passage_features(["", "One two. One two. Three!", long, " ", "One two"])
+    assert ps.doc.tolist()[:2] == [1, 1] and ps.repeats.tolist()[:2] == [2, 1] and ps.doc.tolist()[-1] == 4
+    own = ps.words[ps.doc == 2]
+    assert ps.repeats[ps.doc == 2].sum() >= 80_000 and own[0] == 5 and own[-1] == 3 and len(ps.f) == ps.size.sum()
+
+
 def test_residue_empty(spark):
     assert residue.residue_found(spark.createDataFrame([], "doc_id long, text string")).count() == 0

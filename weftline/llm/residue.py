@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,27 +20,31 @@ from pyspark.sql import functions as F
 from weftline.llm.tokens import has_content
 from weftline.session import Scratch
 
-BUCKETS = 1 << 18
+BITS = 18
+BUCKETS = 1 << BITS
 FIT_DOCS = 40_000  # most documents that the models are fitted on, taken by hash; all documents are scored
-EM_ROUNDS = 5
-SHRINK = 0.015  # pseudo-counts, as a share of each class, that pull a word's odds to the whole collection's
-JUNK, CONTENT, SLOT = 2.0, -20.0, -8.0  # log odds from which a passage speaks for or against residue, and a sign for a slot
-
-# Phrases that only residue uses (trusted records consist of nothing else). They are
-# seeds; the model finds the rest.
+EM_ROUNDS = 40  # most rounds; EM ends when no weight and no prior moves by more than EM_STEP
+EM_STEP = 0.01
+SHRINK, CLIP = 0.015, 5.0  # pseudo-counts as a share of each class, and the bound of a feature's log odds
+NOTICE = 1e-3  # share of the passages of real records that may be notices or other boilerplate beside the content
+FIT_NOTICE = 1e-12  # the same within EM, where a strong passage may teach more
+MAX_LANGS = 15  # languages with a content model of their own; all others share one
+PIECE = 1 << 20  # characters of text that are in memory as arrays at once
+
+# Phrases of trusted records. They only pick the records that the fit starts from; no
+# document is judged by them.
 TRUSTED_PHRASES = (
-    r"^\W*(?:please )?(?:enable|activate|turn on|switch on) (?:javascript|scripts)", r"javascript is (?:disabled|turned off|not enabled)", r"need to enable javascript",
-    r"aktivieren sie (?:bitte )?javascript", r"javascript eingeschaltet", r"activer javascript", r"(?:habilite|ative|active|activar|activez) (?:o |os |el )?(?:javascript|scripts)",
-    r"browser does not support", r"scripts? (?:are|is) (?:blocked|disabled|turned off)", r"cookies and scripts must", r"^noscript\b", r"check that scripting is allowed", r"requires? \w+ and client-side script",
-    r"^\W*(?:http |error |status |code )*(?:4[0-3]\d|50\d)\b", r"\((?:4[0-3]\d|50\d)\)$", r"status code (?:4|5)\d\d", r"^(?:access denied|acceso denegado|acesso negado|acc[eè]s refus|zugriff verweigert)", r"(?:page|seite|page|p[aá]gina) (?:not found|nicht gefunden|introuvable|no encontrada|n[aã]o encontrada)",
-    r"^traceback \(most recent", r"^(?:fatal )?(?:server )?error\b", r"\bnullpointerexception", r"^\s*at [\w.$]+\([\w.]+:\d+\)", r"^\{\"error\"", r"<serviceexception", r"uncaught exception", r"something went wrong", r"session has expired", r"log in or register", r"(?:gateway|upstream) time-?out", r"service temporarily unavailable", r"could not connect to",
-    r"goes here\.?$", r"^replace this text", r"^click here to edit", r"^todo\b", r"_placeholder\b", r"replace default text", r"default text\)$",
-    r"^type your \w+", r"delete this line", r"^(?:saisir|écrire) ici", r"remplacer ce texte", r"^escriba aquí", r"(?:sustituya|reemplace) este texto", r"^hier steht d(?:ie|er|as)\b", r"bitte ersetzen", r"^escreva aqui", r"substitua este texto",
-    r"^(?:lorem ipsum|sample text|dummy (?:text|paragraph)|this is filler|blindtext|texte d'exemple|texto de (?:relleno|ejemplo|exemplo))",
-    r"verify (?:that )?you are (?:human|not a robot)", r"(?:service|site|page|address|item) (?:has been|was) (?:retired|removed|moved|withdrawn|blocked)", r"no content is available", r"your address has been blocked", r"rate limit", r"not found on this server", r"do not have permission to access", r"down for maintenance",
-    r"can(?:no|')t find the (?:record|page|item)", r"(?:internal|interner|interne|interno) (?:server )?(?:error|fehler|erro)\b", r"^(?:erreur|error|erro) intern[eo]",
+    # notices about scripts
+    "javascript", "scripts", "scripting", "noscript",
+    # errors and missing pages
+    "not found", "nicht gefunden", "introuvable", "no encontrada", "não encontrada", "internal server error", "interner fehler", "erreur interne", "error interno", "erro interno",
+    "traceback", "uncaught exception", "nullpointerexception", "serviceexception", "\"error\"", "could not connect", "can't find", "something went wrong", "unavailable", "status code", "loading",
+    # login and blocking pages
+    "access denied", "log in", "anmeldung erforderlich", "human", "session has expired", "rate limit",
+    # instructions of a template
+    "goes here", "replace this text", "delete this line", "click here to edit", "default text", "todo", "remplacer ce texte", "bitte ersetzen", "sustituya este texto", "substitua este texto", "lorem ipsum",
 )
-# Common function words; eight words without one of them are no prose of these languages.
+# Common function words; text without one of them is no prose of these languages.
 FUNCTION_WORDS = frozenset(
     "the of and in to a is was for with on at by from that are were be as it an or this which had have has not but we our only near between into "
     "der die das und in im den dem des von zu mit auf für ist sind ein eine einer aus bei nach wurde wurden nur am wir "
@@ -43,227 +52,439 @@ FUNCTION_WORDS = frozenset(
     "el los las y del al con por para es son se una su nos más solo como "
     "o os as e do da dos das em no na com um uma ao foi são mais".split()
 )
-# Spellings of an unfilled slot. In the first group nothing else is ever meant.
-PLAIN_SLOTS = (
-    r"\[\s*(?:insert|enter|your|add|rellenar|à compléter|preencher|einfügen)\b[^\[\]\n]{0,1000}\]", r"\[[^\[\]\n]{1,1000} (?:to be added|goes here)\]", r"\[[^\[\]\n]{1,40} here\]", r"<(?:insert|enter|your) [^<>\n]{1,1000}>",
-    r"\([^()\n]{1,1000} goes here\)", r"«[^«»\n]{1,1000} hier einfügen»", r"<%=?[^%\n]{1,1000}%>", r"\{%[^%\n]{1,1000}%\}", r"@@[^@\n]{1,40}@@", r"\bXX_\w{1,40}_XX\b", r"&lt;[^&\n]{1,40}&gt;", r"%\([^()\n]{1,40}\)[sd]",
-    r"\b\w+_PLACEHOLDER\b", r"\[object Object\]", r"<<[^<>\n]{1,40}>>", r"%%[^%\n]{1,40}%%",
-)
-OTHER_SLOTS = (
-    r"\{\{[^{}\n]{1,60}\}\}", r"\$\{[^{}\n]{1,60}\}", r"#\{[^{}\n]{1,60}\}", r"\[\[[^\[\]\n]{1,60}\]\]", r"\{[^{}\n]{1,60}\}", r"\[[^\[\]\n]{1,60}\]", r"<[A-Za-z_][A-Za-z_ ]{0,40}>", r"\$[A-Za-z_][A-Za-z_ ]{0,40}\$", r"__[A-Za-z]\w{0,40}?__",
-    r"%[sd]\b", r"\b(?:undefined|NaN|null|None|NULL|nil)\b",
-)
-_SLOT = re.compile("(?i:" + "|".join(PLAIN_SLOTS) + ")|" + "|".join(OTHER_SLOTS))
-_PLAIN = re.compile("|".join(PLAIN_SLOTS), re.I)
-# The spellings that may be long, over line breaks and sentence ends too: looked for in the whole text.
-_WIDE = re.compile("|".join(x.replace(r"\n", "").replace(" (?:to", r"\s(?:to").replace(" hier", r"\shier").replace("your) ", r"your)\s").replace(" goes", r"\sgoes") for x in PLAIN_SLOTS if "1000" in x), re.I)
-_QUOTES = ("''", '""', "“”", "‘’", "``")
-_TRUST = re.compile("|".join(TRUSTED_PHRASES), re.I)
-_EMPTY = re.compile(r"%[sd]|undefined|nan|null|none|nil|\[object object\]", re.I)
-_PASSAGE = re.compile(r"\n+|(?<=[.!?])\s+")
-_WORD = re.compile(r"[^\W\d_]+|#+|[^\w\s]")
-_NAV = re.compile(r"\s+[|>]\s+")
+# What may be a slot: anything in the brackets of common template languages, formats and empty values of programs.
+_SLOT = re.compile(
+    r"\{\{[^{}]{1,1000}\}\}|[$#]\{[^{}]{1,1000}\}|\{%[^%]{1,1000}%\}|\{[^{}]{1,1000}\}|\[\[[^\[\]]{1,1000}\]\]|\[[^\[\]]{1,1000}\]|<<[^<>]{1,1000}>>|<%=?[^%]{1,1000}%>|<[A-Za-z_][^<>=/\"]{0,1000}>"
+    r"|&lt;[^&]{1,1000}&gt;|«[^«»]{1,1000}»|\([^()]{1,1000} goes here\)|%\([^()\n]{1,1000}\)[sd]|%%[^%\n]{1,60}%%|@@[^@\n]{1,60}@@|\$[A-Za-z_][A-Za-z_ ]{0,60}\$|\b__[A-Za-z]\w{0,60}?__|\bXX_\w{1,60}?_XX\b"
+    r"|\b\w+_PLACEHOLDER\b|%[sd]\b|\b(?:undefined|NaN|null|None|NULL|nil)\b"
+)
+_MAYBE = re.compile(r"[\[{«@]|<[A-Za-z<%]|&lt;|%[sd(%]|\$[A-Za-z_{]|__|XX_|_PLACEHOLDER|goes here|undefined|NaN|null|None|NULL|nil")
+_EMPTY = re.compile(r"%[sd]|undefined|NaN|null|None|NULL|nil|\[object Object\]")
+# Trusted slots, for the fit only: spellings that mean nothing else, outside of quotation marks.
+_SURE = re.compile(r"\W*(?:insert|enter|your|rellenar|preencher|à compléter)\b|.*(?:goes here|hier einfügen|to be added|_placeholder)\W*$|\[object object\]$|%%|@@|<%|\{%|<<|&lt;|%\(|XX_", re.I | re.S)
 _QUOTED = re.compile(r"(?<!\w)'[^'\n]{1,120}'(?!\w)|\"[^\"\n]{1,120}\"|“[^”\n]{1,120}”|‘[^’\n]{1,120}’|`[^`\n]{1,120}`")
-_BULLET = re.compile(r"^(?:=>|[-*•])\s+")
+_TRUST = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, TRUSTED_PHRASES)) + r")(?!\w)", re.I)
+_BREAK = re.compile(r"\n|[.!?]\s")
+_WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
+_INNER = re.compile(r"[^\W\d_]+|[,:;>=|]")
+_EDGES = re.compile(r"[^\w\s]*"), re.compile(r"[^\w\s]*$")
+
+U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """0 space or control, 1 letter or mark, 2 digit, 3 any other sign, by code point; all beyond U+FFFF are letters."""
+    first = {"L": 1, "M": 1, "N": 2, "Z": 0, "C": 0}
+    return np.array([first.get(unicodedata.category(chr(c))[0], 3) for c in range(1 << 16)], np.uint8)
+
+
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64: hashes of any stretch from one running sum."""
+    out = []
+    for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+        a = np.full(2 * PIECE + 2, x, U)
+        a[0] = 1
+        out.append(np.cumprod(a, dtype=U))
+    return out[0], out[1]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> U(31))) * U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
+    return h ^ (h >> U(31))
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> U(64 - BITS)).astype(np.int32)
+
+
+_NUMBER = U(0x1234567)  # stands for every word with a digit
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, passage number, text, is a word of letters) of every word and sign of the texts together."""
+    low = [t.lower() for t in texts]
+    first = np.cumsum([0, *(len(t) + 1 for t in low)])[:-1]
+    cp = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(cp)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none.astype(U), none, none, none.astype(bool)
+    kind = _kinds()[np.minimum(cp, 0xFFFF)]
+    word = (kind == 1) | (kind == 2)
+    up, down = _powers()
+    total = np.concatenate(([U(0)], np.cumsum((cp.astype(U) + U(1)) * up[:n], dtype=U)))
+    digits = np.concatenate(([0], np.cumsum(kind == 2)))
+    start = np.flatnonzero((word & ~np.concatenate(([False], word[:-1]))) | (kind == 3))
+    is_word, end = word[start], start + 1
+    end[is_word] = np.flatnonzero(word & ~np.concatenate((word[1:], [False]))) + 1
+    h = _mix((total[end] - total[start]) * down[start])
+    number = digits[end] > digits[start]
+    h[number] = _NUMBER
+    cut = np.isin(cp, (10, 13, 0x2028, 0x2029))
+    cut[1:] |= np.isin(cp[:-1], (33, 46, 63)) & (kind[1:] == 0)
+    return h, np.cumsum(cut)[start], np.searchsorted(first, start, "right") - 1, is_word & ~number
+
+
+@lru_cache(1)
+def _function_words() -> np.ndarray:
+    return np.concatenate([_tokens([w])[0] for w in sorted(FUNCTION_WORDS)])
+
+
+@dataclass
+class Passages:
+    """Distinct passages of some texts, in the order of the texts, with their features one behind the other."""
+
+    doc: np.ndarray  # text of each passage
+    words: np.ndarray  # words of letters
+    plain: np.ndarray  # of them function words
+    repeats: np.ndarray  # how often the text has the passage
+    size: np.ndarray  # number of features
+    f: np.ndarray  # features: words, signs and pairs of them, hashed; and how many function words there are
+
+
+def passage_features(texts: list[str]) -> Passages:
+    """Lines and sentences of the texts, each once a text, so that a long repetitive text cannot outweigh the rest.
+
+    Works on arrays of code points, ``PIECE`` characters at a time; a longer text is cut at line ends
+    or spaces, whole otherwise. Case does not matter, words with a digit are one sign.
+    """
+    parts: list[tuple] = []
+    group: list[str] = []
+    owner: list[int] = []
+    held = 0
+
+    def flush() -> None:
+        nonlocal group, owner, held
+        if group:
+            parts.append(_passages(group, np.array(owner)))
+        group, owner, held = [], [], 0
+
+    for i, t in enumerate(texts):
+        at = 0
+        while at < len(t):
+            end = len(t)
+            if end - at > PIECE // 2:
+                end = at + PIECE // 2
+                cut = max(t.rfind("\n", at + 1, end), at)
+                cut = cut if cut > at else t.rfind(" ", at + 1, end)
+                end = cut if cut > at else end
+            if held and held + end - at > PIECE // 2:
+                flush()
+            group.append(t[at:end])
+            owner.append(i)
+            held += end - at + 1
+            at = end
+    flush()
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return Passages(none, none, none, none, none, none.astype(np.int32))
+    doc, h, words, plain, size, f = (np.concatenate(x) for x in zip(*parts))
+    key = _mix(h ^ _mix(doc.astype(U) + U(1)))
+    _, keep, n = np.unique(key, return_index=True, return_counts=True)
+    order = np.argsort(keep)
+    keep, n = keep[order], n[order]
+    used = np.zeros(len(doc), bool)
+    used[keep] = True
+    return Passages(doc[keep], words[keep], plain[keep], n, size[keep], f[np.repeat(used, size)])
+
+
+def _passages(texts: list[str], owner: np.ndarray) -> tuple:
+    h, pid, text, word = _tokens(texts)
+    if not len(h):
+        none = np.zeros(0, np.int64)
+        return none, none.astype(U), none, none, none, none.astype(np.int32)
+    new = np.concatenate(([True], (pid[1:] != pid[:-1]) | (text[1:] != text[:-1])))
+    p, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    n = len(first)
+    up, _ = _powers()
+    whole = _mix(np.add.reduceat(h * up[np.arange(len(h)) - first[p]], first))
+    same = p[1:] == p[:-1]
+    pairs = _mix(h[:-1] * U(31) + h[1:] + U(7))[same]
+    words, plain = np.bincount(p, word, n).astype(np.int64), np.bincount(p, np.isin(h, _function_words()) & word, n).astype(np.int64)
+    long = np.flatnonzero(words >= 8)
+    prose = np.where(plain[long] == 0, U(11), np.where(plain[long] * 12 < words[long], U(12), U(13)))
+    f = np.concatenate((_bucket(h), _bucket(pairs), _bucket(_mix(prose))))
+    of = np.concatenate((p, p[:-1][same], long))
+    order = np.argsort(of, kind="stable")
+    return owner[text[first]], whole, words, plain, np.bincount(of, minlength=n), f[order]
 
 
 def _hash(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
 
 
-def _words(passage: str) -> list[str]:
-    return _WORD.findall(re.sub(r"\w*\d\w*", "#", _BULLET.sub("", passage).lower()))
-
+def _words(s: str) -> list[str]:
+    return ["#" if x.isdigit() else x for x in _WORD.findall(_SLOT.sub(lambda m: " ¤ " if _EMPTY.fullmatch(m.group()) else " § ", s).lower())]
 
-def passage_features(passage: str) -> list[int]:
-    """Hashed words and word pairs of a passage; digits are one sign."""
-    w = _words(passage)
-    return [_hash(x) for x in w] + [_hash(f"{a} {b}") for a, b in zip(w, w[1:])]
 
+def slot_features(text: str) -> list[tuple[bool, list[int]]]:
+    """(trusted, features) of every sign of a text that may be a slot, whatever its length, over line breaks too.
 
-def slot_windows(passage: str) -> Iterator[tuple[bool, list[int]]]:
-    """(trusted, features) of every slot-like sign of a passage, in its context.
-
-    Trusted are spellings that mean nothing else, and empty values of a program at two or more
-    places of one passage; not what stands in quotation marks.
-    The spelling itself is no feature, so trusted spellings teach what stands in and around a slot.
+    Features are what stands in it and around it in its passage, its spelling, whether it is quoted,
+    and how many such signs and empty values the passage has.
     """
-    hits = list(_SLOT.finditer(passage))
+    if not _MAYBE.search(text):
+        return []
+    hits = list(_SLOT.finditer(text))
     if not hits:
-        return
-    quotes = [m.span() for m in _QUOTED.finditer(passage)]
-    inside = [any(a < m.start() and m.end() < b + (m.end() == b) for a, b in quotes) or passage[max(0, m.start() - 1) : m.start()] + passage[m.end() : m.end() + 1] in _QUOTES for m in hits]
-    empties = sum(bool(_EMPTY.fullmatch(m.group())) and not q for m, q in zip(hits, inside))
-    masked, last, at = [], 0, []
-    for m in hits:
-        masked += _words(passage[last : m.start()])
-        at.append(len(masked))
-        masked.append("¤" if _EMPTY.fullmatch(m.group()) else "§")
-        last = m.end()
-    masked += _words(passage[last:])
-    for m, i, quoted in zip(hits, at, inside):
-        inner = re.findall(r"[^\W_]+|[^\w\s]", re.sub(r"\d+", "#", m.group().lower().replace("_", " ")))
-        inner = [x for x in inner if x.isalnum() or x in ":,>=#"]
-        around = masked[max(0, i - 4) : i] + masked[i + 1 : i + 5]
-        f = [f"in {x}" for x in inner] + [f"by {x}" for x in around] + [f"{a} {b}" for a, b in zip(masked[max(0, i - 3) : i + 4], masked[max(0, i - 3) + 1 : i + 4])]
-        f += [f"type {masked[i]}", f"empties {min(empties, 3) if masked[i] == '¤' else 'x'}", f"quoted {quoted}"]
-        plain = _PLAIN.fullmatch(m.group()) or (masked[i] == "¤" and empties > 1)
-        yield bool(plain) and not quoted, [_hash(x) for x in f]
-
-
-def passages(text: str) -> list[str]:
-    """Lines and sentences of a text; a slot that may be long is never cut."""
-    whole = _WIDE.sub(lambda m: re.sub(r"[.!?]*\s+", " ", m.group()), text)
-    return [p for p in map(str.strip, _PASSAGE.split(whole)) if p]
-
-
-def _wordless(p: str) -> bool:
-    """A long passage without any function word: filler, no prose."""
-    w = [x for x in re.findall(r"[^\W\d_]+", p.lower())]
-    return len(w) >= 8 and not _NAV.search(p) and not any(x in FUNCTION_WORDS for x in w)
-
-
-def trusted_record(ps: list[str]) -> bool:
-    """A record of trusted phrases or filler and, beside them, only short lines."""
-    if _wordless(" ".join(ps)) or (len(ps) > 2 and len(set(ps)) == 1):  # filler, word salad or one passage over and over
-        return True
-    sure = 0
-    for p in ps:
-        if _TRUST.search(p) or _wordless(p):
-            sure += 1
-        elif len(p.split()) > 8 and not _NAV.search(p):
-            return False
-    return sure > 0 and (sure >= len(ps) / 4 or len(ps) <= 12)
-
-
-def fit(docs: DataFrame, scratch: Scratch, fit_docs: int = FIT_DOCS, rounds: int = EM_ROUNDS) -> list[np.ndarray]:
-    """Log odds of each feature for (passages, slots), by EM on trusted and unlabelled units.
-
-    Units of trusted records (or slots of trusted spelling) are positive throughout. All others
-    start as negative; each round scores them and counts them by their posteriors. Only sums by
-    feature come to the driver: 2 x 262,144 at most.
+        return []
+    quotes = [m.span() for m in _QUOTED.finditer(text)]
+    starts = [a for a, _ in quotes]
+
+    def quoted(m: re.Match) -> bool:
+        k = bisect_right(starts, m.start()) - 1
+        return k >= 0 and m.end() <= quotes[k][1]
+
+    breaks = [m.end() for m in _BREAK.finditer(text)]
+    rows = [(m, bisect_right(breaks, m.start()), quoted(m), bool(_EMPTY.fullmatch(m.group()))) for m in hits]
+    empties = Counter(i for _, i, q, e in rows if e and not q)
+    signs = Counter(i for _, i, _, _ in rows)
+    out = []
+    for m, i, q, e in rows:
+        g, j = m.group(), bisect_left(breaks, m.end())
+        lo, hi = breaks[i - 1] if i else 0, breaks[j] if j < len(breaks) else len(text)
+        before, after = _words(text[max(lo, m.start() - 200) : m.start()])[-4:], _words(text[m.end() : min(hi, m.end() + 200)])[:4]
+        inner = [] if e else _INNER.findall(g.lower().replace("_", " "))[:8]
+        me = "¤" if e else "§"
+        run = [*(["^"] if len(before) < 4 else []), *before, me, *after, *(["$"] if len(after) < 4 else [])]
+        shape = g.lower() if e else f"{_EDGES[0].match(g).group()[:3]} {_EDGES[1].search(g).group()[-3:]}"
+        f = [*(f"in {x}" for x in inner), f"in {min(len(inner), 5)}", *(f"by {x}" for x in before + after), *(f"pair {a} {b}" for a, b in zip(run, run[1:]))]
+        f += [f"shape {shape}", f"quoted {q}", f"empties {min(empties[i], 3)} {me}", f"signs {min(signs[i], 3)} {me}"]
+        sure = not q and (empties[i] > 1 if e and g != "[object Object]" else bool(_SURE.match(g)))
+        out.append((sure, [_hash(x) for x in f]))
+    return out
+
+
+def _is_prose(line: str) -> bool:
+    """A line of more than eight words, two or more of them function words, that is no menu."""
+    w = re.findall(r"[^\W\d_]+", line.lower())
+    return len(w) > 8 and sum(x in FUNCTION_WORDS for x in w) > 1 and not re.search(r"\s[|>]\s", line)
+
+
+def trusted_records(texts: list[str], ps: Passages) -> np.ndarray:
+    """Which texts the fit takes as residue from the start.
+
+    Short ones with a trusted phrase and no prose beside it, one short passage over and over, and repetitive text without any function word.
+    """
+    n = len(texts)
+    words, plain, several = (np.bincount(ps.doc, x, n) for x in (ps.words, ps.plain, ps.repeats))
+    out = (np.bincount(ps.doc, minlength=n) == 1) & (several > 2) & (words <= 12)
+    for i in np.flatnonzero((words <= 60) & ~out):
+        lines = [x for x in re.split(r"\n|(?<=[.!?])\s", texts[i]) if x.strip()]
+        told = [bool(_TRUST.search(x)) for x in lines]
+        out[i] = any(told) and not any(_is_prose(x) for x, t in zip(lines, told) if not t)
+    for i in np.flatnonzero((plain == 0) & (words >= 12) & ~out):
+        w = re.findall(r"[^\W\d_]+", texts[i].lower())
+        out[i] = len(set(w)) <= 0.8 * len(w)
+    return out
+
+
+@dataclass
+class Model:
+    """Log odds against the whole collection's frequencies: of residue, of content in each language; and priors."""
+
+    words: np.ndarray  # by feature: of residue, then of content in each language
+    share: np.ndarray
+    prior: float
+    slots: np.ndarray
+    slot_prior: float
+
+    def passages(self, size: np.ndarray, f: np.ndarray, notice: float = NOTICE) -> np.ndarray:
+        """Log odds that a residue and not a real record has each passage.
+
+        Residue against content in whatever language explains it; but a real record may carry a
+        notice, too, so no passage can speak for residue by more than 1 / ``notice``.
+        """
+        if not len(size):
+            return np.zeros(0)
+        z = np.add.reduceat(self.words[f], np.cumsum(size) - size, axis=0).astype(float)  # every passage has a feature
+        ways = z[:, 1:] + self.share
+        top = ways.max(1)
+        return -np.logaddexp(math.log(1 - notice) + top + np.log(np.exp(ways - top[:, None]).sum(1)) - z[:, 0], math.log(notice))
+
+    def slot_odds(self, size: np.ndarray, f: np.ndarray) -> np.ndarray:
+        return self.slot_prior + np.bincount(np.repeat(np.arange(len(size)), size), self.slots[f], len(size))
+
+
+def _log_odds(n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    a = max(1.0, SHRINK * n.sum())
+    return np.clip(np.log((n + a * q) / ((n.sum() + a) * q)), -CLIP, CLIP)
+
+
+def _posterior(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
+
+
+_UNITS = "lang string, sure boolean, size array<int>, f array<int>, slot_sure array<boolean>, slot_size array<int>, slot_f array<int>"
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 1000):
+            b = whole.slice(lo, 1000)
+            texts = b.column(1).to_pylist()
+            ps = passage_features(texts)
+            at = np.concatenate(([0], np.cumsum(np.bincount(ps.doc, minlength=len(texts))))).astype(np.int32)
+            ends = np.concatenate(([0], np.cumsum(ps.size))).astype(np.int32)[at]
+            slots = [slot_features(t) for t in texts]
+            cols = [
+                b.column(0), pa.array(trusted_records(texts, ps)), pa.ListArray.from_arrays(at, ps.size.astype(np.int32)), pa.ListArray.from_arrays(ends, ps.f),
+                pa.array([[s for s, _ in x] for x in slots], pa.list_(pa.bool_())), pa.array([[len(f) for _, f in x] for x in slots], pa.list_(pa.int32())), pa.array([[y for _, f in x for y in f] for x in slots], pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["lang", "sure", "size", "f", "slot_sure", "slot_size", "slot_f"])
+
+
+def _sparse(kind: int, x: np.ndarray) -> pa.RecordBatch:
+    i = np.flatnonzero(x)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), kind, np.int32)), pa.array(i.astype(np.int32)), pa.array(x[i].astype(float))], names=["kind", "i", "n"])
+
+
+def _gather(df: DataFrame, run, kinds: int) -> np.ndarray:
+    """Sums by kind and feature over all tasks: at most ``kinds`` x 262,144 numbers come to the driver."""
+    rows = df.mapInArrow(run, "kind int, i int, n double").groupBy("kind", "i").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((kinds, BUCKETS))
+    out[rows["kind"].to_numpy(int), rows["i"].to_numpy(int)] = rows["n"].to_numpy(float)
+    return out
+
+
+def fit(docs: DataFrame, scratch: Scratch, fit_docs: int = FIT_DOCS, rounds: int = EM_ROUNDS) -> Model:
+    """Two positive-unlabelled naive Bayes models by EM: of records through their passages, and of slots.
+
+    ``docs`` has text and lang. Trusted units are residue throughout, all others start as content;
+    each round judges them by the model so far and counts them by their posteriors, until nothing
+    moves; a model that stands still is left alone. Content has a model for each language (most frequent ones apart, at most 15, and one for
+    the rest), so that a language can never pass for residue. Features seen less than three times
+    say nothing. Only sums by feature come to the driver, at most 18 x 262,144.
     """
     n = docs.count()
     if n > fit_docs:
-        docs = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_docs / n))
+        docs = docs.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 12) < int((1 << 52) * fit_docs / n))
+    units = scratch.write(docs.select("lang", "text").mapInArrow(_units, _UNITS), "units")
+    langs = [r[0] for r in units.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    at, k = {x: i for i, x in enumerate(langs)}, len(langs) + 1
+    sc = docs.sparkSession.sparkContext
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tongues(b: pa.RecordBatch) -> np.ndarray:
+        return np.array([at.get(x, k - 1) for x in b.column(0).to_pylist()], int)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((k + 2, BUCKETS))
         for b in batches:
-            model, sure, feats = [], [], []
-            for t in b.column(0).to_pylist():
-                ps = passages(t)
-                trusted = trusted_record(ps)
-                for p in dict.fromkeys(ps):  # once a document: a long repetitive text must not outweigh the rest
-                    model.append(0)
-                    sure.append(trusted)
-                    feats.append(passage_features(p))
-                    for s, f in slot_windows(p):
-                        model.append(1)
-                        sure.append(s)
-                        feats.append(f)
-                if len(feats) > 20_000:
-                    yield _units(model, sure, feats)
-                    model, sure, feats = [], [], []
-            yield _units(model, sure, feats)
-
-    def _units(model: list, sure: list, feats: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(model, pa.int32()), pa.array(sure, pa.bool_()), pa.array(feats, pa.list_(pa.int32()))], names=["model", "sure", "f"])
-
-    table = scratch.write(docs.select("text").mapInArrow(units, "model int, sure boolean, f array<int>"), "units")
-    sc = docs.sparkSession.sparkContext
-    state: tuple | None = None
+            lang, own = tongues(b), np.repeat(np.arange(b.num_rows), np.diff(b.column(3).offsets.to_numpy()))
+            f = _lists(b.column(3))[1]
+            for j in np.unique(lang):
+                sums[j] += np.bincount(f[lang[own] == j], minlength=BUCKETS)
+            sums[k] += np.bincount(_lists(b.column(6))[1], minlength=BUCKETS)
+            sums[k + 1, : k + 1] += np.append(np.bincount(lang, minlength=k), len(b.column(5).flatten()))
+        for j, x in enumerate(sums):
+            yield _sparse(j, x)
+
+    all_of = _gather(units, totals, k + 2)
+    count, slot_count, docs_of, slots_of = all_of[:k], all_of[k], all_of[k + 1, :k].copy(), all_of[k + 1, k]
+    words, seen, slot_seen = count.sum(0), count.sum(0) >= 3, slot_count >= 3
+    q, slot_q = (words + 1e-3) / (words + 1e-3).sum(), (slot_count + 1e-3) / (slot_count + 1e-3).sum()
+    model: Model | None = None
+    words_open = slots_open = True
     for _ in range(rounds):
-        known = sc.broadcast(state)
+        known = sc.broadcast((model, words_open, slots_open))
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((2, 2, BUCKETS))
-            units_seen = np.zeros((2, 2))
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (m, todo, slots_todo), sums = known.value, np.zeros((k + 2, BUCKETS))
             for b in batches:
-                lists = b.column(2)
-                model, sure = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-                f, off = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                sizes = np.diff(off)
-                p = sure.astype(float)
-                if known.value is not None:
-                    weights, prior = known.value
-                    for k in (0, 1):
-                        mine = (model == k) & ~sure.astype(bool)
-                        z = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights[k][f], minlength=len(sizes)) + prior[k]
-                        p[mine] = 1 / (1 + np.exp(-np.clip(z[mine], -40, 40)))
-                for k in (0, 1):
-                    w = np.repeat(np.where(model == k, p, 0.0), sizes)
-                    v = np.repeat(np.where(model == k, 1 - p, 0.0), sizes)
-                    sums[k, 1] += np.bincount(f, w, minlength=BUCKETS)
-                    sums[k, 0] += np.bincount(f, v, minlength=BUCKETS)
-                    units_seen[k] += (np.where(model == k, 1 - p, 0).sum(), np.where(model == k, p, 0).sum())
-            for k in (0, 1):
-                at = np.flatnonzero(sums[k].sum(0))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, k, np.int32)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(sums[k, 0, at], units_seen[k, 0])), pa.array(np.append(sums[k, 1, at], units_seen[k, 1]))], names=["model", "i", "neg", "pos"])
-
-        rows = table.mapInArrow(count, "model int, i int, neg double, pos double").groupBy("model", "i").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toPandas()
-        weights, priors = [], []
-        for k in (0, 1):
-            r = rows[rows["model"] == k]
-            seen = r[r["i"] < 0]
-            neg, pos = np.zeros(BUCKETS), np.zeros(BUCKETS)
-            r = r[r["i"] >= 0]
-            neg[r["i"].to_numpy(int)], pos[r["i"].to_numpy(int)] = r["neg"].to_numpy(float), r["pos"].to_numpy(float)
-            weights.append(_odds(neg, pos))
-            a, b = float(seen["pos"].sum()), float(seen["neg"].sum())
-            priors.append(math.log((a + 1) / (b + 1)))
-        state = (weights, priors)
-    return state[0]
-
-
-def _odds(neg: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Log odds of each feature, drawn to the collection's; features seen less than three times say nothing."""
-    total = neg + pos
-    q = total / max(1.0, total.sum())
-    a, b = max(1.0, SHRINK * pos.sum()), max(1.0, SHRINK * neg.sum())
-    w = np.log((pos + a * q + 1e-9) / (pos.sum() + a)) - np.log((neg + b * q + 1e-9) / (neg.sum() + b))
-    return np.where(total < 3, 0.0, np.clip(w, -4.0, 4.0)).astype(np.float32)
-
-
-def judge(text: str, weights: list[np.ndarray], seen: dict) -> tuple[bool, float, float, float]:
-    """(residue, best passage, worst passage, best slot) in log odds.
-
-    Residue if a slot is found anywhere, or a passage speaks for residue and none is content.
+                if slots_todo:
+                    slot_p, slot_size, slot_f = b.column(4).flatten().to_numpy(zero_copy_only=False).astype(float), b.column(5).flatten().to_numpy(zero_copy_only=False), _lists(b.column(6))[1]
+                    if m is not None:
+                        slot_p = np.maximum(slot_p, _posterior(m.slot_odds(slot_size, slot_f)))
+                    sums[k] += np.bincount(slot_f, np.repeat(slot_p, slot_size), BUCKETS)
+                    sums[k + 1, k] += slot_p.sum()
+                if not todo:
+                    continue
+                lang, p = tongues(b), b.column(1).to_numpy(zero_copy_only=False).astype(float)
+                per, f = np.diff(b.column(3).offsets.to_numpy()), _lists(b.column(3))[1]
+                if m is not None:
+                    size, of = b.column(2).flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(b.num_rows), np.diff(b.column(2).offsets.to_numpy()))
+                    p = np.maximum(p, _posterior(m.prior + np.bincount(of, m.passages(size, f, FIT_NOTICE), b.num_rows)))
+                own, weight = np.repeat(lang, per), np.repeat(p, per)
+                some = weight > 1e-9
+                for j in np.unique(own[some]):
+                    mine = some & (own == j)
+                    sums[j] += np.bincount(f[mine], weight[mine], BUCKETS)
+                sums[k + 1, :k] += np.bincount(lang, p, k)
+            for j, x in enumerate(sums):
+                yield _sparse(j, x)
+
+        got = _gather(units, expect, k + 2)
+        known.unpersist()
+        old = model or Model(np.full((BUCKETS, k + 1), np.inf, np.float32), np.full(k, np.inf), math.inf, np.full(BUCKETS, np.inf), math.inf)
+        model = Model(old.words, old.share, old.prior, old.slots, old.slot_prior)
+        if words_open:
+            pos, docs_pos = got[:k], got[k + 1, :k]
+            odds = [_log_odds(pos.sum(0), q), *(_log_odds(np.maximum(count[j] - pos[j], 0), q) for j in range(k))]
+            left = np.maximum(docs_of - docs_pos, 0)
+            model.words = np.ascontiguousarray(np.where(seen, np.stack(odds), 0).T, dtype=np.float32)
+            model.share, model.prior = np.log((left + 1) / (left.sum() + k)), math.log((docs_pos.sum() + 1) / (left.sum() + 1))
+            words_open = max(np.abs(model.words - old.words).max(), np.abs(model.share - old.share).max(), abs(model.prior - old.prior)) > EM_STEP
+        if slots_open:
+            slot_pos, slots_pos = got[k], got[k + 1, k]
+            odds = _log_odds(slot_pos, slot_q) - _log_odds(np.maximum(slot_count - slot_pos, 0), slot_q)
+            model.slots, model.slot_prior = np.where(slot_seen, np.clip(odds, -CLIP, CLIP), 0), math.log((slots_pos + 1) / (max(0.0, slots_of - slots_pos) + 1))
+            slots_open = max(np.abs(model.slots - old.slots).max(), abs(model.slot_prior - old.slot_prior)) > EM_STEP
+        if not (words_open or slots_open):
+            break
+    return model
+
+
+_SCORES = "residue boolean, record_log_odds double, passage_log_odds double, slot_log_odds double, decided_by string"
+
+
+def score(texts: list[str], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log odds of the record, of its best passage, of its best slot) of each text; -99 where it has none.
+
+    The record's are the fitted prior and the sum over its distinct passages.
     """
-    best, worst, slot = -99.0, 99.0, -99.0
-    for p in passages(text):
-        k = re.sub(r"\d+", "#", p)
-        got = seen.get(k)
-        if got is None:
-            f = passage_features(p)
-            z = float(weights[0][f].sum()) if f else 0.0
-            s = max((float(weights[1][f].sum()) if not plain else 99.0 for plain, f in slot_windows(p)), default=-99.0)
-            got = (z, s)
-            if len(seen) < 200_000 and len(k) < 300:
-                seen[k] = got
-        z, s = got
-        best, worst, slot = max(best, z), min(worst, z), max(slot, s)
-    return slot > SLOT or (best > JUNK and worst > CONTENT), best, worst, slot
+    n, ps = len(texts), passage_features(texts)
+    z = m.passages(ps.size, ps.f)
+    record, best, slot = np.where(np.bincount(ps.doc, minlength=n) > 0, m.prior + np.bincount(ps.doc, z, n), -99.0), np.full(n, -99.0), np.full(n, -99.0)
+    np.maximum.at(best, ps.doc, z)
+    found = [(i, f) for i, t in enumerate(texts) for _, f in slot_features(t)]
+    if found:
+        doc, fs = zip(*found)
+        np.maximum.at(slot, np.array(doc), m.slot_odds(np.array([len(f) for f in fs]), np.concatenate([np.array(f) for f in fs])))
+    return record, best, slot
 
 
 def judge_documents(documents: DataFrame, *, fit_docs: int = FIT_DOCS, rounds: int = EM_ROUNDS) -> DataFrame:
-    """doc_id, residue, passage_log_odds, content_log_odds, slot_log_odds of every document with content.
+    """doc_id, residue, the log odds of record, best passage and best slot, and which decided, of every document with content.
 
-    Null and blank texts are no cases and have no row. Whole texts are read, whatever their length.
-    The models come from a bounded sample of documents; scoring is one pass without a shuffle.
+    A document is residue if one of its slots is more likely unfilled than not, or the record as a
+    whole is more likely residue than content; both by the fitted priors and posteriors. Null and
+    blank texts are no cases and have no row. Whole texts are read, whatever their length. The models
+    come from a bounded sample of documents; scoring is one pass without a shuffle. ``documents``
+    needs doc_id and text; lang is used by the fit if there.
     """
     scratch = Scratch(documents.sparkSession, "p10")
-    docs = documents.select("doc_id", "text").filter(has_content("text"))
-    weights = documents.sparkSession.sparkContext.broadcast(fit(docs, scratch, fit_docs, rounds))
+    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
+    docs = documents.select("doc_id", "text", lang.alias("lang")).filter(has_content("text"))
+    model = documents.sparkSession.sparkContext.broadcast(fit(docs, scratch, fit_docs, rounds))
     ids = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict = {}
         for b in batches:
-            rows = [judge(t, weights.value, seen) for t in b.column(1).to_pylist()]
-            r, best, worst, slot = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(r, pa.bool_()), pa.array(best, pa.float64()), pa.array(worst, pa.float64()), pa.array(slot, pa.float64())], names=["doc_id", "residue", "passage_log_odds", "content_log_odds", "slot_log_odds"])
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                record, best, slot = score(part.column(1).to_pylist(), model.value)
+                by = np.where(slot > 0, "slot", np.where(record > 0, "passages", None))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array((slot > 0) | (record > 0)), pa.array(record), pa.array(best), pa.array(slot), pa.array(by.tolist(), pa.string())], names=["doc_id", "residue", "record_log_odds", "passage_log_odds", "slot_log_odds", "decided_by"])
 
-    return docs.mapInArrow(run, f"doc_id {ids}, residue boolean, passage_log_odds double, content_log_odds double, slot_log_odds double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, {_SCORES}")
 
 
 def residue_found(documents: DataFrame, **kw) -> DataFrame:
