@@ -72,7 +72,7 @@ def test_survivors(spark):
 
 
 def test_forms_agree_with_unicode(spark):
-    texts = ["plain  ascii\t x ", "Ｆｕｌｌ　ｗｉｄｔｈ", "café", "café", "аео", "zero​width﻿", "ﬁeld Ⅱ", "ạ̇", "ạ̇", "한글", "한글", "x²", "", " ", "​", "a" * 100_000 + "́", "\U0001d400", "é" * 2000, "Å", "ё", "ế"]
+    texts = ["plain  ascii\t x ", "Ｆｕｌｌ　ｗｉｄｔｈ", "café", "café", "аео", "zero​width﻿", "ﬁeld Ⅱ", "ạ̇", "ạ̇", "한글", "한글", "x²", "", " ", "​", "a" * 100_000 + "́", "\U0001d400", "é" * 2000, "Å", "ё", "ế", "e\u0323\u0302\u0301\u0308\u0331", "a" + "\u0301" * 40 + "\u0323", "s\u0307\u0323\u0307", "\u09c7\u09be", "\u0301x", "\u1112\u1161\u11ab\u0301", "\u01d6\u0323"]
     df = spark.createDataFrame([(i, t, "f") for i, t in enumerate([*texts, None])], "k int, text string, form string")
     got = {r.k: r.form for r in lookalike.unified_column(df, "k", "text").collect()}
     like = {chr(a): chr(b) for a, b in lookalike.look_alikes().items()}
@@ -83,6 +83,15 @@ def test_forms_agree_with_unicode(spark):
     assert got[len(texts)] is None
 
 
+def test_recomposition_of_any_number_of_marks(spark):
+    rnd = random.Random(9)
+    marks = [chr(c) for c in range(0x300, 0x370) if unicodedata.normalize("NFC", chr(c)) == chr(c)] + list("\u05b0\u05b4\u0f71\u0f72\u0301\u0323\u0307")
+    texts = ["".join(rnd.choice("aeiouAEsSw가각ᄒ") + "".join(rnd.choice(marks) for _ in range(rnd.choice([0, 1, 2, 5, 9]))) for _ in range(6)) for _ in range(300)]
+    texts = sorted({t for t in texts if not set(unicodedata.normalize("NFD", t)) & set("\u034f")})
+    got = {r.text: r.form for r in lookalike.unify_texts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert all(got[t] == unicodedata.normalize("NFC", t) for t in texts)
+
+
 def test_look_alike_pairs_odd_cases(spark):
     data = [("1", "Map II"), ("2", "Map Ⅱ"), ("3", "Map  II"), ("4", "map II"), ("5", "Mаp II"), ("6", None), ("7", "Mаp II"), (None, "Map Ⅱ"), ("8", "Mäp"), ("1", "Map II")]
     df = spark.createDataFrame([(*d, "x") for d in data], "k string, t string, form string")
@@ -118,6 +127,17 @@ def test_pack_splits_only_what_exceeds(spark):
         packing.pack(sizes, {})
 
 
+def test_token_counts_of_parts_are_those_of_the_whole():
+    with open(tokens.RANKS, "rb") as f:
+        raw = f.read()
+    enc, count = tokens.encoder(raw), tokens.counter(raw)
+    rnd = random.Random(1)
+    texts = ["ab cd " * 200_000, "ab cd " * 180_001 + "   \n\n" * 90_000 + " x'll", "1234567 " * 130_000, "漢字、仮名。" * 200_000, "".join(rnd.choice(["word", " ", "\n", "'s", "12", ", ", "é", "\t"]) for _ in range(500_000)), "x y" + " " * 70_000 + "z" + "\n" * 60_000 + "\nq" + " " * 60_000]
+    for t in texts:
+        assert "".join(x for _, x in tokens.parts(t)) == t and count(t) == len(enc.encode_ordinary(t)), t[:20]
+    assert sum(1 for _ in tokens.parts(texts[0])) == 2 and count("x" + " " * 1_500_000 + "z") > 10
+
+
 def test_token_counts_whole_texts(spark):
     long = "ab cd " * 300_000
     df = spark.createDataFrame([(1, "one two three"), (2, long), (3, None), (4, "  \n"), (5, "")], "doc_id long, text string")
@@ -139,6 +159,7 @@ def test_mix_reaches_shares_within_caps(spark):
     data += [(9001, None, "a", 1, "t"), (9002, "  ", "b", 1, "t"), (9003, "river " * 20_000, "a", 1, "t")]
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 3), ("c", 0.1, 2), ("gone", 0.1, 4)], "source string, target_share double, max_repeats int")
     chosen, shares = mixing.mix(spark.createDataFrame(data, DOC), targets)
+    assert max(abs(r.expected_gap) for r in shares.collect()) < 0.01
     got = {r.source: r for r in shares.collect()}
     for s, want in (("a", 0.5), ("b", 0.3), ("c", 0.1)):
         assert abs(got[s].actual_share - want / 0.9) < 0.01, got
@@ -152,6 +173,21 @@ def test_mix_reaches_shares_within_caps(spark):
     assert abs(sum(r.tokens * r.repeats for r in small.collect()) - 2000) < 150
 
 
+def test_mix_is_decided_by_the_fitted_rates(spark, monkeypatch):
+    rnd = random.Random(8)
+    words = {"a": "river delta flood water basin", "b": "court law judge trial appeal"}
+    data = [(i, " ".join(rnd.choice(words[w].split()) for _ in range(12)), s, 1, "t") for i, (w, s) in enumerate([("a", "a")] * 150 + [("b", "b")] * 150 + [("b", "a")] * 25)]
+    docs, targets = spark.createDataFrame(data, DOC), spark.createDataFrame([("a", 0.75, 1), ("b", 0.25, 1)], "source string, target_share double, max_repeats int")
+    chosen, shares = mixing.mix(docs, targets, label_noise=0.2)
+    rate = {r.doc_id: r.rate for r in chosen.collect()}
+    odd = [rate.get(i, 0.0) for i in range(300, 325)]
+    assert len({round(x, 6) for x in rate.values()}) > 2 and min(rate.get(i, 0.0) for i in range(150)) > max(odd)  # one label, rates by text
+    assert {r.source: r.documents for r in shares.collect()}["a"] > 100
+    monkeypatch.setattr(mixing, "fit_rates", lambda *a, **k: [])
+    without = {(r.doc_id, r.repeats) for r in mixing.mix(docs, targets, label_noise=0.2)[0].collect()}
+    assert len(without) == len(data) and without != {(i, 1) for i in rate}
+
+
 def test_mix_empty_tables(spark):
     t = spark.createDataFrame([("a", 0.5, 1)], "source string, target_share double, max_repeats int")
     none = spark.createDataFrame([], DOC)

@@ -13,9 +13,9 @@ from weftline.operators.skew import block_pairs, join_unique
 from weftline.session import Scratch
 
 # Letters of other scripts and the Latin letter each looks like.
-CYRILLIC_LOWER = "аеіјорсухѕһԁԛԝӏ", "aeijopcyxshdqwl"
+CYRILLIC_LOWER = "аеіјорсухѕһԁԛԝӏѵү", "aeijopcyxshdqwlvy"
 CYRILLIC_UPPER = "АВЕІЈКМНОРСТУХЅԌԚԜӀ", "ABEIJKMHOPCTYXSGQWI"
-GREEK_LOWER = "ονιϳϲ", "ovijc"
+GREEK_LOWER = "ονιϳϲαρυ", "ovijcapu"
 GREEK_UPPER = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"
 ARMENIAN = "օոսցՕՍՏ", "onugOUS"
 LATIN_OTHER = "ɑɡıƖǀ", "agill"
@@ -66,17 +66,10 @@ def mapping() -> list[tuple[int, list[int]]]:
 
 @lru_cache(1)
 def compositions() -> list[tuple[int, int, int]]:
-    """(first, second, composite) for every pair that composes to one character."""
+    """(first, second, composite) for every pair that composes to one character, without Hangul, which is composed by rule; some 950."""
     out = []
     for cp in range(sys.maxunicode + 1):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
-        d = unicodedata.normalize("NFD", chr(cp)) if 0xAC00 <= cp <= 0xD7A3 else ""
-        if d:
-            a, b = (unicodedata.normalize("NFC", d[:2]), d[2]) if len(d) == 3 else (d[0], d[1])
-            out.append((ord(a), ord(b), cp))
-            continue
-        p = unicodedata.decomposition(chr(cp)).split()
+        p = [] if 0xD800 <= cp <= 0xDFFF else unicodedata.decomposition(chr(cp)).split()
         if len(p) == 2 and p[0][0] != "<":
             a, b = int(p[0], 16), int(p[1], 16)
             if unicodedata.normalize("NFC", chr(a) + chr(b)) == chr(cp):
@@ -84,14 +77,40 @@ def compositions() -> list[tuple[int, int, int]]:
     return out
 
 
-def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(decomposition and look-alike map, the same composed to text, combining classes, compositions)."""
+def _joins() -> Column:
+    """The pairs that compose, as one constant map from first * 2^21 + second."""
+    c = compositions()
+    return F.map_from_arrays(F.lit([(a << 21) + b for a, b, _ in c]), F.lit([ab for _, _, ab in c]))
+
+
+def composed(run: Column) -> Column:
+    """Code points of a starter and what stands behind it (struct ccc, cp, in canonical order), composed.
+
+    One fold over any number of marks: a mark joins the starter if a composite exists and no mark
+    before it that stayed has its class or a higher one; Hangul vowels and finals join by rule.
+    """
+    def step(s: Column, x: Column) -> Column:
+        base, cp = s["base"], x["cp"]
+        vowel = base.between(0x1100, 0x1112) & cp.between(0x1161, 0x1175)
+        final = base.between(0xAC00, 0xD7A3) & ((base - 0xAC00) % 28 == 0) & cp.between(0x11A8, 0x11C2)
+        pair = F.when(vowel, 0xAC00 + ((base - 0x1100) * 21 + cp - 0x1161) * 28).when(final, base + cp - 0x11A7).otherwise(F.try_element_at(_joins(), F.shiftleft(base.cast("long"), 21) + cp))
+        ab = F.when((F.size(s["rest"]) == 0) | (s["last"] < x["ccc"]), pair)
+        return F.when(ab.isNotNull(), F.struct(ab.cast("int").alias("base"), s["rest"].alias("rest"), s["last"].alias("last"))).otherwise(
+            F.struct(base.alias("base"), F.concat(s["rest"], F.array(cp)).alias("rest"), x["ccc"].alias("last"))
+        )
+
+    start = F.struct(F.get(run, 0)["cp"].alias("base"), F.array().cast("array<int>").alias("rest"), F.lit(0).alias("last"))
+    whole = F.aggregate(F.slice(run, 2, F.greatest(F.size(run), F.lit(2))), start, step, lambda s: F.concat(F.array(s["base"]), s["rest"]))
+    return F.when(F.size(run) == 1, F.transform(run, lambda x: x["cp"])).otherwise(whole)
+
+
+def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decomposition and look-alike map, the same composed to text, combining classes)."""
     m = mapping()
     parts = spark.createDataFrame(m, "cp int, parts array<int>")
     plain = spark.createDataFrame([(cp, unicodedata.normalize("NFC", "".join(map(chr, x)))) for cp, x in m], "cp int, s string")
     ccc = spark.createDataFrame([(cp, c) for cp in range(0x1FFFF) if not 0xD800 <= cp <= 0xDFFF and (c := unicodedata.combining(chr(cp)))], "cp int, ccc int")
-    comp = spark.createDataFrame(compositions(), "a int, b int, ab int")
-    return parts, plain, ccc, comp
+    return parts, plain, ccc
 
 
 def tidy(c: Column | str) -> Column:
@@ -106,12 +125,11 @@ def unify_texts(texts: DataFrame, column: str = "text") -> DataFrame:
     others are exploded to positioned code points. The rows of a text stay in the partition that
     its hash names from the explosion to the rebuilt string, so there is one shuffle, of texts.
     Characters that meet no combining mark are mapped one by one; texts with combining marks (or
-    conjoining jamo) are taken apart, their marks ordered by class, and recomposed pairwise, up to
-    three marks a letter (further marks stay behind in their order, which is one form as well).
-    Empty texts give the empty form.
+    conjoining jamo) are taken apart, their marks ordered by class, and recomposed, however many
+    marks a letter has. Empty texts give the empty form.
     """
     spark = texts.sparkSession
-    parts, plain, ccc, comp = tables(spark)
+    parts, plain, ccc = tables(spark)
     t = texts.select(F.col(column).alias("text")).filter("text is not null").distinct()
     ascii_only = ~F.col("text").rlike(r"[^\x00-\x7f]")
     done = t.filter(ascii_only).select("text", tidy("text").alias("form"))
@@ -125,15 +143,13 @@ def unify_texts(texts: DataFrame, column: str = "text") -> DataFrame:
     hard = exploded.filter("marked").join(F.broadcast(parts), "cp", "left")
     hard = hard.select("tid", "pos", F.posexplode(F.coalesce("parts", F.array("cp"))).alias("sub", "cp")).join(F.broadcast(ccc), "cp", "left")
     order = Window.partitionBy("tid").orderBy("pos", "sub")
-    # a run is a starter and the marks behind it; second halves of a syllable join their first
-    jamo = F.col("cp").between(0x1161, 0x1175) | F.col("cp").between(0x11A8, 0x11C2)
-    hard = hard.withColumn("ccc", F.coalesce("ccc", F.lit(0))).withColumn("run", F.sum(F.when((F.col("ccc") == 0) & ~jamo, 1).otherwise(0)).over(order))
-    runs = hard.groupBy("tid", "run").agg(F.array_sort(F.collect_list(F.struct("ccc", "pos", "sub", "cp"))).alias("m"))
-    runs = runs.select("tid", "run", F.transform("m", lambda x: x["cp"]).alias("m"))
-    for _ in range(3):
-        pair = comp.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "ab")
-        runs = runs.withColumn("_a", F.get("m", 0)).withColumn("_b", F.get("m", 1)).join(F.broadcast(pair), ["_a", "_b"], "left")
-        runs = runs.withColumn("m", F.when(F.col("ab").isNotNull(), F.concat(F.array("ab"), F.slice("m", 3, F.greatest(F.size("m"), F.lit(3))))).otherwise(F.col("m"))).select("tid", "run", "m")
+    # a run is a starter and all behind it that may join it: marks, and signs of class 0 that are second in a composite
+    second = sorted({b for _, b, _ in compositions() if not unicodedata.combining(chr(b))})
+    joins = F.col("cp").between(0x1161, 0x1175) | F.col("cp").between(0x11A8, 0x11C2) | F.col("cp").isin(second)
+    hard = hard.withColumn("ccc", F.coalesce("ccc", F.lit(0)))
+    hard = hard.withColumns({"run": F.sum(F.when((F.col("ccc") == 0) & ~joins, 1).otherwise(0)).over(order), "part": F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(order)})
+    runs = hard.groupBy("tid", "run").agg(F.array_sort(F.collect_list(F.struct("part", "ccc", "pos", "sub", "cp"))).alias("m"))
+    runs = runs.select("tid", "run", composed(F.transform("m", lambda x: F.struct(x["ccc"].alias("ccc"), x["cp"].alias("cp")))).alias("m"))
     chars = F.transform("m", lambda x: F.decode(F.unhex(F.lpad(F.hex(x), 8, "0")), "UTF-32"))
     hard = _rebuild(runs.select("tid", "run", F.array_join(chars, "").alias("s")), "run")
 

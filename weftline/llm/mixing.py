@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,22 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.hashing import text_words
 from weftline.llm.tokens import RANKS, counter, has_content
 from weftline.session import Scratch
 
-BUCKETS = 1 << 14
+BITS = 14
+BUCKETS = 1 << BITS
 FIT_DOCS = 100_000  # most labelled documents that the domain classifier is fitted on, taken by hash
-LABEL_TRUST = 0.9  # weight of a document's own label in its membership; the rest is the posterior
-ITERATIONS = 25
+LABEL_NOISE = 0.02  # share of labels that may name another domain than the one a document is of
+STEPS = 64  # memberships are multiples of 1 / STEPS, so that documents of one membership are fitted as one
+ITERATIONS = 40
 MAX_SOURCES = 64
 FINE = 4096
 ROUNDING_PASSES = 6
-_WORD = re.compile(r"[^\W\d_]+|#|[^\w\s]")
-
-
-def _features(text: str) -> np.ndarray:
-    words = _WORD.findall(re.sub(r"\d+", "#", text.lower()))
-    return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for w in words), np.int64, len(words))
 
 
 def fit_domains(docs: DataFrame, domains: list[str], fit_docs: int = FIT_DOCS) -> tuple[np.ndarray, np.ndarray]:
@@ -39,14 +34,15 @@ def fit_domains(docs: DataFrame, domains: list[str], fit_docs: int = FIT_DOCS) -
     n = labelled.count()
     at = {s: i for i, s in enumerate(domains)}
     if n > fit_docs:
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_docs / n))
+        labelled = labelled.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 12) < int((1 << 52) * fit_docs / n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(at) + 1, BUCKETS))
         for b in batches:
-            for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                f = np.unique(_features(t))  # presence: long documents do not drown the others
-                sums[at.get(s, len(at)), f] += 1
+            own = np.array([at.get(s, len(at)) for s in b.column(0).to_pylist()], int)
+            doc, f = text_words(b.column(1).to_pylist(), BITS)  # presence: long documents do not drown the others
+            for d in np.unique(own):
+                sums[d] += np.bincount(f[own[doc] == d], minlength=BUCKETS)
         d, k = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(sums[d, k])], names=["d", "k", "n"])
 
@@ -59,8 +55,22 @@ def fit_domains(docs: DataFrame, domains: list[str], fit_docs: int = FIT_DOCS) -
     return w - w.mean(0), prior
 
 
-def memberships(docs: DataFrame, domains: list[str], weights: np.ndarray, priors: np.ndarray, ranks: str, trust: float) -> DataFrame:
-    """doc_id, source, domain (index, -1 unwanted), tokens, m (membership in each domain, then in none)."""
+def posteriors(texts: list[str], weights: np.ndarray, priors: np.ndarray) -> np.ndarray:
+    """P(domain | text) of each text; the evidence of its words, which depend on each other, is damped."""
+    doc, f = text_words(texts, BITS)
+    n = np.bincount(doc, minlength=len(texts))
+    z = np.stack([np.bincount(doc, w[f], len(texts)) for w in weights], 1) / np.maximum(1.0, np.sqrt(n))[:, None] + priors
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def memberships(docs: DataFrame, domains: list[str], weights: np.ndarray, priors: np.ndarray, ranks: str, noise: float) -> DataFrame:
+    """doc_id, source, domain (index of the label, or of the likeliest domain without one; -1 unwanted), tokens, m.
+
+    ``m`` is P(domain | text, label) in steps of 1 / ``STEPS``, none of the wanted domains last: the
+    classifier's posterior times the chance of the label, which is 1 - ``noise`` in its own domain and
+    spread evenly over the labels elsewhere. A document without a label has the posterior alone.
+    """
     with open(ranks, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
     model = docs.sparkSession.sparkContext.broadcast((weights, priors))
@@ -70,30 +80,25 @@ def memberships(docs: DataFrame, domains: list[str], weights: np.ndarray, priors
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, (w, prior) = counter(raw.value), model.value
         for b in batches:
-            tokens, m, dom = [], np.zeros((b.num_rows, k)), []
-            for i, (s, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                tokens.append(count(t))
-                f = np.unique(_features(t))
-                z = prior + w[:, f].sum(1) / max(1.0, np.sqrt(len(f)))  # dependent words: damped evidence
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                if s is None:
-                    j = int(p.argmax())
-                    j = -1 if j == k - 1 else j
-                else:
-                    j = at.get(s, -1)
-                    p *= 1 - trust
-                    p[j] += trust
-                m[i] = p
-                dom.append(j)
-            cols = [b.column(0), b.column(1), pa.array(dom, pa.int32()), pa.array(tokens, pa.int32()), pa.array(list(m), pa.list_(pa.float64()))]
+            texts, sources = b.column(2).to_pylist(), b.column(1).to_pylist()
+            p, told = posteriors(texts, w, prior), np.array([-1 if s is None else at.get(s, k - 1) for s in sources], int)
+            known = np.flatnonzero(told >= 0)
+            likely = np.full((len(known), k), noise / k)
+            likely[np.arange(len(known)), told[known]] = 1 - noise
+            p[known] *= likely
+            p /= p.sum(1, keepdims=True)
+            m = np.floor(p * STEPS)
+            m[np.arange(len(m)), p.argmax(1)] += STEPS - m.sum(1)
+            dom = np.where(told >= 0, told, p.argmax(1))
+            dom[dom == k - 1] = -1
+            cols = [b.column(0), b.column(1), pa.array(dom.astype(np.int32)), pa.array([count(t) for t in texts], pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(m.astype(np.int32).ravel()), k).cast(pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "source", "domain", "tokens", "m"])
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {ids}, source string, domain int, tokens int, m array<double>")
+    return docs.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {ids}, source string, domain int, tokens int, m array<int>")
 
 
 def _rates(m: np.ndarray, dom: np.ndarray, caps: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the given steps: r <- clip(r - m g, 0, cap); unwanted documents stay at 0."""
+    """Rates after the given steps from 1: r <- clip(r - m g, 0, cap); unwanted documents stay at 0."""
     cap = np.where(dom >= 0, caps[dom], 0.0)
     r = np.minimum(cap, 1.0)
     for g in steps:
@@ -104,7 +109,22 @@ def _rates(m: np.ndarray, dom: np.ndarray, caps: np.ndarray, steps: list[np.ndar
 def _columns(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     dom, tok = b.column("domain").to_numpy(zero_copy_only=False), b.column("tokens").to_numpy(zero_copy_only=False)
     m = b.column("m").flatten().to_numpy(zero_copy_only=False).reshape(len(dom), -1)
-    return dom, tok.astype(float), m
+    return dom, tok.astype(float), m / STEPS
+
+
+def expected_totals(members: DataFrame, k: int, caps: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected tokens of each domain at the present rates, and the mass that could still come to it or leave it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((3, k))
+        for b in batches:
+            dom, tok, m = _columns(b)
+            r, cap = _rates(m, dom, caps, steps), np.where(dom >= 0, caps[dom], 0.0)
+            out += np.stack([(x * tok) @ m[:, :-1] for x in (r, (r < cap).astype(float), (r > 0).astype(float))])
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), *map(pa.array, out)], names=["s", "e", "up", "down"])
+
+    sums = members.select("domain", "tokens", "m").mapInArrow(run, "s int, e double, up double, down double").groupBy("s").agg(*[F.sum(x).alias(x) for x in ("e", "up", "down")]).toPandas().set_index("s").reindex(range(k)).fillna(0.0)
+    return sums["e"].to_numpy(), sums["up"].to_numpy(), sums["down"].to_numpy()
 
 
 def fit_rates(members: DataFrame, want: np.ndarray, caps: np.ndarray, iterations: int = ITERATIONS, tolerance: float = 1e-5) -> list[np.ndarray]:
@@ -112,43 +132,43 @@ def fit_rates(members: DataFrame, want: np.ndarray, caps: np.ndarray, iterations
 
     The gradient of a document is its membership times one number a domain, so an iteration is one
     pass that sends a vector of sums to the driver; the rates themselves are never gathered, but
-    follow from the steps. Steps are scaled by each domain's mass (a diagonal preconditioner).
+    follow from the steps. Steps are scaled by the mass that can still move in each domain. Ends at
+    the tolerance, where a round gains less than a thousandth, or after ``iterations``; the gap that
+    is left is told by ``mix``.
     """
-    k = len(want)
+    k, before = len(want), np.inf
     steps: list[np.ndarray] = []
     for _ in range(iterations):
-
-        def run(batches: Iterator[pa.RecordBatch], steps: tuple = tuple(steps)) -> Iterator[pa.RecordBatch]:
-            e, a = np.zeros(k), np.zeros(k)
-            for b in batches:
-                dom, tok, m = _columns(b)
-                e += (_rates(m, dom, caps, steps) * tok) @ m[:, :-1]
-                a += np.where(dom >= 0, tok, 0.0) @ m[:, :-1]
-            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(e), pa.array(a)], names=["s", "e", "a"])
-
-        sums = members.select("domain", "tokens", "m").mapInArrow(run, "s int, e double, a double").groupBy("s").agg(F.sum("e").alias("e"), F.sum("a").alias("a")).toPandas().set_index("s").reindex(range(k)).fillna(0.0)
-        e, a = sums["e"].to_numpy(), sums["a"].to_numpy()
+        e, up, down = expected_totals(members, k, caps, steps)
         gap = e - want
-        if np.abs(gap).max() <= tolerance * max(1.0, want.sum()):
+        miss = float((gap**2).sum())
+        if np.abs(gap).max() <= tolerance * max(1.0, want.sum()) or miss > 0.998 * before:
             break
-        steps.append(np.divide(gap, a, out=np.zeros(k), where=a > 0))
+        before = miss
+        free = np.where(gap < 0, up, down)
+        steps.append(np.divide(gap, free, out=np.zeros(k), where=free > 0))
     return steps
 
 
-def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, ranks: str = RANKS, label_trust: float = LABEL_TRUST, fit_docs: int = FIT_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(chosen: doc_id, source, domain, tokens, repeats; shares: one row a source of ``targets`` or ``documents``).
+def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, ranks: str = RANKS, label_noise: float = LABEL_NOISE, fit_docs: int = FIT_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(chosen: doc_id, source, domain, tokens, repeats, rate; shares: one row a source of ``targets`` or ``documents``).
 
     Documents with content and a wanted source (or, with null source, a wanted predicted domain)
     take part; a source that is not in ``targets`` or has no share is never chosen; one of
     ``targets`` without documents gets share 0 and the others keep their proportions. Without
-    ``total_tokens`` the mix is as large as the caps allow with all proportions kept.
+    ``total_tokens`` the mix is as large as the caps allow with all proportions kept. More than 64
+    target sources are refused: vectors of that length go through the fit.
 
     1. A classifier fitted on the labelled table gives every document's domain posteriors.
-    2. Projected gradient fits rates whose expected domain totals match the targets.
-    3. Rates are scaled to the labels' totals and rounded: whole repeats, then one more for
-       documents in an order by hash and fraction until the source's tokens are reached (two
-       histograms of 4,096 steps find the place, so no group is gathered or sorted). No document
-       gets more than its source's max_repeats.
+    2. Projected gradient fits rates whose expected domain totals match the targets. They alone say
+       how much of a document is taken: documents of one source get rates of their own.
+    3. Rates are rounded, source by source to their own total: whole repeats, then one more for
+       documents in an order by hash and fraction until it is reached (two histograms of 4,096
+       steps find the place, so no group is gathered or sorted). No document gets more than its
+       source's max_repeats.
+
+    ``shares`` tells expected shares (by membership) and actual ones (by source, after rounding),
+    and the gap of each to the share that is wanted of the sources that have documents.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "p9")
@@ -161,7 +181,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None =
 
     docs = documents.select("doc_id", "source", "text").filter(has_content("text"))
     weights, priors = fit_domains(docs, domains, fit_docs)
-    members = scratch.write(memberships(docs, domains, weights, priors, ranks, label_trust), "members")
+    members = scratch.write(memberships(docs, domains, weights, priors, ranks, label_noise), "members")
     have = np.zeros(len(domains))
     for r in members.filter("domain >= 0").groupBy("domain").agg(F.sum("tokens").alias("t")).collect():
         have[r.domain] = r.t
@@ -170,7 +190,10 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None =
     if total_tokens is not None:
         total = min(total, total_tokens / max(share[there].sum(), 1e-12))
     want = np.where(there, share * total, 0.0)
-    steps = fit_rates(members, want, caps) if len(domains) else []
+    # documents of one source and membership have one rate: the fit runs over these, however many documents there are
+    shapes = scratch.write(members.filter("domain >= 0").groupBy("domain", "m").agg(F.sum("tokens").alias("tokens")), "shapes")
+    steps = fit_rates(shapes, want, caps) if len(domains) else []
+    expected = expected_totals(shapes, len(domains), caps, steps)[0] if len(domains) else np.zeros(0)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,22 +202,19 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None =
 
     ids = documents.schema["doc_id"].dataType.simpleString()
     fitted = members.filter("domain >= 0").mapInArrow(rated, f"doc_id {ids}, source string, domain int, tokens int, rate double") if len(domains) else members.filter("false").selectExpr("doc_id", "source", "domain", "tokens", "0D AS rate")
-    fitted = scratch.write(fitted, "rates")
-    got = {r.domain: r.t for r in fitted.groupBy("domain").agg(F.sum(F.col("rate") * F.col("tokens")).alias("t")).collect()}
-    scale = [float(want[i] / got[i]) if got.get(i) else 0.0 for i in range(len(domains))]
     pick = lambda xs: F.get(F.array(*map(F.lit, xs)) if xs else F.array().cast("array<double>"), F.col("domain"))
-    f = fitted.withColumn("cap", pick([float(x) for x in caps])).withColumn("r", F.least("cap", F.col("rate") * pick(scale)))
-    f = f.withColumn("base", F.floor(F.col("r") + 1e-9).cast("int"))
-    frac = F.greatest(F.lit(1e-9), F.col("r") - F.col("base"))
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    f = fitted.withColumn("cap", pick([float(x) for x in caps])).withColumn("base", F.floor(F.col("rate") + 1e-9).cast("int"))
+    frac = F.greatest(F.lit(1e-9), F.col("rate") - F.col("base"))
+    u = F.shiftrightunsigned(F.xxhash64("doc_id"), 12) / F.lit(float(1 << 52))
     v = u / frac
-    f = f.withColumn("v", v / (1 + v)).withColumn("open", F.col("base") < F.col("cap"))
+    f = f.withColumn("v", v / (1 + v)).withColumn("open", (F.col("base") < F.col("cap")) & (F.col("rate") > F.col("base") + 1e-9))
     f = f.withColumn("b1", F.floor(F.col("v") * FINE).cast("int")).withColumn("b2", F.floor((F.col("v") * FINE - F.floor(F.col("v") * FINE)) * FINE).cast("int"))
-    base = {r.domain: r.t for r in f.groupBy("domain").agg(F.sum(F.col("base") * F.col("tokens")).alias("t")).collect()}
-    need = [max(0.0, float(want[i]) - float(base.get(i) or 0)) for i in range(len(domains))]
     f, extra = scratch.write(f, "order"), F.lit(False)
+    need, due = [0.0] * len(domains), [0.0] * len(domains)
+    for r in f.groupBy("domain").agg(F.sum(F.col("rate") * F.col("tokens")).alias("t"), F.sum(F.col("base") * F.col("tokens")).alias("b")).collect():
+        need[r.domain], due[r.domain] = max(0.0, float(r.t - r.b)), float(r.t)
     for _ in range(ROUNDING_PASSES):  # later passes fill what a long document at the cut left over
-        if not any(x > 1e-4 * w for x, w in zip(need, want)):
+        if not any(x > 1e-4 * w for x, w in zip(need, due)):
             break
         able = F.col("open") & ~extra & (F.col("tokens") <= pick(need))
         cut1 = {i: _cut(h, need[i]) for i, h in _histogram(f.filter(able), "b1").items()}
@@ -203,7 +223,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None =
         c2 = pick([float(cut2.get(i, (0, 0))[0]) for i in range(len(domains))])
         extra = extra | (able & ((F.col("b1") < c1) | ((F.col("b1") == c1) & (F.col("b2") < c2))))
         need = [cut2[i][1] if i in cut2 else cut1[i][1] if i in cut1 else x for i, x in enumerate(need)]
-    chosen = f.select("doc_id", "source", pick_name(domains).alias("domain"), "tokens", (F.col("base") + extra.cast("int")).cast("int").alias("repeats")).filter("repeats > 0")
+    chosen = f.select("doc_id", "source", pick_name(domains).alias("domain"), "tokens", (F.col("base") + extra.cast("int")).cast("int").alias("repeats"), "rate").filter("repeats > 0")
 
     tgt = targets.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     named = F.when(F.col("domain") >= 0, pick_name(domains)).otherwise(F.coalesce("source", F.lit("(none)")))
@@ -214,6 +234,10 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None =
     zero = {c: 0 for c in ("available_documents", "available_tokens", "documents", "most_repeats", "token_count")}
     shares = shares.fillna(zero).withColumn("_all", F.lit(whole.first()[0] or 0))
     shares = shares.withColumn("actual_share", F.when(F.col("_all") > 0, F.col("token_count") / F.col("_all")).otherwise(F.lit(0.0))).drop("_all")
+    part = lambda x: [float(y) / max(1e-12, float(x.sum())) for y in x]
+    told = spark.createDataFrame(list(zip(domains, part(want), part(expected))), "source string, wanted_share double, expected_share double")
+    shares = shares.join(F.broadcast(told), "source", "left").fillna(0.0, ["wanted_share", "expected_share"])
+    shares = shares.withColumns({"expected_gap": F.col("expected_share") - F.col("wanted_share"), "actual_gap": F.col("actual_share") - F.col("wanted_share")})
     return chosen, shares
 
 

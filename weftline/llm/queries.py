@@ -33,12 +33,16 @@ _DOI = r"regexp_replace(lower(doi), '(?s)^.*?(10\.\d+)', '\1')"
 _KEYS = f"SELECT DISTINCT work_id, {_T.format('title')} AS t, coalesce({_T.format(_DOI)}, '') AS d FROM works WHERE title IS NOT NULL AND work_id IS NOT NULL"
 
 
+# Spellings of an unknown value, lower case without signs, stated here again.
+_UNKNOWN = ("", "na", "nan", "nil", "none", "null", "notavailable", "notapplicable", "notknown", "notspecified", "unspecified", "unknown", "undefined", "missing", "pending", "tbd", "tba", "todo", "x", "xx", "xxx")
+
+
 def _stand_in(field: str) -> str:
     x = "lower(x)"
     if field == "source_ror_ids":
         x = r"regexp_replace(trim(lower(x)), '^(?:[a-z]+://)?(?:www\.)?ror\.[a-z]+/*|^[a-z]+://[^/]*/*', '', 'g')"
     bare = rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}]', '', 'g')"
-    bad = [*survivor.STAND_INS, *([survivor.NO_COUNTRY] if field == "source_country_codes" else [])]
+    bad = [*_UNKNOWN, *(["zz"] if field == "source_country_codes" else [])]
     return f"{bare} IN ({', '.join(repr(b) for b in bad)})"
 
 
@@ -48,8 +52,9 @@ def _usable(field: str) -> str:
 
 _DAY = "replace(trim(openalex_updated_date), '/', '-')"
 _AT = f"epoch_us(TRY_CAST(CASE WHEN regexp_matches({_DAY}, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN {_DAY} WHEN length({_DAY}) = 10 THEN {_DAY} || ' 00:00:00+00' ELSE {_DAY} || '+00' END AS TIMESTAMPTZ))"
-_LOOK = lookalike.look_alikes()
-_FROM, _TO = "".join(map(chr, _LOOK)), "".join(map(chr, _LOOK.values()))
+# Letters that look like Latin ones, stated here again: Cyrillic, Greek, Armenian, other Latin.
+_FROM = "аеіјорсухѕһԁԛԝӏѵү" "АВЕІЈКМНОРСТУХЅԌԚԜӀ" "ονιϳϲαρυ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ" "օոսցՕՍՏ" "ɑɡıƖǀ"
+_TO = "aeijopcyxshdqwlvy" "ABEIJKMHOPCTYXSGQWI" "ovijcapu" "ABEZHIKMNOPTYXCJ" "onugOUS" "agill"
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94)).replace("'", "''")
 _ASCII = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -17,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.hashing import U, bucket, mix, pieces, powers, tokens
 from weftline.llm.tokens import has_content
 from weftline.session import Scratch
 
@@ -29,7 +29,6 @@ SHRINK, CLIP = 0.015, 5.0  # pseudo-counts as a share of each class, and the bou
 NOTICE = 1e-3  # share of the passages of real records that may be notices or other boilerplate beside the content
 FIT_NOTICE = 1e-12  # the same within EM, where a strong passage may teach more
 MAX_LANGS = 15  # languages with a content model of their own; all others share one
-PIECE = 1 << 20  # characters of text that are in memory as arrays at once
 
 # Phrases of trusted records. They only pick the records that the fit starts from; no
 # document is judged by them.
@@ -69,69 +68,9 @@ _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _INNER = re.compile(r"[^\W\d_]+|[,:;>=|]")
 _EDGES = re.compile(r"[^\w\s]*"), re.compile(r"[^\w\s]*$")
 
-U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-
-
-@lru_cache(1)
-def _kinds() -> np.ndarray:
-    """0 space or control, 1 letter or mark, 2 digit, 3 any other sign, by code point; all beyond U+FFFF are letters."""
-    first = {"L": 1, "M": 1, "N": 2, "Z": 0, "C": 0}
-    return np.array([first.get(unicodedata.category(chr(c))[0], 3) for c in range(1 << 16)], np.uint8)
-
-
-@lru_cache(1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64: hashes of any stretch from one running sum."""
-    out = []
-    for x in (_BASE, pow(_BASE, -1, 1 << 64)):
-        a = np.full(2 * PIECE + 2, x, U)
-        a[0] = 1
-        out.append(np.cumprod(a, dtype=U))
-    return out[0], out[1]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(31))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
-
-
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> U(64 - BITS)).astype(np.int32)
-
-
-_NUMBER = U(0x1234567)  # stands for every word with a digit
-
-
-def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, passage number, text, is a word of letters) of every word and sign of the texts together."""
-    low = [t.lower() for t in texts]
-    first = np.cumsum([0, *(len(t) + 1 for t in low)])[:-1]
-    cp = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = len(cp)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return none.astype(U), none, none, none.astype(bool)
-    kind = _kinds()[np.minimum(cp, 0xFFFF)]
-    word = (kind == 1) | (kind == 2)
-    up, down = _powers()
-    total = np.concatenate(([U(0)], np.cumsum((cp.astype(U) + U(1)) * up[:n], dtype=U)))
-    digits = np.concatenate(([0], np.cumsum(kind == 2)))
-    start = np.flatnonzero((word & ~np.concatenate(([False], word[:-1]))) | (kind == 3))
-    is_word, end = word[start], start + 1
-    end[is_word] = np.flatnonzero(word & ~np.concatenate((word[1:], [False]))) + 1
-    h = _mix((total[end] - total[start]) * down[start])
-    number = digits[end] > digits[start]
-    h[number] = _NUMBER
-    cut = np.isin(cp, (10, 13, 0x2028, 0x2029))
-    cut[1:] |= np.isin(cp[:-1], (33, 46, 63)) & (kind[1:] == 0)
-    return h, np.cumsum(cut)[start], np.searchsorted(first, start, "right") - 1, is_word & ~number
-
-
 @lru_cache(1)
 def _function_words() -> np.ndarray:
-    return np.concatenate([_tokens([w])[0] for w in sorted(FUNCTION_WORDS)])
+    return np.concatenate([tokens([w])[0] for w in sorted(FUNCTION_WORDS)])
 
 
 @dataclass
@@ -149,41 +88,16 @@ class Passages:
 def passage_features(texts: list[str]) -> Passages:
     """Lines and sentences of the texts, each once a text, so that a long repetitive text cannot outweigh the rest.
 
-    Works on arrays of code points, ``PIECE`` characters at a time; a longer text is cut at line ends
-    or spaces, whole otherwise. Case does not matter, words with a digit are one sign.
+    Works on arrays of code points, a bounded piece of text at a time. Case does not matter, words with a digit are one sign.
     """
     parts: list[tuple] = []
-    group: list[str] = []
-    owner: list[int] = []
-    held = 0
-
-    def flush() -> None:
-        nonlocal group, owner, held
-        if group:
-            parts.append(_passages(group, np.array(owner)))
-        group, owner, held = [], [], 0
-
-    for i, t in enumerate(texts):
-        at = 0
-        while at < len(t):
-            end = len(t)
-            if end - at > PIECE // 2:
-                end = at + PIECE // 2
-                cut = max(t.rfind("\n", at + 1, end), at)
-                cut = cut if cut > at else t.rfind(" ", at + 1, end)
-                end = cut if cut > at else end
-            if held and held + end - at > PIECE // 2:
-                flush()
-            group.append(t[at:end])
-            owner.append(i)
-            held += end - at + 1
-            at = end
-    flush()
+    for group, owner in pieces(texts):
+        parts.append(_passages(group, owner))
     if not parts:
         none = np.zeros(0, np.int64)
         return Passages(none, none, none, none, none, none.astype(np.int32))
     doc, h, words, plain, size, f = (np.concatenate(x) for x in zip(*parts))
-    key = _mix(h ^ _mix(doc.astype(U) + U(1)))
+    key = mix(h ^ mix(doc.astype(U) + U(1)))
     _, keep, n = np.unique(key, return_index=True, return_counts=True)
     order = np.argsort(keep)
     keep, n = keep[order], n[order]
@@ -193,21 +107,21 @@ def passage_features(texts: list[str]) -> Passages:
 
 
 def _passages(texts: list[str], owner: np.ndarray) -> tuple:
-    h, pid, text, word = _tokens(texts)
+    h, pid, text, word = tokens(texts)
     if not len(h):
         none = np.zeros(0, np.int64)
         return none, none.astype(U), none, none, none, none.astype(np.int32)
     new = np.concatenate(([True], (pid[1:] != pid[:-1]) | (text[1:] != text[:-1])))
     p, first = np.cumsum(new) - 1, np.flatnonzero(new)
     n = len(first)
-    up, _ = _powers()
-    whole = _mix(np.add.reduceat(h * up[np.arange(len(h)) - first[p]], first))
+    up, _ = powers()
+    whole = mix(np.add.reduceat(h * up[np.arange(len(h)) - first[p]], first))
     same = p[1:] == p[:-1]
-    pairs = _mix(h[:-1] * U(31) + h[1:] + U(7))[same]
+    pairs = mix(h[:-1] * U(31) + h[1:] + U(7))[same]
     words, plain = np.bincount(p, word, n).astype(np.int64), np.bincount(p, np.isin(h, _function_words()) & word, n).astype(np.int64)
     long = np.flatnonzero(words >= 8)
     prose = np.where(plain[long] == 0, U(11), np.where(plain[long] * 12 < words[long], U(12), U(13)))
-    f = np.concatenate((_bucket(h), _bucket(pairs), _bucket(_mix(prose))))
+    f = np.concatenate((bucket(h, BITS), bucket(pairs, BITS), bucket(mix(prose), BITS)))
     of = np.concatenate((p, p[:-1][same], long))
     order = np.argsort(of, kind="stable")
     return owner[text[first]], whole, words, plain, np.bincount(of, minlength=n), f[order]

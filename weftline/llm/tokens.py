@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import sys
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CUT = 1_000_000  # longer texts are encoded in parts of so many characters: the whole text, in bounded memory
+CUT = 1_000_000  # longer texts are encoded in parts of about so many characters, which changes no count
+# Where the pattern never joins two sides: before a single space or line end between word signs, and between a letter and wide punctuation.
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
+_SEAM = re.compile(r"(?<=\w)(?=[ \n]\w)|(?<=[^\W\d_])(?=[。，、！？；：])")
 
 
 def has_content(c: Column | str) -> Column:
@@ -38,11 +42,31 @@ def counter(raw: bytes) -> Callable[[str], int]:
     enc = encoder(raw)
 
     def count(t: str) -> int:
-        return sum(len(enc.encode_ordinary(t[i : i + CUT])) for i in range(0, len(t), CUT))
+        return sum(len(enc.encode_ordinary(x)) if plain else len(enc._encode_single_piece(x)) for plain, x in parts(t))
 
     return count
 
 
+def parts(t: str) -> Iterator[tuple[bool, str]]:
+    """(whether to apply the pattern, text): parts that are tokenized as in the whole.
+
+    A part ends at the first seam behind ``CUT`` characters, if there is one. Very long runs of white
+    space, on which the pattern's look-ahead would fail, are pieces by themselves, but for their last
+    character where more text follows, as the pattern has it.
+    """
+    at = 0
+    while at < len(t):
+        seam = _SEAM.search(t, at + CUT) if len(t) - at > CUT else None
+        end = seam.start() if seam else len(t)
+        for run in _RUN.finditer(t, at, end):
+            stop = run.end() - (run.end() < len(t))
+            yield True, t[at : run.start()]
+            yield False, t[run.start() : stop]
+            at = stop
+        yield True, t[at:end]
+        at = end
+
+
 def token_counts(df: DataFrame, id_column: str, text: str, *keep: str, ranks: str = RANKS) -> DataFrame:
     """(id, kept columns, tokens) of every row whose text has content; null and blank texts are left out.
 
