@@ -48,6 +48,19 @@ def test_duplicates_hot_group_and_empty(spark):
     assert radix.duplicate_pairs(spark.createDataFrame([], WORK)).count() == 0
 
 
+def test_work_of_a_frequent_key_does_not_grow_with_its_length(spark):
+    def jobs(length, tail):
+        data = [(f"W{i}", "t" * length + (f"{i:05d}" if tail else ""), None, None, None, None) for i in range(1200)]
+        spark.sparkContext.setJobGroup(f"g{length}{tail}", "")
+        n = radix.duplicate_membership(spark.createDataFrame(data, WORK), capacity=100).select("representative_work_id").distinct().count()
+        assert n == (1200 if tail else 1)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"g{length}{tail}"))
+
+    assert jobs(60, False) == jobs(6000, False)
+    assert jobs(60, True) == jobs(6000, True)  # all keys share all but their last bytes
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_canonical_json_orders_keys(spark):
     got = [r[0] for r in spark.createDataFrame([('{"b": 1, "a": [2]}',), ('{"a":[2],"b":1}',), ("{x",), (None,)], "s string").select(radix.canonical_json("s")).collect()]
     assert got[0] == got[1] == '{"a":[2],"b":1}' and got[2:] == ["{x", None]

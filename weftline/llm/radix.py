@@ -15,8 +15,8 @@ from weftline.operators.skew import block_pairs, join_unique
 from weftline.session import Scratch
 
 FIELD_END = "\x1f"
-MAX_SPLIT = 4096  # buckets that can be oversized at one level, as capacity >= rows / MAX_SPLIT
-STEP = 6  # bytes that a further split looks at
+CAPACITY = 10_000  # most keys in a bucket that is not split further, whatever the size of the table
+STEP = 6  # bytes that a split looks at
 
 
 def canonical_text(c: Column | str) -> Column:
@@ -87,98 +87,95 @@ class Trie:
             stack.extend((c, key) for c in node[1].values())
 
 
-_COUNTED = "bucket string, key binary, copies long, who string"
+_COUNTED = "key binary, copies long, who string"
 
 
-def _batch(rows: list[tuple[str, bytes, int, str]]) -> pa.RecordBatch:
-    b, k, n, w = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.string()), pa.array(k, pa.binary()), pa.array(n, pa.int64()), pa.array(w, pa.string())], names=["bucket", "key", "copies", "who"])
+def _out(trie: Trie) -> Iterator[pa.RecordBatch]:
+    rows = list(trie.terminals())
+    for i in range(0, len(rows), 10_000):
+        k, n, w = zip(*rows[i : i + 10_000])
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(n, pa.int64()), pa.array(w, pa.string())], names=["key", "copies", "who"])
 
 
 def _partial(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """One trie for what a task sees, whatever the bucket; emptied at ``most`` terminals, so memory is bounded."""
-    trie, home = Trie(), {}
-
-    def out() -> Iterator[pa.RecordBatch]:
-        rows = [(home[k], k, n, w) for k, n, w in trie.terminals()]
-        for i in range(0, len(rows), 10_000):
-            yield _batch(rows[i : i + 10_000])
-
+    """One trie for what a task sees; emptied at ``most`` terminals, so memory is bounded."""
+    trie = Trie()
     for b in batches:
-        for bucket, key, n, who in zip(*(c.to_pylist() for c in b.columns)):
+        for key, n, who in zip(*(c.to_pylist() for c in b.columns)):
             trie.add(key, n, who)
-            home[key] = bucket
         if trie.size >= most:
-            yield from out()
-            trie, home = Trie(), {}
-    yield from out()
+            yield from _out(trie)
+            trie = Trie()
+    yield from _out(trie)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket: a trie for each bucket, emitted where the bucket ends."""
     trie, now = Trie(), None
-
-    def out() -> Iterator[pa.RecordBatch]:
-        rows = [(now, k, n, w) for k, n, w in trie.terminals()]
-        for i in range(0, len(rows), 10_000):
-            yield _batch(rows[i : i + 10_000])
-
     for b in batches:
         for bucket, key, n, who in zip(*(c.to_pylist() for c in b.columns)):
             if bucket != now:
-                yield from out()
+                yield from _out(trie)
                 trie, now = Trie(), bucket
             trie.add(key, n, who)
-    yield from out()
+    yield from _out(trie)
+
 
+@F.pandas_udf(T.IntegerType())
+def _common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Number of bytes at the start that two keys have in common."""
+    return pd.Series([next((i for i, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q))) for p, q in zip(a, b)], dtype="int32")
 
-def radix_buckets(keys: DataFrame, capacity: int, step: int = STEP) -> Column:
-    """The bucket of each row of ``keys`` (column ``key``, binary) as a column expression.
 
-    Starts with the first ``step`` bytes; every bucket of more than ``capacity`` rows is split by
-    ``step`` further bytes, again and again. A bucket whose rows end within its bytes is complete:
-    its keys are equal and need no split. Only the names of oversized buckets come to the driver,
-    at most rows / capacity of them a level.
+def radix_buckets(keys: DataFrame, scratch: Scratch, capacity: int = CAPACITY, step: int = STEP) -> DataFrame:
+    """``keys`` (key, binary, and any other columns) with their ``bucket``, each of at most ``capacity`` rows.
+
+    Starts with the first ``step`` bytes. Every bucket that is too large is split by ``step`` bytes
+    from where its smallest and its largest key part, so that no round is spent on bytes that all its
+    keys share, however long they are; again and again until each fits. A bucket of equal keys needs
+    no split. What is too large is a table and not a list on the driver; only it is read again.
     """
-    at, inside, levels = step, None, []
+    rows, ready = scratch.write(keys.withColumn("bucket", F.hex(F.substring("key", 1, step))), "split"), []
     while True:
-        rows = keys if inside is None else keys.filter(inside)
-        name = F.hex(F.substring("key", 1, at))
-        big = rows.filter(F.octet_length("key") > at).groupBy(name.alias("b")).count().filter(F.col("count") > capacity)
-        big = sorted(r[0] for r in big.select("b").collect())
-        levels.append((at, big))
-        if not big:
+        big = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > capacity).select("bucket")
+        big = scratch.write(big, "big")
+        if big.isEmpty():
+            ready.append(rows)
+            break
+        ends = join_unique(rows, big, "bucket", "inner").groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi")
+        ends = scratch.write(ends.select("bucket", _common("lo", "hi").alias("cut")), "ends")
+        told = scratch.write(join_unique(rows, ends, "bucket", "left"), "told")
+        ready.append(told.filter("cut is null").drop("cut"))
+        if ends.isEmpty():
             break
-        inside = name.isin(big) & (F.octet_length("key") > at)
-        at += step
-    bucket = None
-    for n, big in reversed(levels):
-        name = F.hex(F.substring("key", 1, n))
-        bucket = name if bucket is None else F.when(name.isin(big) & (F.octet_length("key") > n), bucket).otherwise(name)
-    return bucket
+        deeper = F.concat_ws("/", "bucket", "cut", F.hex(F.substring(F.col("key"), F.col("cut") + 1, F.lit(step))))
+        rows = scratch.write(told.filter("cut is not null").withColumn("bucket", deeper).drop("cut"), "split")
+    out = ready[0]
+    for x in ready[1:]:
+        out = out.unionByName(x)
+    return out
 
 
-def canonical_classes(df: DataFrame, id_column: str, fields: list[Column], *, capacity: int = 10_000, step: int = STEP, name: str = "radix") -> tuple[DataFrame, DataFrame]:
+def canonical_classes(df: DataFrame, id_column: str, fields: list[Column], *, capacity: int = CAPACITY, step: int = STEP, name: str = "radix") -> tuple[DataFrame, DataFrame]:
     """(members: id, key; classes: key, copies, representative) of equal canonical fields.
 
     ``fields`` are canonical texts; they are joined to one key of bytes. Rows with a null id or a
     null field belong to no class; empty texts are values. An id counts once for a key however
     often it is delivered. ``copies`` is the number of ids, ``representative`` the smallest id.
 
-    Keys are pre-counted in a trie per task before the shuffle, so a key that holds a third of all
-    rows arrives as one row a task; buckets then merge in tries of their own.
+    Keys are counted in a trie per task before anything else, so a key that holds a third of all
+    rows is one row a task from then on; buckets are split by what is left, and merge in tries of
+    their own.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, name)
     key = F.concat(*[x for f in fields for x in (f, F.lit(FIELD_END))]).cast("binary")
     members = df.select(F.col(id_column).alias("id"), key.alias("key")).filter("id is not null and key is not null").distinct()
     members = scratch.write(members, "members")
-    rows = members.count()
-    bucket = radix_buckets(members, max(capacity, -(-rows // MAX_SPLIT)), step)
-    counted = members.select(bucket.alias("bucket"), "key", F.lit(1).cast("long").alias("copies"), F.col("id").cast("string").alias("who")).mapInArrow(_partial, _COUNTED)
-    counted = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge, _COUNTED)
-    classes = scratch.write(counted.select("key", "copies", F.col("who").alias("representative")), "classes")
-    return members, classes
+    counted = members.select("key", F.lit(1).cast("long").alias("copies"), F.col("id").cast("string").alias("who")).mapInArrow(_partial, _COUNTED)
+    buckets = radix_buckets(counted, scratch, capacity, step).select("bucket", "key", "copies", "who")
+    merged = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge, _COUNTED)
+    return members, scratch.write(merged.withColumnRenamed("who", "representative"), "classes")
 
 
 def _work_classes(works: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
