@@ -1,13 +1,15 @@
 """Sources, sinks, plans, streams and the driver contract."""
 
+import datetime
 import gzip
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators.orphans import OrphanTracker
+from weftline.operators import orphans
 from weftline.operators.quality import TableContract
 from weftline.sources import cursor, pages, plan, sinks
 from weftline.streaming import incremental
@@ -112,10 +114,6 @@ def test_streams(spark, tmp_path):
     first = [("W1", 2020, "2024-01-01T00:00:00Z", '["W2","W3"]'), ("X", 2020, "2024-01-01T00:00:00Z", None)]
     spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(str(src))
     spark.createDataFrame([("W2", 2020, "2024-01-03T00:00:00Z", "[]"), ("W1", 2020, "2024-01-04T00:00:00Z", '["W2","W3"]')], schema).coalesce(1).write.mode("append").parquet(str(src))
-    tracker = OrphanTracker(spark)
-    gone = spark.createDataFrame([("W9",)], "work_id string")
-    incremental.run_orphans(incremental.stream_tables(spark, str(src), spark.read.parquet(str(src)).schema), tracker, gone, str(tmp_path / "c1")).awaitTermination(120)
-    assert sorted((r.ref, r.status) for r in tracker.ledger.open.collect()) == [("W2", "late"), ("W3", "missing")]
     incremental.run_quarantine(incremental.stream_tables(spark, str(src), spark.read.parquet(str(src)).schema), str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "c2")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "good")).count() == 3 and spark.read.parquet(str(tmp_path / "bad")).first().reason == "invalid_or_missing_work_id"
     q = incremental.first_deliveries(incremental.stream_tables(spark, str(src), spark.read.parquet(str(src)).schema)).writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
@@ -123,6 +121,36 @@ def test_streams(spark, tmp_path):
     assert spark.table("firsts").count() == 2
 
 
+def test_orphan_stream_goes_on_after_a_restart(spark, tmp_path):
+    rnd = random.Random(6)
+    day = lambda: f"2024-01-{rnd.randrange(1, 28):02d}T00:00:00Z" if rnd.random() < 0.9 else None
+    works = [(f"W{i}", json.dumps(["W1"] * (rnd.random() < 0.5) + [f"W{rnd.randrange(70)}" for _ in range(rnd.randrange(4))]), day()) for i in range(50)]
+    schema, src, dead = "work_id string, referenced_works_json string, source_retrieved_at_utc string", tmp_path / "works", tmp_path / "gone"
+    tomb = [(f"W{i}", None) for i in (2, 8, 33, 69)]
+    parts = [works[:20], works[20:30] + works[:3], works[30:]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+        if k != 1:
+            spark.createDataFrame(tomb[2 * (k > 0) :][:2], "work_id string, deleted_at timestamp").coalesce(1).write.mode("append").parquet(str(dead))
+        works_in = incremental.stream_tables(spark, str(src), spark.read.parquet(str(src)).schema)
+        gone_in = incremental.stream_tables(spark, str(dead), spark.read.parquet(str(dead)).schema)
+        q = incremental.run_orphans(incremental.orphan_events(works_in, gone_in), str(tmp_path / "log"), str(tmp_path / "state"))  # a new query each time
+        q.awaitTermination(300)
+    got = sorted((r.citing, r.ref, r.status) for r in incremental.orphan_ledger(spark, str(tmp_path / "log")).collect())
+    whole = orphans.orphan_references(spark.read.parquet(str(src)), spark.read.parquet(str(dead)))
+    assert got == sorted((r.work_id, r.referenced_work_id, r.status) for r in whole.collect()) and {s for *_, s in got} == {"missing", "deleted", "late"}
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    src, schema = tmp_path / "events", "ts timestamp, event_type string, value double"
+    at = lambda *hours: [(datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h), "a", 1.0) for h in hours]
+    for part in (at(0, 1), at(100), at(101, 2, 3)):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+    q = incremental.event_windows(incremental.stream_tables(spark, str(src), spark.read.parquet(str(src)).schema)).writeStream.format("memory").outputMode("append").queryName("late").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert incremental.late_rows(q) >= 1
+
+
 def test_driver_contract(spark, sf):
     import __spark_entry__ as e
 

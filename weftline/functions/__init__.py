@@ -5,6 +5,7 @@ from weftline.functions.columns import (
     compact_flags,
     instant_micros,
     jaccard,
+    join_null_safe,
     overlap_coefficient,
     relative_change,
     safe_divide,
@@ -15,6 +16,6 @@ from weftline.functions.columns import (
 )
 
 __all__ = [
-    "canonical_pair", "compact_flags", "instant_micros", "jaccard", "overlap_coefficient", "relative_change",
+    "canonical_pair", "compact_flags", "instant_micros", "jaccard", "join_null_safe", "overlap_coefficient", "relative_change",
     "safe_divide", "sample_ids", "short_id", "sorted_set", "union_arrays",
 ]

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -85,3 +85,13 @@ def overlap_coefficient(shared: Column, a: Column, b: Column) -> Column:
 
 def relative_change(value: Column, base: Column) -> Column:
     return F.abs(value - base) / F.greatest(F.abs(base), F.lit(1e-12))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which a null equals a null; the right side's other columns are added, its keys are not.
+
+    The right side's keys get names of their own first, so both sides may come from one table.
+    """
+    r = right.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    return left.join(r, on, how).drop(*[f"__key_{k}" for k in keys])

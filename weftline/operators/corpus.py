@@ -192,3 +192,59 @@ def lexical_topic_scores(registry: DataFrame, terms: list[str]) -> DataFrame:
     score = F.least(F.lit(1.0), 0.55 * part("nw") + 0.25 * part("fw") + 0.2 * part("dw") + exact)
     s = r.withColumn("score", F.round(score, 6)).filter("score > 0")
     return s.groupBy("topic_id", "display_name").agg(F.max("score").alias("evidence"), F.count(F.lit(1)).alias("term_count"))
+
+
+def decision_gaps(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(kind, topic_id): candidates without a decision, decisions without a candidate, topics decided twice."""
+    c, d = candidates.select("topic_id").filter("topic_id is not null").distinct(), decisions.filter("topic_id is not null").select("topic_id")
+    twice = d.groupBy("topic_id").count().filter("count > 1")
+    part = lambda df, kind: df.select(F.lit(kind).alias("kind"), "topic_id")
+    return part(c.join(d, "topic_id", "left_anti"), "missing_decision").unionByName(part(d.distinct().join(c, "topic_id", "left_anti"), "unknown_topic")).unionByName(part(twice, "decided_twice"))
+
+
+def freeze_registry(candidates: DataFrame, decisions: DataFrame, samples: DataFrame) -> DataFrame:
+    """The topic registry as decided: candidates with membership, family, sampled works and both corpora's flags.
+
+    ``candidates``: topic_id, display_name, evidence; ``decisions``: topic_id, corpus_membership,
+    method_family; ``samples``: topic_id, work_id. Decisions must cover the candidates exactly, else
+    nothing is frozen and the gaps are told. The broad corpus holds the strict topics and those that
+    are broad only. A registry of settings: some hundred rows.
+    """
+    gaps = decision_gaps(candidates, decisions).limit(20).collect()
+    if gaps:
+        raise ValueError("decisions do not cover the candidates: " + ", ".join(f"{g.kind} {g.topic_id}" for g in gaps))
+    s = samples.groupBy("topic_id").agg(sorted_set("work_id").alias("sample_work_ids"))
+    j = candidates.join(decisions, "topic_id").join(s, "topic_id", "left")
+    m = F.col("corpus_membership")
+    return j.withColumns({"sample_work_ids": F.coalesce("sample_work_ids", F.array().cast("array<string>")), "in_strict": F.coalesce(m == "strict", F.lit(False)), "in_broad": F.coalesce(m.isin("strict", "broad_only"), F.lit(False))})
+
+
+def boundary_sample(rows: DataFrame, n: int, seed: str) -> DataFrame:
+    """The first n works by hash of each group: strict, broad only, and all others as a control. ``rows``: topic_id, work_id, corpus_membership."""
+    group = F.when(F.col("corpus_membership").isin("strict", "broad_only"), F.col("corpus_membership")).otherwise("excluded_or_uncertain_control")
+    return hash_sample(rows.withColumn("sample_group", group), ["sample_group"], "sample_id", n, seed)
+
+
+def boundary_quality(labels: DataFrame, known: DataFrame, work_topics: DataFrame, registry: DataFrame, min_labels: int = 10, min_known: int = 5) -> DataFrame:
+    """One row: precision of the boundary from labels and recall from known works, each withheld where the evidence is too thin.
+
+    ``labels``: label, corpus_membership; only ``relevant`` and ``irrelevant`` count. ``known``: work_id,
+    expected_corpus (strict or broad); ``work_topics``: work_id, topic_id. Precision needs
+    ``min_labels`` labels, recall ``min_known`` known works of which each has an observed topic. A value
+    that is not measured is null, and its status says so.
+    """
+    inside = F.col("corpus_membership").isin("strict", "broad_only")
+    told = labels.filter(F.col("label").isin("relevant", "irrelevant")).agg(
+        F.count(F.lit(1)).alias("label_count"), F.count_if(inside).alias("included_label_count"), F.count_if(inside & (F.col("label") == "relevant")).alias("relevant_label_count")
+    )
+    t = work_topics.select("work_id", "topic_id").join(F.broadcast(registry.select("topic_id", "corpus_membership")), "topic_id", "left")
+    own = t.join(known.select("work_id").distinct(), "work_id", "left_semi").groupBy("work_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(F.col("corpus_membership") == "strict", F.lit(False))).alias("strict"), F.bool_or(F.coalesce(inside, F.lit(False))).alias("broad")
+    )
+    found = F.when(F.col("expected_corpus") == "strict", F.col("strict")).otherwise(F.col("broad"))
+    k = known.select("work_id", "expected_corpus").join(own, "work_id", "left").agg(F.count(F.lit(1)).alias("known_count"), F.count("n").alias("known_with_topics"), F.count_if(found).alias("recovered_count"))
+    j = told.join(F.broadcast(k))  # one row each
+    enough, seen = F.col("label_count") >= min_labels, (F.col("known_count") >= min_known) & (F.col("known_with_topics") == F.col("known_count"))
+    status = lambda ok: F.when(ok, "measured").otherwise("not_estimated")
+    ratio = lambda a, b: F.col(a).cast("double") / F.nullif(F.col(b).cast("double"), F.lit(0.0))
+    return j.withColumns({"precision_status": status(enough), "precision": F.when(enough, ratio("relevant_label_count", "included_label_count")), "recall_status": status(seen), "recall": F.when(seen, ratio("recovered_count", "known_count"))})

@@ -13,7 +13,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.operators.network import VIEW
@@ -65,9 +65,11 @@ def pagerank(g: DataFrame, damping: float = 0.85, tolerance: float = 1e-13, roun
 
 
 def pagerank_distributed(e: DataFrame, nodes: DataFrame, damping: float = 0.85, tolerance: float = 1e-13, rounds: int | None = None) -> DataFrame:
-    """The same by joins, for views of any size: power iterations, each written once, until the summed change of every view is under ``tolerance``.
+    """The same by joins, for views of any size: power iterations until the change summed over all views is under ``tolerance``.
 
-    Changes shrink by ``damping`` a round, so fewer than 200 rounds are needed; ``rounds`` stops earlier (error below 2 * damping ** rounds).
+    A round is one job, which writes the ranks and measures their change.
+    Changes shrink by ``damping`` a round, so some 200 rounds are needed; ``rounds`` stops earlier
+    (error below 2 * damping ** rounds).
     """
     scratch = Scratch(e.sparkSession, "pagerank")
     ends = e.select(*VIEW, F.col("fractional_count").alias("w"), F.explode(F.array(F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b")))).alias("x")).select(*VIEW, "w", "x.*")
@@ -75,18 +77,17 @@ def pagerank_distributed(e: DataFrame, nodes: DataFrame, damping: float = 0.85,
     links = scratch.write(ends.join(strength, [*VIEW, "a"]).select(*VIEW, "a", "b", (F.col("w") / F.col("s")).alias("p")), "links")
     n = nodes.groupBy(*VIEW).agg(F.count(F.lit(1)).alias("n"))
     base = scratch.write(nodes.select(*VIEW, F.col("institution_id").alias("a")).join(n, VIEW).join(strength.select(*VIEW, "a", F.lit(True).alias("linked")), [*VIEW, "a"], "left"), "nodes")
-    rank = scratch.write(base.withColumn("r", 1 / F.col("n")), "rank")
-    done = 0
+    rank, done = scratch.write(base.withColumn("r", 1 / F.col("n")), "rank"), 0
     while rounds is None or done < rounds:
-        done += 1
         given = links.join(rank.select(*VIEW, "a", "r"), [*VIEW, "a"]).groupBy(*VIEW, F.col("b").alias("a")).agg(F.sum(F.col("r") * F.col("p")).alias("got"))
         loose = rank.groupBy(*VIEW).agg(F.sum(F.when(F.col("linked").isNull(), F.col("r")).otherwise(0.0)).alias("loose"))
         nxt = rank.select(*VIEW, "a", "n", "linked", F.col("r").alias("was")).join(given, [*VIEW, "a"], "left").join(loose, VIEW)
         nxt = nxt.withColumn("r", damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n")) + (1 - damping) / F.col("n")).drop("got", "loose")
-        old, rank = rank, scratch.write(nxt, "rank")
+        done += 1
+        old, seen = rank, Observation()
+        rank = scratch.write(nxt.observe(seen, F.sum(F.abs(F.col("r") - F.col("was"))).alias("change")), "rank")
         scratch.drop(old)
-        change = rank.groupBy(*VIEW).agg(F.sum(F.abs(F.col("r") - F.col("was"))).alias("change")).agg(F.max("change")).first()[0]
-        if change is None or change < tolerance:
+        if (seen.get["change"] or 0.0) < tolerance:
             break
     return rank.select(*VIEW, F.col("a").alias("institution_id"), F.col("r").alias("pagerank"))
 

@@ -18,29 +18,24 @@ def walk(scratch: Scratch, walks: DataFrame, path: bool) -> DataFrame:
 
     ``walks``: node, at, steps, done[, path]; one row a node, stops among them (steps 0 or done).
     In a round each open walk takes over the walk of the node it stands on. When a round closes no
-    walk, the open set is closed under these jumps, so none of it can ever reach a stop.
+    walk, the open set is closed under these jumps, so none of it can ever reach a stop. A finished
+    walk is written once; only open ones go through a round, and the job that writes them counts them.
     """
-    w, before = walks, w_open(walks)
+    first, before = scratch.write_counted(walks, ~F.col("done"), "walk")
+    closed, left = first.filter("done"), first.filter("not done")
     while before:
-        nxt = w.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("done").alias("_done"), *([F.col("path").alias("_path")] if path else []))
-        opened = join_unique(w.filter(~F.col("done")), nxt, "at", "inner", total=before)
-        opened = opened.select(
+        to = closed.unionByName(left)
+        to = to.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("done").alias("_done"), *([F.col("path").alias("_path")] if path else []))
+        opened = join_unique(left, to, "at", "inner", total=before).select(
             "node", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done"),
             *([F.concat("path", "_path").alias("path")] if path else []),
         )
-        new = scratch.write(w.filter("done").unionByName(opened), "walk")
-        now = w_open(new)
-        if w is not walks:
-            scratch.drop(w)
-        w = new
+        new, now = scratch.write_counted(opened, ~F.col("done"), "walk")
+        closed, left = closed.unionByName(new.filter("done")), new.filter("not done")
         if now == before:
             break
         before = now
-    return w
-
-
-def w_open(w: DataFrame) -> int:
-    return w.filter(~F.col("done")).count()
+    return closed.unionByName(left)
 
 
 def resolve_forest(pointers: DataFrame, *, split_every: int = SPLIT_EVERY, path: bool = False, scratch: Scratch | None = None) -> DataFrame:
@@ -61,8 +56,7 @@ def resolve_forest(pointers: DataFrame, *, split_every: int = SPLIT_EVERY, path:
     """
     spark = pointers.sparkSession
     scratch = scratch or Scratch(spark, "forest")
-    p = scratch.write(pointers.select("node", "parent").filter("node is not null and parent is not null"), "pointers")
-    n = p.count()
+    p, n = scratch.write_counted(pointers.select("node", "parent").filter("node is not null and parent is not null"), F.lit(True), "pointers")
     hot = hot_keys(p, "parent", n)
 
     def splitter(c: str) -> Column:
@@ -72,12 +66,11 @@ def resolve_forest(pointers: DataFrame, *, split_every: int = SPLIT_EVERY, path:
     roots = p.select(F.col("parent").alias("node")).distinct().join(p.select("node"), "node", "left_anti")
     stops = roots.select("node", F.col("node").alias("at"), F.lit(0).alias("steps"), F.lit(True).alias("done"), *([none.alias("path")] if path else []))
     start = p.select("node", F.col("parent").alias("at"), F.lit(1).alias("steps"), splitter("parent").alias("done"), *([F.array("node").alias("path")] if path else []))
-    first = scratch.write(start.unionByName(stops), "walk")
-    walked = walk(scratch, first, path)
+    walked = walk(scratch, start.unionByName(stops), path)
 
     own = walked.filter("steps > 0")
     reduced = own.filter(splitter("node") & F.col("done")).withColumn("done", F.lit(False))
-    reduced = walk(scratch, scratch.write(reduced.unionByName(walked.filter("steps = 0")), "reduced"), path)
+    reduced = walk(scratch, reduced.unionByName(walked.filter("steps = 0")), path)
     solved = reduced.select(F.col("node").alias("at"), F.when(F.col("done"), F.col("at")).alias("_root"), F.col("steps").alias("_more"), *([F.col("path").alias("_rest")] if path else []))
     out = join_unique(own, solved, "at", "left", total=n)
     found = F.col("done") & F.col("_root").isNotNull()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import join_null_safe
 from weftline.session import Scratch
 
 
@@ -28,29 +29,54 @@ def endpoints(edges: DataFrame, *values: str) -> DataFrame:
 
 def _slot(v: Column, fine: int) -> Column:
     """A bucket number that never falls as v rises; equal values share it."""
-    up = F.floor(F.log2(F.abs(v)) * fine).cast("long") + 40_000 * fine
+    up = F.floor(F.least(F.log2(F.abs(v)), F.lit(2000.0)) * fine).cast("long") + 40_000 * fine
     return F.when(v == 0, F.lit(0)).when(v > 0, up).otherwise(-up)
 
 
-def weighted_percentile(c: DataFrame, keys: list[str], value: str, q: float, n: str = "n") -> DataFrame:
-    """Exact lower percentile of each key from compressed rows: the smallest value with rank >= q * rows.
+def _within(rows: DataFrame, keys: list[str], q: float | None) -> DataFrame:
+    """The rows (keys, value, _w, _s slot[, _want]) whose slot holds the wanted rank of their key.
 
-    Two steps of selection: a histogram over value buckets names each key's bucket (at most some
-    100,000 buckets a key exist), then only that bucket's values are ranked. No task ever holds all
-    values of a key. Null values and NaN are left out; a key without values has no row.
+    Only histograms are ranked, never values. ``_want`` is the rank within the rows that are left.
     """
-    ok = c.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    ok = ok.withColumn("_s", _slot(F.col(value), 16))
-    hist = ok.groupBy(*keys, "_s").agg(F.sum(n).alias("_n"))
+    hist = rows.groupBy(*keys, "_s").agg(F.sum("_w").alias("_n"), *([] if q is not None else [F.max("_want").alias("_rank")]))
     w = Window.partitionBy(*keys)
-    run = hist.withColumn("_to", F.sum("_n").over(w.orderBy("_s"))).withColumn("_all", F.sum("_n").over(w))
-    want = F.greatest(F.lit(1), F.ceil(F.col("_all") * q))
-    pick = run.withColumn("_want", want).filter((F.col("_to") >= F.col("_want")) & (F.col("_to") - F.col("_n") < F.col("_want")))
-    pick = pick.select(*keys, "_s", (F.col("_want") - (F.col("_to") - F.col("_n"))).alias("_left"))
-    same = [ok[k].eqNullSafe(pick[k]) for k in keys]  # a null key is a key
-    inside = ok.join(pick, [*same, ok["_s"] == pick["_s"]]).select(ok["*"], pick["_left"]).groupBy(*keys, "_left", value).agg(F.sum(n).alias("_n"))
-    inside = inside.withColumn("_to", F.sum("_n").over(w.orderBy(value)))
-    return inside.filter("_to >= _left").groupBy(*keys).agg(F.min(value).alias(f"{value}_p{round(q * 100)}"))
+    run = hist.withColumns({"_to": F.sum("_n").over(w.orderBy("_s")), "_all": F.sum("_n").over(w)})
+    if q is not None:
+        run = run.withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("_all") * q)))
+    pick = run.filter((F.col("_to") >= F.col("_rank")) & (F.col("_to") - F.col("_n") < F.col("_rank")))
+    pick = pick.select(*keys, "_s", (F.col("_rank") - (F.col("_to") - F.col("_n"))).alias("_want"))
+    return join_null_safe(rows.drop("_want"), pick, [*keys, "_s"]).drop("_s")  # a null key is a key
+
+
+def weighted_percentile(c: DataFrame, keys: list[str], value: str, q: float, n: str = "n", most: int = 100_000) -> DataFrame:
+    """Exact lower percentile of each key from compressed rows: the smallest value with rank >= q * rows.
+
+    Selection by histograms: one over value buckets (at most some 100,000 a key) names each key's
+    bucket; as long as a key has more than ``most`` values left, a histogram of 4,096 slots between
+    the smallest and the largest of them leaves one slot. Only then are values ranked, so no task
+    ever ranks more than ``most`` values of a key, however close they are. Null values and NaN are
+    left out; a key without values has no row.
+    """
+    scratch = Scratch(c.sparkSession, "percentile")
+    v = F.col(value)
+    ok = c.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, value, F.col(n).alias("_w"), _slot(v, 16).alias("_s"))
+    left, ready = scratch.write(_within(ok, keys, q), "left"), []
+    while True:
+        span = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        wide = scratch.write(span.filter((F.col("_k") > most) & (F.col("_lo") < F.col("_hi"))).drop("_k"), "wide")
+        if wide.isEmpty():
+            ready.append(left)
+            break
+        ready.append(join_null_safe(left, wide.withColumn("_wide", F.lit(True)), keys, "left").filter("_wide is null").drop("_wide", "_lo", "_hi"))
+        at = F.floor((v / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * 4096)
+        slot = F.when(v == F.col("_lo"), -1).when(v == F.col("_hi"), 4097).otherwise(F.coalesce(F.nanvl(at.cast("double"), F.lit(0.0)), F.lit(0.0))).cast("int")
+        rows = join_null_safe(left, wide, keys).withColumn("_s", slot).drop("_lo", "_hi")
+        left = scratch.write(_within(rows, keys, None), "left")
+    out = ready[0]
+    for x in ready[1:]:
+        out = out.unionByName(x)
+    out = out.withColumn("_to", F.sum("_w").over(Window.partitionBy(*keys).orderBy(value)))
+    return out.filter("_to >= _want").groupBy(*keys).agg(F.min(value).alias(f"{value}_p{round(q * 100)}"))
 
 
 def endpoint_profile(edges: DataFrame) -> DataFrame:
@@ -76,8 +102,7 @@ def endpoint_profile(edges: DataFrame) -> DataFrame:
     )
     med = weighted_percentile(ends.groupBy(*keys, "layer_weight").agg(F.sum("m").alias("n")), keys, "layer_weight", 0.5)
     total = pairs.agg(F.sum("m").alias("_rows"))  # one row
-    same = (prof["endpoint"] == med["endpoint"]) & prof["institution_id"].eqNullSafe(med["institution_id"])
-    out = prof.join(med, same, "left").select(prof["*"], med["layer_weight_p50"].alias("weight_p50"))
+    out = join_null_safe(prof, med.withColumnRenamed("layer_weight_p50", "weight_p50"), keys, "left")
     rows = total.first()[0] or 0
     return out.withColumn("share", F.col("edge_count") / F.lit(float(max(1, rows))))
 

@@ -197,7 +197,7 @@ def _resolved(inst: DataFrame) -> DataFrame:
     stops = alias.select(F.col("told").alias("node")).distinct().join(alias.select(F.col("institution_id").alias("node")), "node", "left_anti")
     walks = alias.select(F.col("institution_id").alias("node"), F.col("told").alias("at"), F.lit(1).alias("steps"), F.lit(False).alias("done"), F.col("rules").alias("path"))
     walks = walks.unionByName(stops.select("node", F.col("node").alias("at"), F.lit(0).alias("steps"), F.lit(True).alias("done"), none.alias("path")))
-    ends = walk(scratch, scratch.write(walks, "walk"), path=True).filter("steps > 0")
+    ends = walk(scratch, walks, path=True).filter("steps > 0")
     ends = ends.select(F.col("node").alias("institution_id"), "at", "done", F.col("path").alias("rules")).join(alias.select("institution_id", "told"), "institution_id")
     return same.select("institution_id", "told", F.col("told").alias("at"), F.lit(True).alias("done"), none.alias("rules")).unionByName(ends)
 

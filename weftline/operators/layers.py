@@ -127,40 +127,46 @@ def similarity_coverage(groups: DataFrame, topics: DataFrame, vectors: DataFrame
     })
 
 
-def dense_neighbors(embeddings: DataFrame, k: int = 10, blocks: int = 64, queries_mod: int = 20) -> DataFrame:
+def dense_neighbors(embeddings: DataFrame, k: int = 10, block_rows: int = 20_000, query_rows: int = 5_000, queries_mod: int = 20) -> DataFrame:
     """Exact cosine neighbours of every vector whose id is divisible by ``queries_mod``, against all vectors.
 
-    The vectors are cut into blocks; each block is compared with the query set in one matrix
-    product and keeps k candidates a query, and the best k of all blocks remain. The query set is
-    joined by block, so neither side is broadcast or gathered whole. Null, empty and zero vectors
-    and vectors of another length than the query are left out.
+    Vectors and queries are both cut into blocks by hash, of about ``block_rows`` and ``query_rows``;
+    each pair of blocks is a task of its own, one matrix product that keeps k candidates a query, and
+    the best k of all remain. So no task holds more than two blocks, however large the tables are; the
+    work is queries x vectors, as an exact answer needs. Ties go to the smaller id. Null, empty and
+    zero vectors and vectors of another length than the query are left out.
     """
     import numpy as np
     import pandas as pd
 
     v = embeddings.select("vec_id", "embedding").filter("vec_id is not null and size(embedding) > 0")
-    q = v.filter(F.col("vec_id") % queries_mod == 0).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("is_query", F.lit(True))
-    base = v.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("is_query", F.lit(False))
+    n = v.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % queries_mod == 0).alias("q")).first()
+    blocks, parts = max(1, -(-n.n // block_rows)), max(1, -(-n.q // query_rows))
+    cut = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    q = v.filter(F.col("vec_id") % queries_mod == 0).select("vec_id", "embedding", F.lit(True).alias("is_query"), cut(parts).alias("p"), every(blocks).alias("b"))
+    base = v.select("vec_id", "embedding", F.lit(False).alias("is_query"), cut(blocks).alias("b"), every(parts).alias("p"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for width, own in pdf.groupby(pdf["embedding"].map(len)):
+        for _, own in pdf.groupby(pdf["embedding"].map(len)):
             x = np.stack(own["embedding"].to_numpy()).astype(float)
             norm = np.sqrt((x**2).sum(1))
-            ok, isq = norm > 0, own["is_query"].to_numpy()
+            ok, isq, ids = norm > 0, own["is_query"].to_numpy(), own["vec_id"].to_numpy()
             x = x / np.where(ok, norm, 1)[:, None]
-            ids = own["vec_id"].to_numpy()
             qi, bi = np.flatnonzero(isq & ok), np.flatnonzero(~isq & ok)
-            for lo in range(0, len(qi), 1024):
-                part = qi[lo : lo + 1024]
+            most = min(k + 1, len(bi))
+            for lo in range(0, len(qi) if most else 0, 256):
+                part = qi[lo : lo + 256]
                 s = np.round(x[part] @ x[bi].T, 6)
-                for r, i in enumerate(part):
-                    order = np.lexsort((ids[bi], -s[r]))
-                    order = [o for o in order[: k + 1] if ids[bi[o]] != ids[i]][:k]
-                    out += [(ids[i], ids[bi[o]], float(s[r, o])) for o in order]
+                least = np.partition(s, len(bi) - most, axis=1)[:, len(bi) - most]
+                for row, low, i in zip(s, least, part):
+                    near = np.flatnonzero(row >= low)
+                    near = near[np.lexsort((ids[bi[near]], -row[near]))]
+                    out += [(ids[i], ids[bi[j]], float(row[j])) for j in near[ids[bi[near]] != ids[i]][:k]]
         return pd.DataFrame(out, columns=["vec_id", "neighbor_id", "cosine_similarity"])
 
-    near = q.unionByName(base).groupBy("b").applyInPandas(run, "vec_id long, neighbor_id long, cosine_similarity double")
+    near = q.unionByName(base).groupBy("p", "b").applyInPandas(run, "vec_id long, neighbor_id long, cosine_similarity double")
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cosine_similarity"), "neighbor_id"))
     return near.withColumn("neighbor_rank", rank).filter(F.col("neighbor_rank") <= k)
 

@@ -218,5 +218,8 @@ def flat_table(tagged: DataFrame, kind: str) -> DataFrame:
 
 
 def write_tagged(tagged: DataFrame, path: str) -> None:
-    """Write all tables at once, partitioned by tag; a later read of one tag reads only its files."""
-    tagged.write.mode("overwrite").option("compression", "zstd").partitionBy("child_kind").parquet(path)
+    """Write all tables at once, partitioned by tag; a later read of one tag reads only its files.
+
+    Rows of a tag are kept together inside each task, so a task has one open file at a time.
+    """
+    tagged.sortWithinPartitions("child_kind").write.mode("overwrite").option("compression", "zstd").partitionBy("child_kind").parquet(path)

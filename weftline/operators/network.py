@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions import safe_divide, sorted_set
+from weftline.functions import join_null_safe, safe_divide, sorted_set
 
 VIEW = ["year", "corpus_view", "hierarchy_view"]
 LARGE, EXCLUDED = 25, 100
@@ -110,8 +110,7 @@ def flows(p: DataFrame) -> DataFrame:
         F.sum("full_weight").alias("full_count"), F.sum("fractional_weight").alias("fractional_count"), F.count_distinct("work_id").alias("distinct_work_count"), F.count_distinct(F.struct("source_id", "target_id")).alias("distinct_institution_pair_count"),
     )
     s = bounded_sample(x, keys, "work_id", "work_ids_sample")
-    same = [a[k].eqNullSafe(s[k]) for k in keys]
-    out = a.join(s, same, "left").select(a["*"], s["work_ids_sample"])
+    out = join_null_safe(a, s, keys, "left")
     return out.withColumn("normalized_share", F.col("fractional_count") / F.sum("fractional_count").over(Window.partitionBy(*VIEW, "geographic_level")))
 
 
@@ -223,3 +222,62 @@ def percentile_rank(df: DataFrame, keys: list[str], value: str, name: str) -> Da
     before, n = F.sum("_c").over(w.orderBy(value)) - F.col("_c"), F.sum("_c").over(w)
     r = c.withColumn(name, F.when(n == 1, F.lit(0.5)).otherwise((before + (F.col("_c") - 1) / 2) / (n - 1))).drop("_c")
     return df.join(r, [*keys, value], "left")
+
+
+_HALVES = ["corpus_view", "hierarchy_view"]
+
+
+def with_month(works: DataFrame) -> DataFrame:
+    """work_id and the number of its month of publication (year * 12 + month - 1); works without a readable date are left out."""
+    y, m = (F.regexp_extract("publication_date", r"^\s*(\d{4})-(\d{2})", i) for i in (1, 2))
+    month = F.when(m.between("01", "12"), y.cast("int") * 12 + m.cast("int") - 1)
+    return works.select("work_id", F.when(y != "", month).alias("month")).filter("month is not null")
+
+
+def rolling_activity(groups: DataFrame, works: DataFrame) -> DataFrame:
+    """Works of each institution in the 12, 24 and 36 months up to each of its active months, in full and as fractions.
+
+    The change compares the last 12 months with the 12 before them; it is null where these have none.
+    Months are summed first, so a window holds at most one row a month.
+    """
+    m = memberships(groups).join(with_month(works), "work_id")
+    keys = [*_HALVES, "institution_id"]
+    g = m.groupBy(*keys, "month").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / F.col("institution_count")).alias("f"))
+    w = Window.partitionBy(*keys).orderBy("month")
+    last = lambda c, a, b=0: F.coalesce(F.sum(c).over(w.rangeBetween(-a, -b)), F.lit(0))
+    out = g.withColumns({f"work_count_{k}m": last("n", k - 1) for k in (12, 24, 36)} | {"fractional_count_12m": last("f", 11), "_n": last("n", 23, 12), "_f": last("f", 23, 12)})
+    change = {"activity_change_12m": safe_divide(F.col("work_count_12m") - F.col("_n"), F.col("_n")), "fractional_activity_change_12m": safe_divide(F.col("fractional_count_12m") - F.col("_f"), F.col("_f"))}
+    return out.withColumns(change).drop("n", "f", "_n", "_f")
+
+
+def monthly_persistence(pairs: DataFrame, works: DataFrame, first_year: int, window: int = 12) -> DataFrame:
+    """Share of the last ``window`` months in which a pair worked together, for each of its active months; too early windows are flagged."""
+    keys = [*_HALVES, "source_id", "target_id"]
+    m = pairs.select(*keys, "work_id").join(with_month(works), "work_id").select(*keys, "month").distinct()
+    active = F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy("month").rangeBetween(1 - window, 0))
+    return m.withColumns({"active_months": active.cast("int"), "edge_persistence": active / window, "is_incomplete_window": F.col("month") - first_year * 12 + 1 < window})
+
+
+def citation_impact(groups: DataFrame, works: DataFrame) -> DataFrame:
+    """Citations of each institution's works in full and as fractions, and the mean field-weighted impact of those that have one."""
+    m = memberships(groups).join(works.select("work_id", "cited_by_count", "fwci"), "work_id")
+    c = F.coalesce("cited_by_count", F.lit(0))
+    return m.groupBy(*VIEW, "institution_id").agg(F.sum(c).alias("citation_count"), F.sum(c / F.col("institution_count")).alias("fractional_citation_count"), F.avg("fwci").alias("mean_fwci"), F.count("fwci").alias("fwci_work_count"))
+
+
+def specialization(vectors: DataFrame, registry: DataFrame, out: DataFrame) -> DataFrame:
+    """Share of each topic family in an institution's topic weight, and its ratio to the share in the world, the macro-region and the country.
+
+    Topics without a family count in the total only.
+    """
+    fam = registry.filter("method_family is not null").select("topic_id", "method_family")
+    place = out.select(*VIEW, "institution_id", "macro_region", "country_code")
+    v = vectors.select(*VIEW, "institution_id", "topic_id", "topic_weight").join(F.broadcast(fam), "topic_id", "left").join(place, [*VIEW, "institution_id"])
+    v = v.groupBy(*VIEW, "institution_id", "macro_region", "country_code", "method_family").agg(F.sum("topic_weight").alias("w"))
+    v = v.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy(*VIEW, "institution_id")))
+    for name, keys in (("global", []), ("macro_region", ["macro_region"]), ("country", ["country_code"])):
+        base = v.groupBy(*VIEW, *keys, "method_family").agg(F.sum("w").alias("_b"))
+        base = base.withColumn(f"_{name}", F.col("_b") / F.sum("_b").over(Window.partitionBy(*VIEW, *keys))).drop("_b")
+        v = join_null_safe(v, base, [*VIEW, *keys, "method_family"])
+    v = v.filter("method_family is not null")
+    return v.select(*VIEW, "institution_id", "method_family", F.col("share").alias("topic_family_share"), *[(F.col("share") / F.col(f"_{n}")).alias(f"specialization_lift_{n}") for n in ("global", "macro_region", "country")])

@@ -12,7 +12,7 @@ from weftline.operators.nested import emit_tagged
 from weftline.operators.skew import join_unique
 from weftline.session import Scratch
 
-_LEDGER = "ref string, citing string, citing_seen long, status string"
+COMPACT = 8  # tables of an index before they are written as one
 
 
 @dataclass
@@ -31,7 +31,10 @@ class Ledger:
 
 
 class OrphanTracker:
-    """Apply batches of parents, references and deletions to a ``Ledger``.
+    """Ledger for a history that is at hand: a batch probes the whole index in one join.
+
+    For streams, where a batch must not cost more than its own keys, see
+    ``streaming.incremental.orphan_changes``. Apply batches of parents, references and deletions to a ``Ledger``.
 
     New references probe the parent index; arriving parents resolve waiting orphans (a parent that
     arrives after its reference leaves it ``late``); deletions reopen all references to the deleted
@@ -42,9 +45,18 @@ class OrphanTracker:
 
     def __init__(self, spark, scratch: Scratch | None = None):
         self.spark, self.scratch, self.ledger = spark, scratch or Scratch(spark, "orphans"), Ledger()
-
-    def _add(self, old: DataFrame | None, new: DataFrame) -> DataFrame:
-        return new if old is None else old.unionByName(new)
+        self._parts: dict[str, list[DataFrame]] = {"parents": [], "gone": [], "refs": []}
+
+    def _add(self, name: str, new: DataFrame) -> DataFrame:
+        """The index with one more table; after ``COMPACT`` tables they are written as one, so plans do not grow with the number of batches."""
+        parts = self._parts[name] = [*self._parts[name], new]
+        both = parts[0]
+        for x in parts[1:]:
+            both = both.unionByName(x)
+        if len(parts) > COMPACT:
+            both = self.scratch.write(both, name)
+            self._parts[name] = [both]
+        return both
 
     def step(self, parents: DataFrame, refs: DataFrame, gone: DataFrame) -> Ledger:
         """parents: key, seen; refs: ref, citing, citing_seen; gone: key."""
@@ -59,7 +71,7 @@ class OrphanTracker:
         if s.refs is not None:
             new = new.join(s.refs.select("ref", "citing"), ["ref", "citing"], "left_anti")
         born, lost, new = w(born, "parents"), w(lost, "gone"), w(new, "refs")
-        index, dead = self._add(s.parents, born), self._add(s.gone, lost)
+        index, dead = self._add("parents", born), self._add("gone", lost)
 
         probe = index.select(F.col("key").alias("ref"), "seen", F.lit(True).alias("there")).join(
             dead.select(F.col("key").alias("ref"), F.lit(True).alias("dead")), "ref", "full"
@@ -79,7 +91,7 @@ class OrphanTracker:
             opened = opened.unionByName(kept).unionByName(again.withColumn("status", F.lit("deleted")))
         opened = w(opened, "open")
         self.scratch.drop(s.open)
-        self.ledger = Ledger(index, dead, self._add(s.refs, new), opened)
+        self.ledger = Ledger(index, dead, self._add("refs", new), opened)
         return self.ledger
 
     def snapshot(self) -> DataFrame:

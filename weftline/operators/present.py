@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import safe_divide, sorted_set
+from weftline.operators.institutions import TARGET_REGIONS
 from weftline.operators.network import VIEW, endpoint_nodes
 
 
@@ -119,10 +120,21 @@ def geography_dimensions(nodes: DataFrame) -> DataFrame:
     return nodes.select("country_code", "country_name", "macro_region", "subregion").distinct()
 
 
-def filtered_edges(nodes: DataFrame, edges: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
-    """Edges with at least one end among the nodes of ``condition``, and the partners outside of it."""
+def filtered_edges(nodes: DataFrame, edges: DataFrame, condition: Column, *, region_pair: tuple[str, str] | None = None, topic_family: str | None = None, exclude_large: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Edges with at least one end among the nodes of ``condition``, and the partners outside of it.
+
+    Edges may be narrowed to a pair of regions (in any order), to a topic family, and to those
+    without a large consortium, before their ends are looked at.
+    """
     inside = nodes.filter(condition).select(*VIEW, "institution_id").distinct()
     e = edges
+    if region_pair is not None:
+        a, b = sorted(region_pair)
+        e = e.filter((F.least("source_region", "target_region") == a) & (F.greatest("source_region", "target_region") == b))
+    if topic_family is not None:
+        e = e.filter(F.array_contains("topic_families", topic_family))
+    if exclude_large:
+        e = e.filter("large_consortium_work_count = 0")
     for side in ("source", "target"):
         e = e.join(inside.select(*VIEW, F.col("institution_id").alias(f"{side}_id"), F.lit(True).alias(f"{side}_inside")), [*VIEW, f"{side}_id"], "left")
     e = e.filter(F.col("source_inside") | F.col("target_inside")).withColumns({f"{s}_inside": F.coalesce(f"{s}_inside", F.lit(False)) for s in ("source", "target")})
@@ -182,3 +194,13 @@ def labels(nodes: DataFrame) -> DataFrame:
     from weftline.operators.quality import latest
 
     return nodes.groupBy("institution_id").agg(latest("display_name"), sorted_set("year").alias("years"))
+
+
+def region_comparison(flows: DataFrame, pair: tuple[str, str] | None = None, weight: str = "fractional_count") -> DataFrame:
+    """Partner shares to compare: of a pair of regions in both directions, or without one the inner share of each target region."""
+    s = partner_shares(flows, weight)
+    if pair is None:
+        return s.filter((F.col("geography") == F.col("partner")) & F.col("geography").isin(*TARGET_REGIONS)).withColumn("comparison", F.col("geography"))
+    a, b = pair
+    both = ((F.col("geography") == a) & (F.col("partner") == b)) | ((F.col("geography") == b) & (F.col("partner") == a))
+    return s.filter(both).withColumn("comparison", F.concat_ws(" → ", "geography", "partner"))

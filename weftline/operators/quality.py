@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import compact_flags, sample_ids
-from weftline.operators.network import VIEW, bounded_sample
+from weftline.operators.network import EXCLUDED, LARGE, VIEW, bounded_sample, pair_diagnostics
 
 MAJOR = 0.20
 
@@ -141,3 +141,61 @@ def scope_sensitivity(wi: DataFrame) -> DataFrame:
     ))
     m = wi.withColumn("v", v).filter("v.inside")
     return m.groupBy(F.col("publication_year").alias("year"), "v.corpus_view", "hierarchy_view", "v.scope_view").agg(F.count(F.lit(1)).alias("institution_work_count"), F.count_distinct("work_id").alias("distinct_work_count"), F.count_distinct("institution_id").alias("institution_count"))
+
+
+def checks(**failures: DataFrame) -> DataFrame:
+    """(check_name, failures, passed) of one-number tables, one row each."""
+    out = None
+    for name, df in failures.items():
+        one = df.select(F.lit(name).alias("check_name"), F.coalesce(F.col(df.columns[0]).cast("long"), F.lit(0)).alias("failures"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("passed", F.col("failures") == 0)
+
+
+def _split(one: DataFrame) -> dict[str, DataFrame]:
+    return {c: one.select(c) for c in one.columns}
+
+
+def edge_checks(pairs: DataFrame, edges: DataFrame, large: int = LARGE, excluded: int = EXCLUDED) -> DataFrame:
+    """Eleven checks of pairs and annual edges, with the number of rows (or missing views) that fail each.
+
+    Ends in order, full weights 1, fractions in (0, 1], both corpora and both hierarchy views there,
+    pair counts k (k - 1) / 2 and fractions summing to 1 by work, consortium flags as the thresholds
+    have them, annual sums equal to the pairs' sums.
+    """
+    k = F.col("institution_count")
+    rows = pairs.agg(
+        F.count_if(~F.coalesce(F.col("source_id") < F.col("target_id"), F.lit(False))).alias("stable_source_target_order"), F.count_if(F.col("full_weight") != 1).alias("unit_full_work_weights"),
+        F.count_if((F.col("fractional_weight") <= 0) | (F.col("fractional_weight") > 1)).alias("fractional_weights_in_range"), F.abs(F.count_distinct("corpus_view") - 2).alias("strict_and_broad_present"), F.abs(F.count_distinct("hierarchy_view") - 2).alias("organization_and_umbrella_present"),
+        F.count_if(F.col("is_large_consortium") != (k >= large)).alias("warning_threshold_flags_match"), F.count_if(F.col("exceeds_consortium_exclusion_threshold") != (k >= excluded)).alias("exclusion_threshold_flags_match"),
+        F.sum("full_weight").alias("_full"), F.sum("fractional_weight").alias("_fraction"),
+    )
+    d = pair_diagnostics(pairs).agg(F.count_if(F.col("pair_count") != F.col("expected_pair_count")).alias("pair_counts_match_combinations"), F.count_if(F.col("fractional_error") > 1e-10).alias("fractional_weights_sum_to_one_per_work"))
+    e = edges.agg(F.sum("full_count").alias("_e_full"), F.sum("fractional_count").alias("_e_fraction"))
+    both = rows.join(F.broadcast(e))  # one row each
+    sums = both.select((~F.col("_full").eqNullSafe(F.col("_e_full"))).cast("int").alias("annual_full_counts_reconcile"), (F.abs(F.coalesce(F.col("_fraction"), F.lit(0.0)) - F.coalesce(F.col("_e_fraction"), F.lit(0.0))) >= 1e-4).cast("int").alias("annual_fractional_counts_reconcile"))
+    return checks(**_split(rows.drop("_full", "_fraction")), **_split(d), **_split(sums))
+
+
+def similarity_checks(vectors: DataFrame, edges: DataFrame, coverage: DataFrame, k: int = 20) -> DataFrame:
+    """Vectors of norm 1, edges in order, in (0, 1] and among the best k of an end, score sums equal to weight sums."""
+    n = vectors.groupBy(*VIEW, "institution_id").agg(F.sum(F.col("normalized_topic_weight") * F.col("normalized_topic_weight")).alias("q"))
+    n = n.agg(F.count_if(F.abs(F.col("q") - 1) > 1e-10).alias("vector_norms_are_one"))
+    s, r = F.col("cosine_similarity"), F.least("source_neighbor_rank", "target_neighbor_rank")
+    e = edges.agg(F.count_if(F.col("source_id") >= F.col("target_id")).alias("stable_source_target_order"), F.count_if((s <= 0) | (s > 1 + 1e-12)).alias("similarities_in_range"), F.count_if(r > k).alias("ranks_within_top_k"))
+    c = coverage.agg(F.count_if(F.abs(F.col("expected_score") - F.col("vector_weight")) > 1e-9 * F.greatest(F.col("expected_score"), F.lit(1.0))).alias("score_sums_reconcile"))
+    return checks(**_split(n), **_split(e), **_split(c))
+
+
+def extraction_reconciliation(works: DataFrame, extracted: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """One row: works with an institution, works without, works in all, works in both or in neither."""
+    a, b = extracted.select("work_id").distinct().withColumn("a", F.lit(1)), unresolved.select("work_id").distinct().withColumn("b", F.lit(1))
+    j = works.select("work_id").distinct().join(a, "work_id", "full").join(b, "work_id", "full")
+    out = j.agg(F.count(F.lit(1)).alias("work_count"), F.count("a").alias("resolved_count"), F.count("b").alias("unresolved_count"), F.count_if(F.col("a").isNotNull() == F.col("b").isNotNull()).alias("both_or_neither_count"))
+    return out.withColumn("reconciles", (F.col("both_or_neither_count") == 0) & (F.col("resolved_count") + F.col("unresolved_count") == F.col("work_count")))
+
+
+def rank_sums(ranked: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """The sum of PageRank over each view, which must be 1."""
+    g = ranked.groupBy(*VIEW).agg(F.sum("pagerank").alias("pagerank_sum"), F.count(F.lit(1)).alias("node_count"))
+    return g.withColumn("is_one", F.abs(F.col("pagerank_sum") - 1) <= tolerance)

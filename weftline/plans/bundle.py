@@ -6,12 +6,23 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.operators import corpus, graphs, institutions, layers, network, quality
+from weftline.operators import corpus, graphs, institutions, layers, nested, network, quality
 from weftline.plans.tables import table
 from weftline.session import Scratch
 
 
-_BUNDLES: dict[tuple[str, str], "Bundle"] = {}
+_BUNDLES: dict[tuple, "Bundle"] = {}
+
+
+def input_identity(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, size and time of change of every input file, so that rewritten input is never answered from old tables."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 class Bundle:
@@ -27,8 +38,8 @@ class Bundle:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Bundle":
-        """The bundle of this application and input; its written tables serve all queries of a run."""
-        key = (spark.sparkContext.applicationId, sf_dir)
+        """The bundle of this application and these input files; its written tables serve all queries of a run."""
+        key = (spark.sparkContext.applicationId, sf_dir, input_identity(spark, sf_dir))
         old = _BUNDLES.get(key)
         if old is None or not old.scratch.intact():
             old = _BUNDLES[key] = cls(spark, sf_dir)
@@ -44,6 +55,14 @@ class Bundle:
     def works(self) -> DataFrame:
         return corpus.normalized_works(self.raw("works"))
 
+    @cached_property
+    def tagged(self) -> DataFrame:
+        """All nested elements of the delivered works, read and written once, a folder for each tag."""
+        path = f"{self.scratch.root}/tagged"
+        rows = nested.flat_rows(self.raw("works"), nests=nested.FLAT_NESTS, payload=True)
+        nested.write_tagged(rows, path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     @cached_property
     def topics(self) -> DataFrame:
         return self.shared(corpus.work_topics(self.works, self.raw("topic_registry")), "topics")
@@ -108,9 +127,13 @@ class Bundle:
     def nodes(self) -> DataFrame:
         return self.shared(network.node_metrics(self.edges, self.outputs), "nodes")
 
+    @cached_property
+    def pagerank(self) -> DataFrame:
+        return self.shared(graphs.pagerank(self.graph), "pagerank")
+
     @cached_property
     def ranked_nodes(self) -> DataFrame:
-        return self.shared(self.nodes.join(graphs.pagerank(self.graph), [*network.VIEW, "institution_id"]), "ranked")
+        return self.shared(self.nodes.join(self.pagerank, [*network.VIEW, "institution_id"]), "ranked")
 
     @cached_property
     def communities(self) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.operators import hierarchy, hotkeys, nested, orphans
+from weftline.plans.bundle import Bundle
 from weftline.plans.network_oracles import array_of, elements, sid
 from weftline.plans.network_queries import tidy
 from weftline.plans.tables import table
@@ -15,11 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _flat(kind: str) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        tagged = nested.flat_rows(table(spark, d, "works"), nests=nested.FLAT_NESTS, kinds=[kind], payload=kind != "reference")
-        return nested.flat_table(tagged, kind) if kind != "reference" else tagged.drop("child_kind")
-
-    return run
+    return lambda spark, d: nested.flat_table(Bundle.of(spark, d).tagged, kind)
 
 
 QUERIES: dict[str, Query] = {

@@ -157,8 +157,12 @@ STEPS: dict[str, str] = {
         UNION ALL SELECT {V}, geographic_level, target_geography, source_geography, fractional_count, full_count FROM flows) AS z GROUP BY ALL) AS y""",
     "attr": " UNION ALL ".join(f"SELECT institution_id, '{c}' AS c, {c} AS v, count(*) AS n FROM ext WHERE {c} IS NOT NULL GROUP BY ALL" for c in ("ror_id", "display_name", "country_code", "institution_type")),
     "mode": "SELECT institution_id, c, v, k, kinds FROM (SELECT *, row_number() OVER (PARTITION BY institution_id, c ORDER BY n DESC, v) AS k, count(*) OVER (PARTITION BY institution_id, c) AS kinds FROM attr) AS z WHERE k = 1",
-    "reg": "SELECT ror, arg_min(n, record_id) AS rname, arg_min(cc, record_id) AS rcc FROM (SELECT regexp_extract(lower(source_ror_ids[1]), '([0-9a-hj-km-np-tv-z]{9})/*$', 1) AS ror, record_id, coalesce(source_display_names[1], chr(0)) AS n, coalesce(source_country_codes[1], chr(0)) AS cc FROM institution_records WHERE metadata_source = 'registry_dump') AS z WHERE ror <> '' GROUP BY 1",
     "reach": f"SELECT {V}, institution_id, institution_id AS other FROM outs UNION SELECT r.year, r.corpus_view, r.hierarchy_view, r.institution_id, s.partner_id FROM reach AS r JOIN sym AS s ON s.year = r.year AND s.corpus_view = r.corpus_view AND s.hierarchy_view = r.hierarchy_view AND s.institution_id = r.other",
+    "links": f"SELECT s.year, s.corpus_view, s.hierarchy_view, s.institution_id, s.partner_id, s.fractional_count / sum(s.fractional_count) OVER (PARTITION BY s.year, s.corpus_view, s.hierarchy_view, s.institution_id) AS p FROM sym AS s",
+    "dims": f"SELECT {V}, n, n - coalesce(m, 0) AS loose FROM (SELECT {V}, count(*) AS n FROM outs GROUP BY ALL) AS a LEFT JOIN (SELECT {V}, count(DISTINCT institution_id) AS m FROM sym GROUP BY ALL) AS b USING (year, corpus_view, hierarchy_view)",
+    # power iteration: nodes without edges all have one rank, so it is carried along with the others
+    "ranks": f"SELECT 0 AS t, l.year, l.corpus_view, l.hierarchy_view, l.institution_id, any_value(1.0::DOUBLE / d.n) AS r, any_value(1.0::DOUBLE / d.n) AS iso FROM links AS l JOIN dims AS d USING (year, corpus_view, hierarchy_view) GROUP BY ALL UNION ALL SELECT k.t + 1, k.year, k.corpus_view, k.hierarchy_view, l.partner_id, 0.85::DOUBLE * (sum(k.r * l.p) + any_value(d.loose * k.iso / d.n)) + 0.15::DOUBLE / any_value(d.n), 0.85::DOUBLE * any_value(d.loose * k.iso / d.n) + 0.15::DOUBLE / any_value(d.n) FROM ranks AS k JOIN links AS l ON l.year = k.year AND l.corpus_view = k.corpus_view AND l.hierarchy_view = k.hierarchy_view AND l.institution_id = k.institution_id JOIN dims AS d ON d.year = k.year AND d.corpus_view = k.corpus_view AND d.hierarchy_view = k.hierarchy_view WHERE k.t < 110 GROUP BY k.t, k.year, k.corpus_view, k.hierarchy_view, l.partner_id",
+    "page": f"SELECT o.year, o.corpus_view, o.hierarchy_view, o.institution_id, coalesce(a.r, i.iso, 1.0::DOUBLE / d.n) AS pagerank FROM outs AS o JOIN dims AS d USING (year, corpus_view, hierarchy_view) LEFT JOIN (SELECT * FROM ranks WHERE t = 110) AS a ON a.year = o.year AND a.corpus_view = o.corpus_view AND a.hierarchy_view = o.hierarchy_view AND a.institution_id = o.institution_id LEFT JOIN (SELECT {V}, max(iso) AS iso FROM ranks WHERE t = 110 GROUP BY ALL) AS i ON i.year = o.year AND i.corpus_view = o.corpus_view AND i.hierarchy_view = o.hierarchy_view",
     "comp": f"SELECT {V}, institution_id, min(other) AS component_id FROM reach GROUP BY ALL",
     "scoped": "SELECT publication_year AS year, corpus_view, hierarchy_view, scope_view, count(*) AS n FROM (SELECT *, unnest(['primary', 'expanded']) AS scope_view FROM (SELECT *, unnest(['strict', 'broad']) AS corpus_view FROM wi) AS y) AS z WHERE (CASE corpus_view WHEN 'strict' THEN strict_primary ELSE broad_primary END) AND (CASE scope_view WHEN 'primary' THEN is_primary_network_scope ELSE target AND analytical_scope IN ('primary', 'secondary') END) GROUP BY ALL",
     "roll": f"SELECT y.*, (SELECT count(DISTINCT e.source_id || '|' || e.target_id) FROM edges AS e WHERE e.corpus_view = y.corpus_view AND e.hierarchy_view = y.hierarchy_view AND e.year BETWEEN y.year - 2 AND y.year) AS rolling_edge_count FROM (SELECT {V}, count(*) AS annual_edge_count FROM edges GROUP BY ALL) AS y",
@@ -252,19 +256,22 @@ ORACLES: dict[str, str] = {name: sql(text) for name, text in {
     "view1_partner_shares": f"SELECT {V}, geography, partner, {r('endpoint_weight', 'partner_share')} FROM share WHERE geographic_level = 'macro_region'",
     "view2_local_profile": f"SELECT {V}, geography, coalesce(sum(full_weight) FILTER (WHERE geography = partner), 0.0) AS local_weight, coalesce(sum(full_weight) FILTER (WHERE geography <> partner), 0.0) AS external_weight, sum(full_weight) AS total_weight, round(coalesce(sum(full_weight) FILTER (WHERE geography = partner), 0.0) / sum(full_weight), 6) AS local_share FROM share WHERE geographic_level = 'country' GROUP BY ALL",
     "view3_timeline": f"SELECT y.year, p.corpus_view, p.hierarchy_view, p.source_id, p.target_id, coalesce(e.full_count, 0) AS full_count, round(coalesce(e.fractional_count, 0.0), 6) AS fractional_count, round(e.normalized_intensity, 6) AS normalized_intensity, round(e.a3 / 3.0, 6)::DOUBLE AS persistence_3y, e.year IS NOT NULL AS is_observed FROM (SELECT DISTINCT corpus_view, hierarchy_view, source_id, target_id FROM edges) AS p CROSS JOIN (SELECT unnest(range({FIRST_YEAR}, {LAST_YEAR} + 1))::INTEGER AS year) AS y LEFT JOIN intens AS e ON e.year = y.year AND e.corpus_view = p.corpus_view AND e.hierarchy_view = p.hierarchy_view AND e.source_id = p.source_id AND e.target_id = p.target_id",
-    "view5_filtered_edges": f"SELECT {E}, source_region = 'Asia' AS source_inside, target_region = 'Asia' AS target_inside, {r('fractional_count')} FROM edges WHERE source_region = 'Asia' OR target_region = 'Asia'",
-    "view5_outside_partners": f"SELECT DISTINCT {V}, CASE WHEN source_region = 'Asia' THEN target_id ELSE source_id END AS institution_id FROM edges WHERE (source_region = 'Asia') <> (target_region = 'Asia')",
-    "view5_induced": f"SELECT * FROM (SELECT {E}, {r('fractional_count')}, round(quantile_cont(fractional_count, 0.5) OVER (PARTITION BY {V}), 6) AS median_weight FROM edges WHERE source_region = 'Europe' AND target_region = 'Europe') AS z WHERE fractional_count >= median_weight",
+    "pf15_filtered_edges": f"SELECT {E}, source_region = 'Asia' AS source_inside, target_region = 'Asia' AS target_inside, {r('fractional_count')} FROM edges WHERE source_region = 'Asia' OR target_region = 'Asia'",
+    "pf15_outside_partners": f"SELECT DISTINCT {V}, CASE WHEN source_region = 'Asia' THEN target_id ELSE source_id END AS institution_id FROM edges WHERE (source_region = 'Asia') <> (target_region = 'Asia')",
+    "pf16_induced_edges": f"SELECT * FROM (SELECT {E}, {r('fractional_count')}, round(quantile_cont(fractional_count, 0.5) OVER (PARTITION BY {V}), 6) AS median_weight FROM edges WHERE source_region = 'Europe' AND target_region = 'Europe') AS z WHERE fractional_count >= median_weight",
     "view6_top_families": f"SELECT {V}, topic_family, visible_edge_count, full_count, {r('fractional_count')}, edge_work_count_sum FROM fam WHERE corpus_view = 'broad' AND hierarchy_view = 'organization' AND topic_family IN (SELECT topic_family FROM fam WHERE corpus_view = 'broad' AND hierarchy_view = 'organization' GROUP BY 1 ORDER BY round(sum(fractional_count), 9) DESC, topic_family LIMIT 12)",
     "view6_top_partners": "SELECT * FROM (SELECT institution_id, partner_id, fractional_count, row_number() OVER (PARTITION BY institution_id ORDER BY fractional_count DESC, partner_id)::INTEGER AS partner_rank FROM (SELECT institution_id, partner_id, round(sum(fractional_count), 6) AS fractional_count FROM sym WHERE corpus_view = 'broad' AND hierarchy_view = 'organization' GROUP BY 1, 2) AS z) AS y WHERE partner_rank <= 15",
     "ext1_effective_partners": f"SELECT {N}, count(*) AS partner_count, round(exp(-sum(p * ln(p))), 6) AS effective_partner_count FROM (SELECT *, fractional_count / sum(fractional_count) OVER (PARTITION BY {N}) AS p FROM sym) AS z GROUP BY ALL",
     "ext2_repeat_partners": f"SELECT {N}, count(*) AS partner_count, count(*) FILTER (WHERE old) AS repeat_partner_count, round(count(*) FILTER (WHERE old) / count(*), 6) AS repeat_partner_ratio FROM (SELECT s.*, s.year > min(s.year) OVER (PARTITION BY corpus_view, hierarchy_view, institution_id, partner_id) AS old FROM sym AS s) AS z GROUP BY ALL",
     "ext3_percentile_rank": f"SELECT {N}, work_count, round(CASE WHEN n = 1 THEN 0.5 ELSE (rk + (ties - 1) / 2.0 - 1) / (n - 1) END, 6)::DOUBLE AS work_count_percentile FROM (SELECT {N}, work_count, rank() OVER (PARTITION BY {V} ORDER BY work_count) AS rk, count(*) OVER (PARTITION BY {V}, work_count) AS ties, count(*) OVER (PARTITION BY {V}) AS n FROM outs) AS z",
     "mst1_master": "SELECT i.institution_id, max(m.v) FILTER (WHERE c = 'ror_id') AS ror_id, max(m.v) FILTER (WHERE c = 'display_name') AS display_name, max(m.v) FILTER (WHERE c = 'country_code') AS country_code, max(m.v) FILTER (WHERE c = 'institution_type') AS institution_type, any_value(i.n) AS assertion_work_count, array_to_string(list_sort(list_concat(list('conflicting_' || c) FILTER (WHERE kinds > 1), list_transform(list_filter(['country_code', 'display_name', 'institution_type', 'ror_id'], lambda q: NOT list_contains(coalesce(list(c) FILTER (WHERE c IS NOT NULL), []), q)), lambda q: 'missing_' || q))), ',') AS issues FROM (SELECT institution_id, count(*) AS n FROM ext GROUP BY 1) AS i LEFT JOIN mode AS m USING (institution_id) GROUP BY i.institution_id",
-    "ror2_enriched": """SELECT institution_id, CASE WHEN ror IS NULL THEN 'missing_ror_id' WHEN r_ror IS NULL THEN 'not_retrieved' ELSE 'enriched' END AS registry_status, CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN 'source' END AS coordinate_source, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
-        concat_ws(',', CASE WHEN r_ror IS NOT NULL AND nullif(rcc, chr(0)) <> country_code THEN 'country' END, CASE WHEN r_ror IS NOT NULL AND lower(nullif(rname, chr(0))) <> lower(display_name) THEN 'name' END) AS conflicts FROM (SELECT i.*, r.ror AS r_ror, r.rname, r.rcc FROM (SELECT *, nullif(regexp_extract(lower(ror_id), '([0-9a-hj-km-np-tv-z]{9})/*$', 1), '') AS ror FROM inst) AS i LEFT JOIN reg AS r ON r.ror = i.ror) AS z""",
     "top1_lexical": """SELECT topic_id, display_name, max(score) AS evidence, count(*) AS term_count FROM (SELECT topic_id, display_name, round(least(1.0::DOUBLE, 0.55::DOUBLE * len(list_intersect(tw, nw)) / len(tw) + 0.25::DOUBLE * len(list_intersect(tw, fw)) / len(tw) + 0.2::DOUBLE * len(list_intersect(tw, dw)) / len(tw) + CASE WHEN contains(lower(display_name), term) THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END), 6) AS score
         FROM (SELECT *, list_distinct(regexp_extract_all(term, '[a-z0-9]+')) AS tw FROM (SELECT topic_id, display_name, list_distinct(regexp_extract_all(lower(display_name), '[a-z0-9]+')) AS nw, list_distinct(regexp_extract_all(lower(subfield_name), '[a-z0-9]+')) AS fw, list_distinct(regexp_extract_all(lower(domain_name), '[a-z0-9]+')) AS dw, unnest(['flood exposure', 'remote sensing', 'land cover', 'network analysis']) AS term FROM topic_registry) AS y) AS x) AS z WHERE score > 0 GROUP BY 1, 2""",
+    "met2_pagerank": f"SELECT {N}, {r('pagerank')} FROM page",
+    "met2_pagerank_distributed": f"SELECT {N}, {r('pagerank')} FROM page",
+    "sim2_dense": "SELECT vec_id, neighbor_id, s AS cosine_similarity, k::INTEGER AS neighbor_rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbor_id) AS k FROM (SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings AS a JOIN embeddings AS b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.embedding) = len(b.embedding)) AS y WHERE s IS NOT NULL AND NOT isnan(s)) AS z WHERE k <= 10",
+    "net3_accessibility": f"SELECT {V}, n.node_count, n.top_institution, round(n.w, 6) AS top_fractional_strength, n.isolated_node_count, coalesce(e.edge_count, 0) AS edge_count, coalesce(e.cross_n, 0) AS cross_region_edge_count, round(e.low, 6) AS visible_minimum_fractional_weight, format('{{}}, {{}} / {{}}: {{}} institutions ({{}} isolated), {{}} edges ({{}} across regions); strongest: {{}}', year, corpus_view, hierarchy_view, n.node_count, n.isolated_node_count, coalesce(e.edge_count, 0), coalesce(e.cross_n, 0), coalesce(n.top_institution, 'none')) AS summary_text FROM (SELECT {V}, count(*) AS node_count, arg_max(display_name, (round(fractional_strength, 9), institution_id)) FILTER (WHERE display_name IS NOT NULL) AS top_institution, max(fractional_strength) AS w, count(*) FILTER (WHERE degree = 0) AS isolated_node_count FROM nodes GROUP BY ALL) AS n LEFT JOIN (SELECT {V}, count(*) AS edge_count, count(*) FILTER (WHERE source_region <> target_region) AS cross_n, min(fractional_count) AS low FROM edges GROUP BY ALL) AS e USING (year, corpus_view, hierarchy_view)",
+    "hie2_rule_problems": f"SELECT institution_id, canonical_institution_id, problem FROM (SELECT c.origin AS institution_id, arg_max(c.here, c.n) AS canonical_institution_id, CASE WHEN max(c.n) >= 100 THEN 'cycle' WHEN arg_max(c.here, c.n) NOT IN (SELECT institution_id FROM i0) THEN 'unknown_target' END AS problem FROM chain AS c GROUP BY c.origin) AS z WHERE problem IS NOT NULL",
     "met5_components": f"SELECT {V}, component_id, count(*) AS size FROM comp GROUP BY ALL",
     "met5_components_distributed": f"SELECT {V}, component_id, count(*) AS size FROM comp GROUP BY ALL",
     "met5_graph": f"""SELECT {V}, node_count, {r('mean_degree', 'mean_full_strength', 'mean_fractional_strength')}, coalesce(edge_count, 0) AS edge_count, round(coalesce(a, 0.0), 6) AS cross_region_edge_share, round(coalesce(b, 0.0), 6) AS cross_region_fractional_weight_share, connected_component_count, round(coalesce(2.0::DOUBLE * coalesce(edge_count, 0) / nullif(node_count * (node_count - 1), 0), 0.0), 6) AS density, round(largest / node_count, 6) AS largest_component_share

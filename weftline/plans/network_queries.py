@@ -69,7 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _q(make) f
     "ins2_unresolved": lambda b: institutions.unresolved(b.works),
     "mst1_master": lambda b: institutions.master(b.extracted).select("institution_id", "ror_id", "display_name", "country_code", "institution_type", "assertion_work_count", F.array_join("issues", ",").alias("issues")),
     "geo1_geography": lambda b: b.inst.select("institution_id", "country_code", "country_name", "macro_region", "subregion", "geography_issue"),
-    "ror2_enriched": lambda b: institutions.enriched(b.inst, _registry(b)).select("institution_id", "registry_status", "coordinate_source", "latitude", "longitude", F.array_join("registry_conflicts", ",").alias("conflicts")),
     "hie1_views": lambda b: b.views.select("hierarchy_view", "institution_id", "canonical_institution_id", "is_collapsed"),
     "hie2_rule_problems": lambda b: institutions.rule_problems(b.inst),
     "hie3_candidates": lambda b: institutions.umbrella_candidates(b.raw("institutions")).select("institution_id", F.array_join("candidate_ids", ",").alias("candidates"), "candidate_count", "resolution"),
@@ -86,7 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _q(make) f
     "grf1_catalogue": lambda b: network.graph_catalogue(b.edges, b.outputs),
     # metrics
     "met1_nodes": lambda b: b.nodes.select(*NODE, "degree", "full_strength", "fractional_strength", "bridge_score", "partner_country_count", "partner_region_count"),
-    "met2_pagerank": lambda b: graphs.pagerank(b.graph),
+    "met2_pagerank": lambda b: b.pagerank,
     "met2_pagerank_distributed": lambda b: graphs.pagerank_distributed(b.edges, b.outputs),
     "met3_betweenness": lambda b: graphs.betweenness(b.graph),
     "met5_components": lambda b: graphs.components(b.graph).groupBy(*VIEW, "component_id").agg(F.count(F.lit(1)).alias("size")),
@@ -114,8 +113,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _q(make) f
     "mpx3_overlap": lambda b: layers.layer_overlap(b.raw("layer_edges")),
     # audit, sensitivity, contracts
     "val1_contracts": _table_checks,
-    "val2_content_hash": lambda b: quality.table_metrics(b.raw("layer_edges"), quality.TableContract("layer_edges", ("year", "corpus_view", "hierarchy_view", "layer", "source_id", "target_id"), ("layer_weight",), "year")),
-    "dic1_columns": lambda b: quality.null_profile(b.raw("works"), "works").unionByName(quality.null_profile(b.raw("institutions"), "institutions")).unionByName(quality.null_profile(b.raw("layer_edges"), "layer_edges")),
     "aud1_institutions": lambda b: quality.top_institutions(b.ranked_nodes, b.wi, b.views).withColumns({c: F.array_join(c, "|") for c in ("work_ids_sample", "raw_affiliation_samples", "suspicious_flags")}),
     "aud2_edges": lambda b: quality.top_edges(b.intensity, b.wi).withColumns({c: F.array_join(c, "|") for c in ("work_ids_sample", "source_raw_affiliation_samples", "target_raw_affiliation_samples", "suspicious_flags")}),
     "sen1_matrix": lambda b: quality.sensitivity(network.graph_catalogue(b.edges, b.outputs), b.edges, b.pairs, b.corpus, b.scope),
@@ -138,9 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _q(make) f
     "view2_local_profile": lambda b: present.local_profile(b.flows),
     "view3_timeline": lambda b: present.pair_timeline(b.intensity, corpus.FIRST_YEAR, corpus.LAST_YEAR),
     "view4_labels": lambda b: present.labels(b.outputs).withColumn("years", F.array_join(F.col("years").cast("array<string>"), ",")),
-    "view5_filtered_edges": lambda b: present.filtered_edges(b.outputs, b.edges, F.col("macro_region") == "Asia")[0].select(*EDGE, "source_inside", "target_inside", "fractional_count"),
-    "view5_outside_partners": lambda b: present.filtered_edges(b.outputs, b.edges, F.col("macro_region") == "Asia")[1],
-    "view5_induced": lambda b: present.induced_edges(b.outputs.filter("macro_region = 'Europe'"), b.edges).select(*EDGE, "fractional_count", "median_weight"),
+    "pf15_filtered_edges": lambda b: present.filtered_edges(b.outputs, b.edges, F.col("macro_region") == "Asia")[0].select(*EDGE, "source_inside", "target_inside", "fractional_count"),
+    "pf15_outside_partners": lambda b: present.filtered_edges(b.outputs, b.edges, F.col("macro_region") == "Asia")[1],
+    "pf16_induced_edges": lambda b: present.induced_edges(b.outputs.filter("macro_region = 'Europe'"), b.edges).select(*EDGE, "fractional_count", "median_weight"),
     "view6_top_families": lambda b: present.top_families(b.edges),
     "view6_top_partners": lambda b: present.top_partners(b.edges),
     # measures beyond the tables above
@@ -150,15 +147,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _q(make) f
 }.items()}
 
 
-def _registry(b: Bundle) -> DataFrame:
-    """Registry records for the enrichment, from the institution records of the registry dump."""
-    r = b.raw("institution_records").filter("metadata_source = 'registry_dump'")
-    ror = F.regexp_extract(F.lower(F.get("source_ror_ids", 0)), r"([0-9a-hj-km-np-tv-z]{9})/*$", 1)
-    r = r.select(ror.alias("ror_id"), "record_id", F.get("source_display_names", 0).alias("name"), F.get("source_country_codes", 0).alias("country_code")).filter("ror_id <> ''")
-    first = r.groupBy("ror_id").agg(F.min(F.struct("record_id", "name", "country_code")).alias("r"))
-    return first.select("ror_id", "r.name", "r.country_code", F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"), F.lit(True).alias("valid"))
-
-
 def _graph_metrics(b: Bundle) -> DataFrame:
     """Density, means, components and cross-region shares of each view."""
     n = b.nodes.groupBy(*VIEW).agg(F.count(F.lit(1)).alias("node_count"), F.avg("degree").alias("mean_degree"), F.avg("full_strength").alias("mean_full_strength"), F.avg("fractional_strength").alias("mean_fractional_strength"))

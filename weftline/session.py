@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,11 +49,25 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL: str | None = None
 
 
+_ROOTS: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all scratch tables of this process, once its results have been written or shown.
+
+    DataFrames that were made before and still read scratch tables cannot be run afterwards.
+    """
+    while _ROOTS:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_ROOTS.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Intermediate tables written once to the shared folder.
 
     A written table has no lineage behind it, so the loss of an executor costs a re-read and never
-    a recomputation of earlier rounds. ``drop`` removes a table that a later round has replaced.
+    a recomputation of earlier rounds. ``drop`` removes a table that a later round has replaced,
+    ``release`` all that are left.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -60,6 +75,13 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
         self._paths: list[str] = []
+        _ROOTS.append(self.root)
+
+    def write_counted(self, df: DataFrame, condition: Column, name: str = "t") -> tuple[DataFrame, int]:
+        """``write``, and the number of rows that meet the condition, counted by the job that writes them."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count_if(condition).alias("n")), name)
+        return out, seen.get["n"]
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
