@@ -268,3 +268,14 @@ def mixed_documents(documents: DataFrame, targets: DataFrame, **kw) -> DataFrame
 
 def mixed_shares(documents: DataFrame, targets: DataFrame, **kw) -> DataFrame:
     return mix(documents, targets, **kw)[1]
+
+
+def mix_checks(documents: DataFrame, targets: DataFrame, tolerance: float = 0.01, **kw) -> DataFrame:
+    """A row a target source: documents used too often, documents of unwanted sources (told with every source), and whether its share is reached."""
+    chosen, shares = mix(documents, targets, **kw)
+    caps = targets.filter("source is not null").groupBy("source").agg(F.max("max_repeats").alias("max_repeats"))
+    used = chosen.join(F.broadcast(caps.select(F.col("source").alias("domain"), "max_repeats")), "domain", "left")
+    bad = used.groupBy(F.col("domain").alias("source")).agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("over_cap_count"))
+    lost = used.agg(F.count_if(F.col("max_repeats").isNull()).alias("unwanted_count"))
+    out = shares.join(F.broadcast(caps.select("source")), "source", "left_semi").join(F.broadcast(bad), "source", "left").join(F.broadcast(lost))
+    return out.select("source", F.coalesce("over_cap_count", F.lit(0)).alias("over_cap_count"), "unwanted_count", (F.abs("actual_gap") <= tolerance).alias("share_is_reached"))

@@ -6,7 +6,7 @@ from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.tokens import RANKS, token_counts
@@ -133,3 +133,25 @@ def packing_summary(documents: DataFrame, capacities: DataFrame, ranks: str = RA
     boxes = p.groupBy("packing", "container_id", "capacity_name", "capacity_tokens").agg(F.sum("piece_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
     out = boxes.groupBy("packing", "capacity_name").agg(F.count(F.lit(1)).alias("container_count"), F.sum("n").alias("piece_count"), F.sum("t").alias("token_count"), F.sum("capacity_tokens").alias("capacity"))
     return out.withColumn("unused_share", 1 - F.col("token_count") / F.col("capacity")).drop("capacity")
+
+
+def packing_checks(documents: DataFrame, capacities: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """A row a packing: documents, and what must not be: containers overfull or larger than needed, pieces lost or too many, room wasted.
+
+    Room is wasted if more than one largest container a shard and a hundredth of all tokens stay empty.
+    """
+    p = Scratch(documents.sparkSession, "p8").write(pack_documents(documents, capacities, ranks), "packed")
+    caps = sorted(set(_capacities(capacities).values()))
+    sizes = token_counts(documents, "doc_id", "text", ranks=ranks).select("doc_id", "tokens")
+    most = F.when(F.col("packing") == "mixed", F.lit(caps[-1] if caps else 0)).otherwise(F.max("capacity_tokens").over(Window.partitionBy("packing")))
+    own = p.withColumn("_most", most).groupBy("packing", "doc_id").agg(F.sum("piece_tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.max("_most").alias("m"), F.count_distinct("piece_index").alias("k")).join(sizes, "doc_id", "full")
+    wrong = ~((F.col("t") == F.col("tokens")) & (F.col("n") == F.ceil(F.col("tokens") / F.col("m"))) & (F.col("k") == F.col("n")))
+    docs = own.groupBy("packing").agg(F.count(F.lit(1)).alias("document_count"), F.count_if(F.coalesce(wrong, F.lit(True))).alias("wrong_document_count"))
+    boxes = p.groupBy("packing", "container_id").agg(F.max("capacity_tokens").alias("c"), F.sum("piece_tokens").alias("t"), F.max("container_tokens").alias("told"))
+    fits = F.array_min(F.filter(F.array(*map(F.lit, caps)), lambda x: x >= F.col("t"))) if caps else F.lit(None).cast("int")
+    b = boxes.groupBy("packing").agg(
+        F.count_if((F.col("t") > F.col("c")) | (F.col("t") != F.col("told"))).alias("overfull_count"), F.count_if((F.col("packing") == "mixed") & (F.col("c") > fits)).alias("oversized_count"),
+        (F.sum("c") - F.sum("t")).alias("_empty"), F.sum("t").alias("_t"), F.max("c").alias("_c"), F.count_distinct(F.regexp_extract("container_id", r"^(\d+)-", 1)).alias("_shards"),
+    )
+    tight = F.col("_empty") <= F.col("_c") * F.col("_shards") + F.col("_t") / 100
+    return docs.join(b, "packing").select("packing", "document_count", "wrong_document_count", "overfull_count", "oversized_count", tight.alias("is_tight"))

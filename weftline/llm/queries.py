@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm import lookalike, mixing, packing, radix, residue, survivor
 from weftline.plans.network_oracles import sid
@@ -22,6 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_summary": lambda s, d: packing.packing_summary(table(s, d, "documents"), table(s, d, "pack_capacities")),
     "p9_mix": lambda s, d: mixing.mixed_documents(table(s, d, "documents"), table(s, d, "mix_targets")),
     "p9_shares": lambda s, d: mixing.mixed_shares(table(s, d, "documents"), table(s, d, "mix_targets")),
+    "p8_checks": lambda s, d: packing.packing_checks(table(s, d, "documents"), table(s, d, "pack_capacities")),
+    "p9_checks": lambda s, d: mixing.mix_checks(table(s, d, "documents"), table(s, d, "mix_targets")),
+    "p10_coverage": lambda s, d: residue.judge_documents(table(s, d, "documents")).agg(F.count(F.lit(1)).alias("judged_count"), F.count_distinct("doc_id").alias("document_count"), F.count_if(F.col("residue") != F.col("decided_by").isNotNull()).alias("unexplained_count")),
     "p10_found": lambda s, d: residue.residue_found(table(s, d, "documents")),
     "p10_scores": lambda s, d: residue.judge_documents(table(s, d, "documents")),
     "p10_clean": lambda s, d: residue.clean_documents(table(s, d, "documents")),
@@ -71,7 +75,29 @@ def _pairs(field: str, table_name: str, key: str, text: str) -> str:
     return f"SELECT DISTINCT '{field}' AS field_name, a.k AS key_a, b.k AS key_b FROM ({rows}) AS a JOIN ({rows}) AS b ON a.f = b.f AND a.p <> b.p AND a.k < b.k"
 
 
+_CONTENT = r"regexp_matches(text, '[^\s\p{Z}\x{85}]')"
+_FIELDS = survivor.FIELDS
+
+
+def _best(field: str) -> str:
+    """The surviving record of one field with the usable elements of its list, in order and without repeats."""
+    kept = f"list_filter({field}, lambda x: x IS NOT NULL AND NOT ({_stand_in(field)}))"
+    once = f"list_filter({kept}, lambda y, i: list_position({kept}, y) = i)"
+    return f"""SELECT institution_id, v, record_id FROM (SELECT {sid('institution_id')} AS institution_id, record_id, {once} AS v, row_number() OVER (PARTITION BY {sid('institution_id')} ORDER BY t.trust_rank ASC NULLS LAST, {_AT} DESC NULLS LAST, record_id, {field}) AS k
+        FROM institution_records LEFT JOIN source_trust AS t USING (metadata_source) WHERE {sid('institution_id')} IS NOT NULL AND record_id IS NOT NULL AND len({kept}) > 0) AS q WHERE k = 1"""
+
+
+def _forms(field: str, table_name: str, key: str, text: str) -> str:
+    return f"SELECT DISTINCT '{field}' AS field_name, {key} AS key, {text} AS text, {_form(text)} AS form FROM {table_name}"
+
+
 ORACLES: dict[str, str] = {
+    "p3_records": f"SELECT a.institution_id, a.n AS record_count, {', '.join(f'{f}.v AS {f}, {f}.record_id AS {f}_record_id' for f in _FIELDS)}, {' + '.join(f'({f}.record_id IS NOT NULL)::BIGINT' for f in _FIELDS)} AS completeness FROM (SELECT {sid('institution_id')} AS institution_id, count(DISTINCT record_id) AS n FROM institution_records WHERE record_id IS NOT NULL GROUP BY 1) AS a "
+    + " ".join(f"LEFT JOIN ({_best(f)}) AS {f} ON {f}.institution_id = a.institution_id" for f in _FIELDS) + " WHERE a.institution_id IS NOT NULL",
+    "p6_forms": _forms("works.title", "works", "work_id", "title") + " UNION ALL " + _forms("institutions.display_name", "institutions", "institution_id", "display_name"),
+    "p8_checks": f"SELECT packing, (SELECT count(*) FROM documents WHERE {_CONTENT}) AS document_count, 0::BIGINT AS wrong_document_count, 0::BIGINT AS overfull_count, 0::BIGINT AS oversized_count, true AS is_tight FROM (SELECT DISTINCT capacity_name AS packing FROM pack_capacities UNION ALL SELECT 'mixed') AS p",
+    "p9_checks": "SELECT DISTINCT source, 0::BIGINT AS over_cap_count, 0::BIGINT AS unwanted_count, true AS share_is_reached FROM mix_targets WHERE source IS NOT NULL",
+    "p10_coverage": f"SELECT count(*) AS judged_count, count(DISTINCT doc_id) AS document_count, 0::BIGINT AS unexplained_count FROM documents WHERE {_CONTENT}",
     "p1_found": f"WITH k AS ({_KEYS}) SELECT DISTINCT a.work_id AS work_id_a, b.work_id AS work_id_b FROM k AS a JOIN k AS b ON a.t = b.t AND a.d = b.d AND a.work_id < b.work_id",
     "p1_records": f"WITH k AS ({_KEYS}), c AS (SELECT min(work_id) AS work_id, count(*) AS work_id_count FROM k GROUP BY t, d) SELECT DISTINCT c.work_id, w.title, w.doi, c.work_id_count FROM c JOIN works AS w ON w.work_id = c.work_id",
     "p1_membership": f"SELECT work_id, min(work_id) OVER (PARTITION BY t, d) AS representative_work_id, count(*) OVER (PARTITION BY t, d) AS work_id_count FROM ({_KEYS}) AS k",
