@@ -13,11 +13,18 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
 
+SPACE, LETTER, DIGIT, SIGN, LINE_END, STOP = range(6)
+
+
 @lru_cache(1)
 def kinds() -> np.ndarray:
-    """0 space or control, 1 letter or mark, 2 digit, 3 any other sign, by code point; all beyond U+FFFF are letters."""
-    first = {"L": 1, "M": 1, "N": 2, "Z": 0, "C": 0}
-    return np.array([first.get(unicodedata.category(chr(c))[0], 3) for c in range(1 << 16)], np.uint8)
+    """The kind of each code point; marks are letters, and so is all beyond U+FFFF; a stop ends a sentence."""
+    first = {"L": LETTER, "M": LETTER, "N": DIGIT, "Z": SPACE, "C": SPACE}
+    t = np.full(0x110000, LETTER, np.uint8)
+    t[: 1 << 16] = [first.get(unicodedata.category(chr(c))[0], SIGN) for c in range(1 << 16)]
+    t[[10, 13, 0x2028, 0x2029]] = LINE_END
+    t[[33, 46, 63]] = STOP
+    return t
 
 
 @lru_cache(1)
@@ -53,24 +60,31 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     if not n:
         none = np.zeros(0, np.int64)
         return none.astype(U), none, none, none.astype(bool)
-    kind = kinds()[np.minimum(cp, 0xFFFF)]
-    word = (kind == 1) | (kind == 2)
+    kind = kinds()[cp]
+    word, sign, stop = (kind == LETTER) | (kind == DIGIT), (kind == SIGN) | (kind == STOP), kind == STOP
     up, down = powers()
-    total = np.concatenate(([U(0)], np.cumsum((cp.astype(U) + U(1)) * up[:n], dtype=U)))
-    digits = np.concatenate(([0], np.cumsum(kind == 2)))
-    start = np.flatnonzero((word & ~np.concatenate(([False], word[:-1]))) | (kind == 3))
+    total = np.zeros(n + 1, U)
+    np.cumsum((cp + np.uint32(1)) * up[:n], out=total[1:])
+    digits = np.zeros(n + 1, np.int32)
+    np.cumsum(kind == DIGIT, out=digits[1:])
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    start = np.flatnonzero(begins | sign)
+    ends = word.copy()
+    ends[:-1] &= ~word[1:]
     is_word, end = word[start], start + 1
-    end[is_word] = np.flatnonzero(word & ~np.concatenate((word[1:], [False]))) + 1
+    end[is_word] = np.flatnonzero(ends) + 1
     h = mix((total[end] - total[start]) * down[start])
     number = digits[end] > digits[start]
     h[number] = _NUMBER
-    cut = np.isin(cp, (10, 13, 0x2028, 0x2029))
-    cut[1:] |= np.isin(cp[:-1], (33, 46, 63)) & (kind[1:] == 0)
-    return h, np.cumsum(cut)[start], np.searchsorted(first, start, "right") - 1, is_word & ~number
+    cut = kind == LINE_END
+    cut[1:] |= stop[:-1] & ((kind[1:] == SPACE) | (kind[1:] == LINE_END))
+    passage, text = np.cumsum(cut, dtype=np.int32)[start], np.repeat(np.arange(len(first)), np.diff(np.append(np.searchsorted(start, first), len(start))))
+    return h, passage, text, is_word & ~number
 
 
 def pieces(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
-    """(texts or parts of them, position of each one's text), together at most half a ``PIECE``.
+    """(texts or parts of them, position of each one's text), together at most half a ``PIECE`` and 1,000 of them.
 
     Longer texts are cut at line ends or else spaces; an unbroken run of half a million characters
     is cut where the piece ends. All of every text is in some piece.
@@ -87,7 +101,7 @@ def pieces(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
                 cut = t.rfind("\n", at + 1, end)
                 cut = cut if cut > at else t.rfind(" ", at + 1, end)
                 end = cut if cut > at else end
-            if held and held + end - at > most:
+            if held and (held + end - at > most or len(group) == 1000):
                 yield group, np.array(owner)
                 group, owner, held = [], [], 0
             group.append(t[at:end])
@@ -103,6 +117,11 @@ def text_words(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     out = [np.zeros(0, np.int64)]
     for group, owner in pieces(texts):
         h, _, part, _ = tokens(group)
-        out.append(np.unique((owner[part].astype(np.int64) << bits) | bucket(h, bits)))
-    both = np.unique(np.concatenate(out))
+        seen = np.zeros(len(group) << bits, bool)  # at most 1,000 texts
+        seen[(part << bits) | bucket(h, bits)] = True
+        at = np.flatnonzero(seen)
+        out.append((owner[at >> bits].astype(np.int64) << bits) | (at & ((1 << bits) - 1)))
+    both = np.concatenate(out)
+    if len(both) and (np.diff(both) <= 0).any():  # a text in several pieces
+        both = np.unique(both)
     return both >> bits, both & ((1 << bits) - 1)

@@ -59,7 +59,11 @@ def posteriors(texts: list[str], weights: np.ndarray, priors: np.ndarray) -> np.
     """P(domain | text) of each text; the evidence of its words, which depend on each other, is damped."""
     doc, f = text_words(texts, BITS)
     n = np.bincount(doc, minlength=len(texts))
-    z = np.stack([np.bincount(doc, w[f], len(texts)) for w in weights], 1) / np.maximum(1.0, np.sqrt(n))[:, None] + priors
+    z = np.zeros((len(texts), len(weights)))
+    if len(doc):
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        z[doc[first]] = np.add.reduceat(np.ascontiguousarray(weights.T)[f], first, axis=0)
+    z = z / np.maximum(1.0, np.sqrt(n))[:, None] + priors
     p = np.exp(z - z.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
