@@ -21,7 +21,7 @@ def walk(scratch: Scratch, walks: DataFrame, path: bool) -> DataFrame:
     walk, the open set is closed under these jumps, so none of it can ever reach a stop. A finished
     walk is written once; only open ones go through a round, and the job that writes them counts them.
     """
-    first, before = scratch.write_counted(walks, ~F.col("done"), "walk")
+    first, before = scratch.write_counted(walks.hint("rebalance"), ~F.col("done"), "walk")
     closed, left = first.filter("done"), first.filter("not done")
     while before:
         to = closed.unionByName(left)
@@ -30,7 +30,7 @@ def walk(scratch: Scratch, walks: DataFrame, path: bool) -> DataFrame:
             "node", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done"),
             *([F.concat("path", "_path").alias("path")] if path else []),
         )
-        new, now = scratch.write_counted(opened, ~F.col("done"), "walk")
+        new, now = scratch.write_counted(opened.hint("rebalance"), ~F.col("done"), "walk")  # files of a fair size, one where rows are few
         closed, left = closed.unionByName(new.filter("done")), new.filter("not done")
         if now == before:
             break
