@@ -190,7 +190,7 @@ def test_dense_neighbours_equal_brute_force(spark, sf):
     x = np.stack(pdf["embedding"].to_numpy()).astype(float)
     x /= np.sqrt((x**2).sum(1))[:, None]
     got = {}
-    for r in layers.dense_neighbors(e, k=5, blocks=3).collect():
+    for r in layers.dense_neighbors(e, k=5, block_rows=20, query_rows=3).collect():
         got.setdefault(r.vec_id, []).append((r.neighbor_rank, r.neighbor_id))
     ids = pdf["vec_id"].to_numpy()
     for q in ids[ids % 20 == 0]:
@@ -306,3 +306,41 @@ def test_contracts_and_profiles(spark):
     assert {r.column_name: r.null_count for r in quality.null_profile(df, "t").collect()} == {"k": 1, "v": 0}
     r = {x.work_count: round(x.p, 6) for x in network.percentile_rank(spark.createDataFrame([(1, 5), (1, 5), (1, 9), (1, None)], "g int, work_count int"), ["g"], "work_count", "p").filter("work_count is not null").collect()}
     assert r == {5: 0.25, 9: 1.0}
+
+
+def test_large_views_go_by_joins_with_the_same_result(spark):
+    e = [(y, "broad", "organization", f"I{k:02d}", f"I{k + 1 + k % 2:02d}", 1.0 + k % 3) for y, n in ((2020, 9), (2021, 3)) for k in range(n)]
+    e = spark.createDataFrame(e, "year int, corpus_view string, hierarchy_view string, source_id string, target_id string, fractional_count double")
+    o = spark.createDataFrame([(y, "broad", "organization", f"I{k:02d}") for y in (2020, 2021) for k in range(13)], "year int, corpus_view string, hierarchy_view string, institution_id string")
+    for small, large, value in ((graphs.components, graphs.components_distributed, "component_id"), (graphs.pagerank, graphs.pagerank_distributed, "pagerank")):
+        read = lambda df: {(r.year, r.institution_id): r[value] if isinstance(r[value], str) else round(r[value], 10) for r in df.collect()}  # noqa: B023, E731
+        assert read(graphs.by_size(e, o, small, large, most=5)) == read(small(graphs.graph_rows(e, o)))
+
+
+def test_master_takes_looked_up_records_first(spark):
+    ext = spark.createDataFrame([("I1", None, "b", "DE", None, ["I9"]), ("I2", "r", "x", None, "education", [])], "institution_id string, ror_id string, display_name string, country_code string, institution_type string, lineage array<string>")
+    look = [("I1", "R", "Name", " ", "funder", ["b", "Other", "Name"], ["https://x/I8"], 1.0, 2.0, ["https://x/I3", "I1", None, "bad"], None, [], ["I5"])] * 2
+    cols = "institution_id string, ror_id string, display_name string, country_code string, institution_type string, alternative_names array<string>, lineage array<string>, latitude double, longitude double, parent_ids array<string>, child_ids array<string>, predecessor_ids array<string>, successor_ids array<string>"
+    m = {r.institution_id: r for r in institutions.master(ext, spark.createDataFrame(look, cols)).collect()}
+    a, b = m["I1"], m["I2"]
+    assert (a.display_name, a.country_code, a.institution_type, a.alternative_names, a.lineage) == ("Name", "DE", "funder", ["Other", "b"], ["I8", "I9"])
+    assert (a.parent_ids, a.child_ids, a.successor_ids, a.coordinate_source, a.issues, a.has_lookup) == (["I3"], [], ["I5"], "source", [], True)
+    assert (b.display_name, b.has_lookup, b.latitude, b.issues) == ("x", False, None, ["missing_country_code"])
+    assert institutions.master(ext, spark.createDataFrame([], cols)).filter("has_lookup").count() == 0
+
+
+def test_state_of_a_json_column(spark):
+    rows = [(None, "none"), ("[1", "invalid"), ("[]", "list"), ("{}", "list"), ('"[1]"', "list"), ('"x"', "invalid"), ("7", "other"), ("null", "other"), ('"5"', "other"), ("", "invalid"), ("{}x", "invalid"), ("[NaN]", "invalid")]
+    df = spark.createDataFrame(rows, "j string, want string").withColumn("got", institutions._json_state("j"))
+    assert df.filter("got <> want").collect() == []
+
+
+def test_rewritten_input_is_read_again(spark, tmp_path):
+    from weftline.plans import bundle
+
+    (tmp_path / "works.parquet").mkdir()
+    spark.range(3).write.mode("overwrite").parquet(str(tmp_path / "works.parquet"))
+    a = bundle.Bundle.of(spark, str(tmp_path))
+    assert bundle.Bundle.of(spark, str(tmp_path)) is a
+    spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "works.parquet"))
+    assert bundle.Bundle.of(spark, str(tmp_path)) is not a

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,8 +145,9 @@ def test_orphan_stream_goes_on_after_a_restart(spark, tmp_path):
 def test_late_rows_are_counted(spark, tmp_path):
     src, schema = tmp_path / "events", "ts timestamp, event_type string, value double"
     at = lambda *hours: [(datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h), "a", 1.0) for h in hours]
-    for part in (at(0, 1), at(100), at(101, 2, 3)):
+    for part in (at(0, 1), at(100), at(101), at(102, 2, 3)):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+        time.sleep(1.1)  # files are taken in the order of their times; a watermark holds from the batch after next
     q = incremental.event_windows(incremental.stream_tables(spark, str(src), spark.read.parquet(str(src)).schema)).writeStream.format("memory").outputMode("append").queryName("late").trigger(availableNow=True).start()
     q.awaitTermination(300)
     assert incremental.late_rows(q) >= 1

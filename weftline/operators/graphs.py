@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import random
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from weftline.session import Scratch
 
 _V = "year int, corpus_view string, hierarchy_view string"
 RESOLUTIONS = (0.5, 1.0, 1.5)
+TASK_EDGES = 2_000_000  # edges of a view that one task can hold
 PATH_CUTOFF_NODES, PATH_CUTOFF = 10_000, 3.0
 
 
@@ -92,6 +94,19 @@ def pagerank_distributed(e: DataFrame, nodes: DataFrame, damping: float = 0.85,
     return rank.select(*VIEW, F.col("a").alias("institution_id"), F.col("r").alias("pagerank"))
 
 
+def by_size(e: DataFrame, nodes: DataFrame, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame, DataFrame], DataFrame], most: int = TASK_EDGES) -> DataFrame:
+    """Views of up to ``most`` edges in a task each, larger ones by joins: the same result, whatever the size of a view.
+
+    Only names of large views come to the driver; there are fewer than edges / ``most``.
+    """
+    big = e.groupBy(*VIEW).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).drop("_n")
+    if big.isEmpty():
+        return small(graph_rows(e, nodes))
+    rest = lambda df: df.join(big, VIEW, "left_anti")
+    own = lambda df: df.join(big, VIEW, "left_semi")
+    return small(graph_rows(rest(e), rest(nodes))).unionByName(large(own(e), own(nodes)))
+
+
 def betweenness(g: DataFrame, block: int = 256) -> DataFrame:
     """Betweenness with distance 1 / weight, divided by (n - 1)(n - 2) / 2.
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import csv
+import json
 from importlib.resources import files
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import compact_flags, short_id, sorted_set, union_arrays
+from weftline.operators.corpus import VARIANTS
 from weftline.operators.hierarchy import walk
-from weftline.operators.nested import emit_tagged
+from weftline.operators.nested import emit_tagged, no_constant
 from weftline.session import Scratch
 
 TARGET_REGIONS = ("Europe", "Asia", "Americas")
@@ -62,16 +65,19 @@ def extracted(works: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.StringType())
-def _json_state(s):
-    import json
+def _json_state(s: pd.Series) -> pd.Series:
+    """``none``, ``invalid``, ``list`` (an object counts as a list of one) or ``other``; JSON text in a JSON string is read too.
 
-    def one(t):
+    In Python, since Spark's own parser takes text with something behind the value for valid.
+    """
+
+    def one(t: str | None) -> str:
         if t is None:
             return "none"
         try:
-            v = json.loads(t)
+            v: object = t
             while isinstance(v, str):
-                v = json.loads(v)
+                v = json.loads(v, parse_constant=no_constant)
         except (ValueError, RecursionError):
             return "invalid"
         return "list" if isinstance(v, (list, dict)) else "other"
@@ -100,10 +106,14 @@ def modes(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return best.groupBy(key).agg(*aggs)
 
 
-def master(ext: DataFrame) -> DataFrame:
+def master(ext: DataFrame, lookups: DataFrame | None = None) -> DataFrame:
     """Institution master from extracted mentions: modes, alternative names, lineage, issues.
 
-    An institution none of whose attributes is ever given still has its row.
+    An institution none of whose attributes is ever given still has its row. ``lookups`` (one record
+    an institution, looked up at the source) takes precedence: its name, country, type and registry
+    id where it gives them, and it alone tells coordinates, alternative names beyond the mentions and
+    relationships by kind (``parent_ids``, ``child_ids``, ``predecessor_ids``, ``successor_ids``).
+    Issues are those of the mentions; of a missing attribute that the look-up gives there is none.
     """
     cols = ["ror_id", "display_name", "country_code", "institution_type"]
     sets = ext.groupBy("institution_id").agg(sorted_set("display_name").alias("names"), union_arrays("lineage").alias("lineage"), F.count(F.lit(1)).alias("assertion_work_count"))
@@ -111,7 +121,22 @@ def master(ext: DataFrame) -> DataFrame:
     m = m.withColumns({f"{c}_values": F.coalesce(f"{c}_values", F.lit(0)).cast("long") for c in cols})
     issues = compact_flags(*[x for c in sorted(cols) for x in ((F.col(f"{c}_values") > 1, f"conflicting_{c}"), (F.col(f"{c}_values") == 0, f"missing_{c}"))])
     other = F.filter("names", lambda x: x != F.col("display_name"))
-    return m.select("institution_id", *cols, F.coalesce(other, F.col("names")).alias("alternative_names"), "lineage", "assertion_work_count", F.array_sort(issues).alias("issues"))
+    out = m.select("institution_id", *cols, F.coalesce(other, F.col("names")).alias("alternative_names"), "lineage", "assertion_work_count", F.array_sort(issues).alias("issues"))
+    if lookups is None:
+        return out
+    links, none = ["parent_ids", "child_ids", "predecessor_ids", "successor_ids"], F.array().cast("array<string>")
+    one = lookups.filter("institution_id is not null").dropDuplicates(["institution_id"])
+    look = one.select("institution_id", *[_clean(F.col(c)).alias(f"_{c}") for c in cols], F.coalesce("alternative_names", none).alias("_names"), F.coalesce("lineage", none).alias("_lineage"), "latitude", "longitude", *links, F.lit(True).alias("has_lookup"))
+    j = out.join(look, "institution_id", "left")
+    ids = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(c, none), lambda x: short_id(x, "I")), lambda x: x.isNotNull() & (x != F.col("institution_id")))))
+    j = j.withColumns({c: F.coalesce(f"_{c}", c) for c in cols})
+    names = F.filter(F.array_sort(F.array_distinct(F.concat("alternative_names", F.coalesce("_names", none)))), lambda x: x.isNotNull() & ~x.eqNullSafe(F.col("display_name")))
+    whole = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    given = F.filter("issues", lambda x: ~F.coalesce(F.array_contains(F.array_compact(F.array(*[F.when(F.col(f"_{c}").isNotNull(), F.lit(f"missing_{c}")) for c in cols])), x), F.lit(False)))
+    return j.withColumns({
+        "alternative_names": names, "lineage": F.array_sort(F.array_distinct(F.concat("lineage", F.filter(F.transform(F.coalesce("_lineage", none), lambda x: short_id(x, "I")), lambda x: x.isNotNull())))), "issues": given,
+        "coordinate_source": F.when(whole, "source"), "has_lookup": F.coalesce("has_lookup", F.lit(False)), **{c: ids(c) for c in links},
+    }).drop(*[f"_{c}" for c in cols], "_names", "_lineage")
 
 
 def region_rows() -> list[tuple[str, str, str, str]]:
@@ -241,13 +266,16 @@ def umbrella_candidates(institutions: DataFrame) -> DataFrame:
 
 
 def work_institutions(ext: DataFrame, corpus: DataFrame, inst_geo: DataFrame, views: DataFrame) -> DataFrame:
-    """(work, hierarchy view, institution): both views in one pass; institutions without master row are left out."""
-    keep = ["method_families", "strict_primary", "broad_primary", "strict_preprint_sensitivity", "broad_preprint_sensitivity"]
-    c = corpus.select("work_id", *keep)
+    """(work, hierarchy view, institution): both views in one pass; institutions without master row are left out.
+
+    All nine corpus flags are kept, and the rules by which organizations were joined.
+    """
+    keep = ["method_families", *VARIANTS]
+    c = corpus.select("work_id", "work_type", *keep)
     j = ext.select("work_id", "publication_year", "institution_id", "raw_affiliation_strings", "authorship_count", "assertion_count").join(views, "institution_id").join(c, "work_id")
     g = j.groupBy("work_id", "publication_year", "hierarchy_view", F.col("canonical_institution_id").alias("canonical")).agg(
         sorted_set("institution_id").alias("original_institution_ids"), union_arrays("raw_affiliation_strings").alias("raw_affiliation_strings"), F.sum("authorship_count").alias("authorship_count"), F.sum("assertion_count").alias("assertion_count"),
-        F.bool_or("is_collapsed").alias("any_collapsed"), F.min("method_families").alias("method_families"), *[F.bool_or(k).alias(k) for k in keep[1:]],
+        F.bool_or("is_collapsed").alias("any_collapsed"), F.min("method_families").alias("method_families"), F.min("work_type").alias("work_type"), union_arrays("canonicalization_rule_ids").alias("canonicalization_rule_ids"), *[F.bool_or(k).alias(k) for k in keep[1:]],
     ).withColumnRenamed("canonical", "institution_id")
     i = inst_geo.select("institution_id", "ror_id", "display_name", "normalized_category", "analytical_scope", "is_primary_research_scope", "country_code", "country_name", "macro_region", "subregion", "latitude", "longitude")
     target = F.col("macro_region").isin(*TARGET_REGIONS)

@@ -42,7 +42,7 @@ _SHORT = re.compile(r"[A-Z][0-9]+")
 _NOTHING: list = []
 
 
-def _no_constant(x: str) -> None:
+def no_constant(x: str) -> None:
     raise ValueError(x)
 
 
@@ -51,7 +51,7 @@ def read_array(text: object) -> list:
     v: object = text
     try:
         while isinstance(v, str):
-            v = json.loads(v, parse_constant=_no_constant)
+            v = json.loads(v, parse_constant=no_constant)
     except (ValueError, RecursionError):
         return _NOTHING
     return v if isinstance(v, list) else [v] if isinstance(v, dict) else _NOTHING

@@ -25,6 +25,11 @@ def input_identity(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted(out))
 
 
+def forget() -> None:
+    """Let later queries build their tables anew."""
+    _BUNDLES.clear()
+
+
 class Bundle:
     """Each property is a lazy DataFrame; nothing is computed before a query asks for it.
 
@@ -129,7 +134,11 @@ class Bundle:
 
     @cached_property
     def pagerank(self) -> DataFrame:
-        return self.shared(graphs.pagerank(self.graph), "pagerank")
+        return self.shared(graphs.by_size(self.edges, self.outputs, graphs.pagerank, graphs.pagerank_distributed), "pagerank")
+
+    @cached_property
+    def components(self) -> DataFrame:
+        return self.shared(graphs.by_size(self.edges, self.outputs, graphs.components, graphs.components_distributed), "components")
 
     @cached_property
     def ranked_nodes(self) -> DataFrame:

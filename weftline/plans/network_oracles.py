@@ -108,7 +108,7 @@ STEPS: dict[str, str] = {
         SELECT 'umbrella', origin, arg_max(here, n), arg_max(here, n) <> origin FROM chain GROUP BY origin""",
     "wi": """SELECT g.*, i.display_name, i.country_code, i.country_name, i.macro_region, i.subregion, i.normalized_category, i.analytical_scope, i.latitude, i.longitude, i.macro_region IN ('Europe', 'Asia', 'Americas') AS target,
         i.is_primary_research_scope AND i.macro_region IN ('Europe', 'Asia', 'Americas') AS is_primary_network_scope FROM (SELECT e.work_id, e.publication_year, v.hierarchy_view, v.canonical_institution_id AS institution_id, sum(e.authorship_count)::BIGINT AS authorship_count, sum(e.assertion_count)::BIGINT AS assertion_count,
-        count(DISTINCT e.institution_id)::INTEGER AS contributing_organization_count, bool_or(v.is_collapsed) OR count(DISTINCT e.institution_id) > 1 AS was_collapsed, bool_or(c.strict_primary) AS strict_primary, bool_or(c.broad_primary) AS broad_primary, min(c.method_families) AS method_families, list_sort(list_distinct(flatten(list(e.affs)))) AS affs
+        count(DISTINCT e.institution_id)::INTEGER AS contributing_organization_count, bool_or(v.is_collapsed) OR count(DISTINCT e.institution_id) > 1 AS was_collapsed, min(c.work_type) AS work_type, """ + ", ".join(f"bool_or(c.{v}) AS {v}" for v in VARIANTS) + """, min(c.method_families) AS method_families, list_sort(list_distinct(flatten(list(e.affs)))) AS affs
         FROM ext AS e JOIN corpus AS c USING (work_id) JOIN views AS v ON v.institution_id = e.institution_id GROUP BY ALL) AS g JOIN inst AS i ON i.institution_id = g.institution_id""",
     "mem": """SELECT publication_year AS year, corpus_view, hierarchy_view, work_id, institution_id, country_code, macro_region, subregion, method_families, count(*) OVER (PARTITION BY corpus_view, hierarchy_view, work_id) AS k
         FROM (SELECT *, unnest(['strict', 'broad']) AS corpus_view FROM wi WHERE is_primary_network_scope) AS z WHERE CASE corpus_view WHEN 'strict' THEN strict_primary ELSE broad_primary END""",
@@ -215,7 +215,7 @@ ORACLES: dict[str, str] = {name: sql(text) for name, text in {
     "geo1_geography": "SELECT institution_id, country_code, country_name, macro_region, subregion, geography_issue FROM inst",
     "hie1_views": "SELECT hierarchy_view, institution_id, canonical_institution_id, is_collapsed FROM views",
     "hie3_candidates": f"SELECT i.institution_id, coalesce(c.x, '') AS candidates, coalesce(c.n, 0)::INTEGER AS candidate_count, CASE WHEN c.n IS NULL THEN 'no_candidate' WHEN c.n = 1 THEN 'single_candidate' ELSE 'ambiguous' END AS resolution FROM i0 AS i LEFT JOIN (SELECT institution_id, count(*) AS n, string_agg(cand, ',' ORDER BY cand) AS x FROM (SELECT DISTINCT institution_id, {sid('p', 'I')} AS cand FROM (SELECT institution_id, unnest(list_concat(coalesce(lineage, []), coalesce(parent_ids, []))) AS p FROM institutions) AS z) AS y WHERE cand <> institution_id AND cand IN (SELECT institution_id FROM i0) GROUP BY 1) AS c USING (institution_id)",
-    "wi1_work_institutions": "SELECT work_id, publication_year, hierarchy_view, institution_id, display_name, country_code, macro_region, authorship_count, assertion_count, contributing_organization_count, was_collapsed, strict_primary, broad_primary, is_primary_network_scope FROM wi",
+    "wi1_work_institutions": "SELECT work_id, publication_year, hierarchy_view, institution_id, display_name, country_code, macro_region, authorship_count, assertion_count, contributing_organization_count, was_collapsed, work_type, " + ", ".join(VARIANTS) + ", is_primary_network_scope FROM wi",
     "edg1_pairs": f"SELECT {V}, work_id, source_id, target_id, institution_count, full_weight, {r('fractional_weight')}, is_large_consortium FROM pairs",
     "edg2_diagnostics": f"SELECT {V}, work_id, max(institution_count) AS institution_count, count(*) AS pair_count, round(sum(fractional_weight), 6) AS fractional_sum, (max(institution_count) * (max(institution_count) - 1) // 2)::BIGINT AS expected_pair_count FROM pairs GROUP BY ALL",
     "edg3_edges_year": f"SELECT {E}, full_count, {r('fractional_count')}, distinct_work_count, large_consortium_work_count, maximum_consortium_size, array_to_string(fams, ',') AS families, array_to_string(sample, ',') AS sample, source_country, target_country FROM edges",

@@ -72,7 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _q(make) f
     "hie1_views": lambda b: b.views.select("hierarchy_view", "institution_id", "canonical_institution_id", "is_collapsed"),
     "hie2_rule_problems": lambda b: institutions.rule_problems(b.inst),
     "hie3_candidates": lambda b: institutions.umbrella_candidates(b.raw("institutions")).select("institution_id", F.array_join("candidate_ids", ",").alias("candidates"), "candidate_count", "resolution"),
-    "wi1_work_institutions": lambda b: b.wi.select("work_id", "publication_year", "hierarchy_view", "institution_id", "display_name", "country_code", "macro_region", "authorship_count", "assertion_count", "contributing_organization_count", "was_collapsed", "strict_primary", "broad_primary", "is_primary_network_scope"),
+    "wi1_work_institutions": lambda b: b.wi.select("work_id", "publication_year", "hierarchy_view", "institution_id", "display_name", "country_code", "macro_region", "authorship_count", "assertion_count", "contributing_organization_count", "was_collapsed", "work_type", *corpus.VARIANTS, "is_primary_network_scope"),
     # network tables
     "edg1_pairs": lambda b: b.pairs.select(*VIEW, "work_id", "source_id", "target_id", "institution_count", "full_weight", "fractional_weight", "is_large_consortium"),
     "edg2_diagnostics": lambda b: network.pair_diagnostics(b.pairs).drop("fractional_error"),
@@ -88,7 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _q(make) f
     "met2_pagerank": lambda b: b.pagerank,
     "met2_pagerank_distributed": lambda b: graphs.pagerank_distributed(b.edges, b.outputs),
     "met3_betweenness": lambda b: graphs.betweenness(b.graph),
-    "met5_components": lambda b: graphs.components(b.graph).groupBy(*VIEW, "component_id").agg(F.count(F.lit(1)).alias("size")),
+    "met5_components": lambda b: b.components.groupBy(*VIEW, "component_id").agg(F.count(F.lit(1)).alias("size")),
     "met5_components_distributed": lambda b: graphs.components_distributed(b.edges, b.outputs).groupBy(*VIEW, "component_id").agg(F.count(F.lit(1)).alias("size")),
     "met5_graph": lambda b: _graph_metrics(b),
     "met6_region_assortativity": lambda b: network.assortativity(b.edges, "region"),
@@ -152,7 +152,7 @@ def _graph_metrics(b: Bundle) -> DataFrame:
     n = b.nodes.groupBy(*VIEW).agg(F.count(F.lit(1)).alias("node_count"), F.avg("degree").alias("mean_degree"), F.avg("full_strength").alias("mean_full_strength"), F.avg("fractional_strength").alias("mean_fractional_strength"))
     cross = F.col("source_region") != F.col("target_region")
     e = b.edges.groupBy(*VIEW).agg(F.count(F.lit(1)).alias("edge_count"), F.avg(cross.cast("double")).alias("cross_region_edge_share"), (F.sum(F.when(cross, F.col("fractional_count")).otherwise(0.0)) / F.sum("fractional_count")).alias("cross_region_fractional_weight_share"))
-    c = graphs.components(b.graph).groupBy(*VIEW, "component_id").agg(F.count(F.lit(1)).alias("s")).groupBy(*VIEW).agg(F.count(F.lit(1)).alias("connected_component_count"), F.max("s").alias("largest"))
+    c = b.components.groupBy(*VIEW, "component_id").agg(F.count(F.lit(1)).alias("s")).groupBy(*VIEW).agg(F.count(F.lit(1)).alias("connected_component_count"), F.max("s").alias("largest"))
     j = n.join(e, VIEW, "left").join(c, VIEW).fillna(0, ["edge_count"]).fillna(0.0, ["cross_region_edge_share", "cross_region_fractional_weight_share"])
     k = F.col("node_count")
     return j.withColumns({"density": F.coalesce(2 * F.col("edge_count") / F.nullif((k * (k - 1)).cast("double"), F.lit(0.0)), F.lit(0.0)), "largest_component_share": F.col("largest") / k}).drop("largest")

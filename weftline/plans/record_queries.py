@@ -118,6 +118,8 @@ QUERIES: dict[str, Query] = {name: _q(make) for name, make in {
     "nrm6_raw_reconciliation": lambda b: _reconciled(b),
     "ror1_registry": lambda b: records.registry_records(raw_registry(b)).select("ror_id", "display_name", F.array_join("alternative_names", "|").alias("alternatives"), F.array_join("acronyms", "|").alias("acronyms"), F.array_join("types", "|").alias("types"), "country_code", "latitude", "longitude", F.array_join("parent_ids", "|").alias("parents")),
     "ror2_enriched": lambda b: institutions.enriched(b.inst, _registry(b)).select("institution_id", "registry_status", "coordinate_source", "latitude", "longitude", F.array_join("registry_conflicts", ",").alias("conflicts")),
+    "mst1_lookups": lambda b: institutions.master(b.extracted, b.raw("institutions").filter("length(institution_id) % 2 = 0").withColumn("display_name", F.upper("display_name"))).select(
+        "institution_id", "display_name", "country_code", "has_lookup", "latitude", "longitude", "coordinate_source", F.array_join("parent_ids", ",").alias("parents"), F.array_join("child_ids", ",").alias("children"), F.array_join("issues", ",").alias("issues")),
     "top2_frozen": _frozen,
     "top3_boundary": _boundary,
     "ins3_reconciliation": lambda b: quality.extraction_reconciliation(b.works, b.extracted, institutions.unresolved(b.works)),
@@ -155,6 +157,10 @@ def _base(keys: str) -> str:
     return f"sum(w) OVER (PARTITION BY {V}{keys}, method_family) / sum(w) OVER (PARTITION BY {V}{keys})"
 
 
+def _ids(c: str) -> str:
+    return f"array_to_string(list_sort(list_distinct(list_filter(list_transform({c}, lambda q: {sid('q', 'I')}), lambda q: q IS NOT NULL AND q <> k.institution_id))), ',')"
+
+
 def _failures(*each: tuple[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT '{name}' AS check_name, n AS failures, n = 0 AS passed FROM (SELECT ({expr})::BIGINT AS n) AS c_{name}" for name, expr in each)
 
@@ -172,6 +178,10 @@ ORACLES: dict[str, str] = {
         round(CASE WHEN (latitude IS NULL OR longitude IS NULL) AND r_ror IS NOT NULL THEN (rid % 90)::DOUBLE ELSE latitude END, 6) AS latitude, round(CASE WHEN (latitude IS NULL OR longitude IS NULL) AND r_ror IS NOT NULL THEN (rid % 180)::DOUBLE ELSE longitude END, 6) AS longitude,
         concat_ws(',', CASE WHEN r_ror IS NOT NULL AND rcc <> country_code THEN 'country' END, CASE WHEN r_ror IS NOT NULL AND lower(rname) <> lower(display_name) THEN 'name' END) AS conflicts FROM (SELECT i.*, g.ror AS r_ror, g.rid, g.rname, g.rcc FROM (SELECT *, nullif(regexp_extract(lower(ror_id), '([0-9a-hj-km-np-tv-z]{9})/*$', 1), '') AS ror FROM inst) AS i
         LEFT JOIN (SELECT ror, min(record_id) AS rid, nullif(trim(arg_min(source_display_names[1], record_id)), '') AS rname, arg_min(CASE WHEN regexp_full_match(upper(trim(source_country_codes[1])), '[A-Z]{2}') THEN upper(trim(source_country_codes[1])) ELSE chr(0) END, record_id) AS rcc FROM (SELECT *, regexp_extract(lower(source_ror_ids[1]), '([0-9a-hj-km-np-tv-z]{9})/*$', 1) AS ror FROM institution_records WHERE metadata_source = 'registry_dump') AS q WHERE regexp_full_match(ror, '0[0-9a-hj-km-np-tv-z]{8}') GROUP BY 1) AS g ON g.ror = i.ror) AS z""").replace("AS rcc FROM", "AS rcc FROM").replace("rcc <> country_code", "nullif(rcc, chr(0)) <> country_code"),
+    "mst1_lookups": sql(f"""SELECT m.institution_id, coalesce(nullif(trim(upper(k.display_name)), ''), m.display_name) AS display_name, coalesce(nullif(trim(k.country_code), ''), m.country_code) AS country_code, k.institution_id IS NOT NULL AS has_lookup, round(k.latitude, 6) AS latitude, round(k.longitude, 6) AS longitude, CASE WHEN k.latitude IS NOT NULL AND k.longitude IS NOT NULL THEN 'source' END AS coordinate_source,
+        coalesce({_ids('k.parent_ids')}, '') AS parents, coalesce({_ids('k.child_ids')}, '') AS children, array_to_string(list_filter(m.issues, lambda q: NOT ((q = 'missing_display_name' AND nullif(trim(k.display_name), '') IS NOT NULL) OR (q = 'missing_country_code' AND nullif(trim(k.country_code), '') IS NOT NULL) OR (q = 'missing_institution_type' AND nullif(trim(k.institution_type), '') IS NOT NULL) OR (q = 'missing_ror_id' AND nullif(trim(k.ror_id), '') IS NOT NULL))), ',') AS issues
+        FROM (SELECT i.institution_id, max(z.v) FILTER (WHERE c = 'display_name') AS display_name, max(z.v) FILTER (WHERE c = 'country_code') AS country_code, list_sort(list_concat(coalesce(list('conflicting_' || c) FILTER (WHERE kinds > 1), []), list_transform(list_filter(['country_code', 'display_name', 'institution_type', 'ror_id'], lambda q: NOT list_contains(coalesce(list(c) FILTER (WHERE c IS NOT NULL), []), q)), lambda q: 'missing_' || q))) AS issues
+        FROM (SELECT institution_id, count(*) AS n FROM ext GROUP BY 1) AS i LEFT JOIN mode AS z USING (institution_id) GROUP BY i.institution_id) AS m LEFT JOIN (SELECT DISTINCT ON (institution_id) * FROM institutions WHERE length(institution_id) % 2 = 0) AS k USING (institution_id)"""),
     "top2_frozen": sql(f"SELECT g.topic_id, g.display_name, g.corpus_membership, g.method_family, coalesce(g.corpus_membership = 'strict', false) AS in_strict, coalesce(g.corpus_membership IN ('strict', 'broad_only'), false) AS in_broad, coalesce(s.x, '') AS sample_work_ids FROM topic_registry AS g LEFT JOIN (SELECT topic_id, string_agg(work_id, ',' ORDER BY work_id) AS x FROM ({_FREEZE}) AS f GROUP BY 1) AS s USING (topic_id)"),
     "top3_boundary": sql(f"""SELECT l.*, k.*, CASE WHEN label_count >= 10 THEN 'measured' ELSE 'not_estimated' END AS precision_status, round(CASE WHEN label_count >= 10 THEN relevant_label_count / nullif(included_label_count, 0) END, 6) AS precision, CASE WHEN known_count >= 5 AND known_with_topics = known_count THEN 'measured' ELSE 'not_estimated' END AS recall_status, round(CASE WHEN known_count >= 5 AND known_with_topics = known_count THEN recovered_count / known_count END, 6) AS recall
         FROM (SELECT count(*) FILTER (WHERE label <> 'unsure') AS label_count, count(*) FILTER (WHERE label <> 'unsure' AND corpus_membership IN ('strict', 'broad_only')) AS included_label_count, count(*) FILTER (WHERE label = 'relevant' AND corpus_membership IN ('strict', 'broad_only')) AS relevant_label_count FROM ({_SAMPLE}) AS s) AS l,
