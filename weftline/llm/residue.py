@@ -58,6 +58,7 @@ _SLOT = re.compile(
     r"|\b\w+_PLACEHOLDER\b|%[sd]\b|\b(?:undefined|NaN|null|None|NULL|nil)\b"
 )
 _MAYBE = re.compile(r"[\[{«@]|<[A-Za-z<%]|&lt;|%[sd(%]|\$[A-Za-z_{]|__|XX_|_PLACEHOLDER|goes here|undefined|NaN|null|None|NULL|nil")
+_SIGNS = ("[", "{", "«", "@@", "<", "&lt;", "%", "$", "__", "XX_", "_PLACEHOLDER", "goes here", "undefined", "NaN", "null", "None", "NULL", "nil")  # one of them is in every slot
 _EMPTY = re.compile(r"%[sd]|undefined|NaN|null|None|NULL|nil|\[object Object\]")
 # Trusted slots, for the fit only: spellings that mean nothing else, outside of quotation marks.
 _SURE = re.compile(r"\W*(?:insert|enter|your|rellenar|preencher|à compléter)\b|.*(?:goes here|hier einfügen|to be added|_placeholder)\W*$|\[object object\]$|%%|@@|<%|\{%|<<|&lt;|%\(|XX_", re.I | re.S)
@@ -70,7 +71,10 @@ _EDGES = re.compile(r"[^\w\s]*"), re.compile(r"[^\w\s]*$")
 
 @lru_cache(1)
 def _function_words() -> np.ndarray:
-    return np.concatenate([tokens([w])[0] for w in sorted(FUNCTION_WORDS)])
+    """By 24 bits of a word's hash, whether it is a function word."""
+    t = np.zeros(1 << 24, bool)
+    t[bucket(np.concatenate([tokens([w])[0] for w in sorted(FUNCTION_WORDS)]), 24)] = True
+    return t
 
 
 @dataclass
@@ -118,7 +122,7 @@ def _passages(texts: list[str], owner: np.ndarray) -> tuple:
     whole = mix(np.add.reduceat(h * up[np.arange(len(h)) - first[p]], first))
     same = p[1:] == p[:-1]
     pairs = mix(h[:-1] * U(31) + h[1:] + U(7))[same]
-    words, plain = np.bincount(p, word, n).astype(np.int64), np.bincount(p, np.isin(h, _function_words()) & word, n).astype(np.int64)
+    words, plain = np.bincount(p, word, n).astype(np.int64), np.bincount(p, _function_words()[bucket(h, 24)] & word, n).astype(np.int64)
     long = np.flatnonzero(words >= 8)
     prose = np.where(plain[long] == 0, U(11), np.where(plain[long] * 12 < words[long], U(12), U(13)))
     f = np.concatenate((bucket(h, BITS), bucket(pairs, BITS), bucket(mix(prose), BITS)))
@@ -141,7 +145,7 @@ def slot_features(text: str) -> list[tuple[bool, list[int]]]:
     Features are what stands in it and around it in its passage, its spelling, whether it is quoted,
     and how many such signs and empty values the passage has.
     """
-    if not _MAYBE.search(text):
+    if not any(x in text for x in _SIGNS) or not _MAYBE.search(text):
         return []
     hits = list(_SLOT.finditer(text))
     if not hits:
@@ -201,10 +205,10 @@ def trusted_records(texts: list[str], ps: Passages) -> np.ndarray:
 class Model:
     """Log odds against the whole collection's frequencies: of residue, of content in each language; and priors."""
 
-    words: np.ndarray  # by feature: of residue, then of content in each language
+    words: np.ndarray | None  # by feature: of residue, then of content in each language
     share: np.ndarray
     prior: float
-    slots: np.ndarray
+    slots: np.ndarray | None
     slot_prior: float
 
     def passages(self, size: np.ndarray, f: np.ndarray, notice: float = NOTICE) -> np.ndarray:
@@ -233,11 +237,20 @@ def _posterior(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    return np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(how many numbers each row has, all numbers) of a column of 32-bit numbers as bytes, which Spark moves as they are."""
+    wide = pa.types.is_large_binary(column.type)
+    _, at, data = column.buffers()
+    ends = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.diff(ends) // 4, np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].copy().view(np.int32) if data is not None else np.zeros(0, np.int32)
 
 
-_UNITS = "lang string, sure boolean, size array<int>, f array<int>, slot_sure array<boolean>, slot_size array<int>, slot_f array<int>"
+def _bytes(sizes: np.ndarray, numbers: np.ndarray) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(sizes) * 4)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(numbers, np.int32).tobytes())])
+
+
+_UNITS = "lang string, sure boolean, size binary, f binary, slot_sure binary, slot_size binary, slot_f binary"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,12 +259,13 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = whole.slice(lo, 1000)
             texts = b.column(1).to_pylist()
             ps = passage_features(texts)
-            at = np.concatenate(([0], np.cumsum(np.bincount(ps.doc, minlength=len(texts))))).astype(np.int32)
-            ends = np.concatenate(([0], np.cumsum(ps.size))).astype(np.int32)[at]
+            n = len(texts)
             slots = [slot_features(t) for t in texts]
+            many, found = np.array([len(x) for x in slots], int), [y for x in slots for y in x]
+            each = np.array([len(f) for _, f in found], np.int32)
             cols = [
-                b.column(0), pa.array(trusted_records(texts, ps)), pa.ListArray.from_arrays(at, ps.size.astype(np.int32)), pa.ListArray.from_arrays(ends, ps.f),
-                pa.array([[s for s, _ in x] for x in slots], pa.list_(pa.bool_())), pa.array([[len(f) for _, f in x] for x in slots], pa.list_(pa.int32())), pa.array([[y for _, f in x for y in f] for x in slots], pa.list_(pa.int32())),
+                b.column(0), pa.array(trusted_records(texts, ps)), _bytes(np.bincount(ps.doc, minlength=n), ps.size), _bytes(np.bincount(ps.doc, ps.size, n).astype(int), ps.f),
+                _bytes(many, np.array([x for x, _ in found], np.int32)), _bytes(many, each), _bytes(np.bincount(np.repeat(np.arange(n), many), each, n).astype(int), np.array([x for _, f in found for x in f], np.int32)),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "sure", "size", "f", "slot_sure", "slot_size", "slot_f"])
 
@@ -292,12 +306,12 @@ def fit(docs: DataFrame, scratch: Scratch, fit_docs: int = FIT_DOCS, rounds: int
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((k + 2, BUCKETS))
         for b in batches:
-            lang, own = tongues(b), np.repeat(np.arange(b.num_rows), np.diff(b.column(3).offsets.to_numpy()))
-            f = _lists(b.column(3))[1]
+            lang, (per, f) = tongues(b), _numbers(b.column(3))
+            own = np.repeat(lang, per)
             for j in np.unique(lang):
-                sums[j] += np.bincount(f[lang[own] == j], minlength=BUCKETS)
-            sums[k] += np.bincount(_lists(b.column(6))[1], minlength=BUCKETS)
-            sums[k + 1, : k + 1] += np.append(np.bincount(lang, minlength=k), len(b.column(5).flatten()))
+                sums[j] += np.bincount(f[own == j], minlength=BUCKETS)
+            sums[k] += np.bincount(_numbers(b.column(6))[1], minlength=BUCKETS)
+            sums[k + 1, : k + 1] += np.append(np.bincount(lang, minlength=k), len(_numbers(b.column(5))[1]))
         for j, x in enumerate(sums):
             yield _sparse(j, x)
 
@@ -308,23 +322,27 @@ def fit(docs: DataFrame, scratch: Scratch, fit_docs: int = FIT_DOCS, rounds: int
     model: Model | None = None
     words_open = slots_open = True
     for _ in range(rounds):
-        known = sc.broadcast((model, words_open, slots_open))
+        # a model that stands still is neither sent nor counted any more, nor are its columns read
+        known = sc.broadcast((model and Model(model.words if words_open else None, model.share, model.prior, model.slots if slots_open else None, model.slot_prior), words_open, slots_open))
+        part = units.select("lang", "sure", *(("size", "f") if words_open else ()), *(("slot_sure", "slot_size", "slot_f") if slots_open else ()))
+        part = part if words_open else part.filter("octet_length(slot_f) > 0")
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (m, todo, slots_todo), sums = known.value, np.zeros((k + 2, BUCKETS))
             for b in batches:
                 if slots_todo:
-                    slot_p, slot_size, slot_f = b.column(4).flatten().to_numpy(zero_copy_only=False).astype(float), b.column(5).flatten().to_numpy(zero_copy_only=False), _lists(b.column(6))[1]
+                    slot_p, slot_size, slot_f = _numbers(b.column("slot_sure"))[1].astype(float), _numbers(b.column("slot_size"))[1], _numbers(b.column("slot_f"))[1]
                     if m is not None:
                         slot_p = np.maximum(slot_p, _posterior(m.slot_odds(slot_size, slot_f)))
                     sums[k] += np.bincount(slot_f, np.repeat(slot_p, slot_size), BUCKETS)
                     sums[k + 1, k] += slot_p.sum()
                 if not todo:
                     continue
-                lang, p = tongues(b), b.column(1).to_numpy(zero_copy_only=False).astype(float)
-                per, f = np.diff(b.column(3).offsets.to_numpy()), _lists(b.column(3))[1]
+                lang, p = tongues(b), b.column("sure").to_numpy(zero_copy_only=False).astype(float)
+                per, f = _numbers(b.column("f"))
                 if m is not None:
-                    size, of = b.column(2).flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(b.num_rows), np.diff(b.column(2).offsets.to_numpy()))
+                    many, size = _numbers(b.column("size"))
+                    of = np.repeat(np.arange(b.num_rows), many)
                     p = np.maximum(p, _posterior(m.prior + np.bincount(of, m.passages(size, f, FIT_NOTICE), b.num_rows)))
                 own, weight = np.repeat(lang, per), np.repeat(p, per)
                 some = weight > 1e-9
@@ -335,7 +353,7 @@ def fit(docs: DataFrame, scratch: Scratch, fit_docs: int = FIT_DOCS, rounds: int
             for j, x in enumerate(sums):
                 yield _sparse(j, x)
 
-        got = _gather(units, expect, k + 2)
+        got = _gather(part, expect, k + 2)
         known.unpersist()
         old = model or Model(np.full((BUCKETS, k + 1), np.inf, np.float32), np.full(k, np.inf), math.inf, np.full(BUCKETS, np.inf), math.inf)
         model = Model(old.words, old.share, old.prior, old.slots, old.slot_prior)
