@@ -61,11 +61,6 @@ def test_work_of_a_frequent_key_does_not_grow_with_its_length(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_canonical_json_orders_keys(spark):
-    got = [r[0] for r in spark.createDataFrame([('{"b": 1, "a": [2]}',), ('{"a":[2],"b":1}',), ("{x",), (None,)], "s string").select(radix.canonical_json("s")).collect()]
-    assert got[0] == got[1] == '{"a":[2],"b":1}' and got[2:] == ["{x", None]
-
-
 REC = "record_id long, institution_id string, metadata_source string, openalex_updated_date string, source_display_names array<string>, source_country_codes array<string>, source_institution_types array<string>, source_ror_ids array<string>, field_name string, value int"
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,19 +30,6 @@ def canonical_doi(c: Column | str) -> Column:
     return F.coalesce(canonical_text(bare), F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def canonical_json(s: pd.Series) -> pd.Series:
-    """JSON text with keys in one order and no free white space; text that is not JSON stays as it is."""
-
-    def one(x: str | None) -> str | None:
-        try:
-            return None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"))
-        except (ValueError, RecursionError):
-            return x
-
-    return s.map(one)
-
-
 class Trie:
     """A byte trie with path compression; terminals count records and keep the smallest id."""
 
