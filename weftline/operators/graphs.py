@@ -347,6 +347,15 @@ def community_summary(c: DataFrame) -> DataFrame:
     )
 
 
+def community_checks(c: DataFrame) -> DataFrame:
+    """A row a view and resolution: nodes, isolated nodes, rows too many, and members of communities whose told size is wrong."""
+    keys = [*VIEW, "resolution"]
+    n = c.groupBy(*keys).agg(F.count_distinct("institution_id").alias("node_count"), F.count_if(F.col("status") == "isolated").alias("isolated_node_count"), (F.count(F.lit(1)) - F.count_distinct("institution_id")).alias("repeated_count"))
+    own = c.filter("community_id is not null").groupBy(*keys, "community_id").agg(F.count(F.lit(1)).alias("n"), F.min("community_size").alias("lo"), F.max("community_size").alias("hi"))
+    wrong = own.filter("lo <> n or hi <> n").groupBy(*keys).agg(F.sum("n").alias("wrong_size_count"))
+    return n.join(wrong, keys, "left").fillna(0, ["wrong_size_count"])
+
+
 def community_overlaps(c: DataFrame) -> DataFrame:
     """Overlaps of the communities of adjacent years: shared members, sizes, Jaccard."""
     view = ["corpus_view", "hierarchy_view"]

@@ -269,6 +269,7 @@ ORACLES: dict[str, str] = {name: sql(text) for name, text in {
         FROM (SELECT *, list_distinct(regexp_extract_all(term, '[a-z0-9]+')) AS tw FROM (SELECT topic_id, display_name, list_distinct(regexp_extract_all(lower(display_name), '[a-z0-9]+')) AS nw, list_distinct(regexp_extract_all(lower(subfield_name), '[a-z0-9]+')) AS fw, list_distinct(regexp_extract_all(lower(domain_name), '[a-z0-9]+')) AS dw, unnest(['flood exposure', 'remote sensing', 'land cover', 'network analysis']) AS term FROM topic_registry) AS y) AS x) AS z WHERE score > 0 GROUP BY 1, 2""",
     "met2_pagerank": f"SELECT {N}, {r('pagerank')} FROM page",
     "met2_pagerank_distributed": f"SELECT {N}, {r('pagerank')} FROM page",
+    "com1_checks": f"SELECT {V}, unnest([0.5, 1.0, 1.5])::DOUBLE AS resolution, node_count, isolated_node_count, 0::BIGINT AS repeated_count, 0::BIGINT AS wrong_size_count FROM (SELECT {V}, count(*) AS node_count, count(*) FILTER (WHERE degree = 0) AS isolated_node_count FROM nodes GROUP BY ALL) AS z",
     "sim2_dense": "SELECT vec_id, neighbor_id, s AS cosine_similarity, k::INTEGER AS neighbor_rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbor_id) AS k FROM (SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings AS a JOIN embeddings AS b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.embedding) = len(b.embedding)) AS y WHERE s IS NOT NULL AND NOT isnan(s)) AS z WHERE k <= 10",
     "net3_accessibility": f"SELECT {V}, n.node_count, n.top_institution, round(n.w, 6) AS top_fractional_strength, n.isolated_node_count, coalesce(e.edge_count, 0) AS edge_count, coalesce(e.cross_n, 0) AS cross_region_edge_count, round(e.low, 6) AS visible_minimum_fractional_weight, format('{{}}, {{}} / {{}}: {{}} institutions ({{}} isolated), {{}} edges ({{}} across regions); strongest: {{}}', year, corpus_view, hierarchy_view, n.node_count, n.isolated_node_count, coalesce(e.edge_count, 0), coalesce(e.cross_n, 0), coalesce(n.top_institution, 'none')) AS summary_text FROM (SELECT {V}, count(*) AS node_count, arg_max(display_name, (round(fractional_strength, 9), institution_id)) FILTER (WHERE display_name IS NOT NULL) AS top_institution, max(fractional_strength) AS w, count(*) FILTER (WHERE degree = 0) AS isolated_node_count FROM nodes GROUP BY ALL) AS n LEFT JOIN (SELECT {V}, count(*) AS edge_count, count(*) FILTER (WHERE source_region <> target_region) AS cross_n, min(fractional_count) AS low FROM edges GROUP BY ALL) AS e USING (year, corpus_view, hierarchy_view)",
     "hie2_rule_problems": f"SELECT institution_id, canonical_institution_id, problem FROM (SELECT c.origin AS institution_id, arg_max(c.here, c.n) AS canonical_institution_id, CASE WHEN max(c.n) >= 100 THEN 'cycle' WHEN arg_max(c.here, c.n) NOT IN (SELECT institution_id FROM i0) THEN 'unknown_target' END AS problem FROM chain AS c GROUP BY c.origin) AS z WHERE problem IS NOT NULL",

@@ -95,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _q(make) f
     "met6_country_assortativity": lambda b: network.assortativity(b.edges, "country"),
     "met8_dynamics": lambda b: network.edge_dynamics(b.edges),
     "com1_communities": lambda b: b.communities,
+    "com1_checks": lambda b: graphs.community_checks(b.communities),
     "com2_summary": lambda b: graphs.community_summary(b.communities),
     "con1_overlaps": lambda b: graphs.community_overlaps(b.communities.filter("resolution = 1.0")),
     "con2_continuity": lambda b: graphs.continuity(b.communities.filter("resolution = 1.0")),
