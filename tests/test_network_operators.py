@@ -273,6 +273,27 @@ def test_distributed_pagerank_converges(spark):
     assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-11 for k in a)
 
 
+def test_distributed_pagerank_takes_few_jobs_and_any_blocks(spark):
+    schema = "year int, corpus_view string, hierarchy_view string, source_id string, target_id string, fractional_count double"
+    path = [(2020, "broad", "organization", f"I{k:02d}", f"I{k + 1:02d}", 1.0 + k % 3) for k in range(30)]
+    star = [(2021, "broad", "organization", "I00", f"I{k:02d}", 0.01 * k) for k in range(1, 9)]
+    e = spark.createDataFrame(path + star, schema)
+    nodes = [(y, "broad", "organization", f"I{k:02d}") for y, n in ((2020, 33), (2021, 5), (2022, 2)) for k in range(n)]  # I05 to I08 of 2021 are only in edges, 2022 has none
+    o = spark.createDataFrame(nodes, "year int, corpus_view string, hierarchy_view string, institution_id string")
+    read = lambda df: {(r.year, r.institution_id): r.pagerank for r in df.collect()}
+    want = read(graphs.pagerank(graphs.graph_rows(e, o)))
+    spark.sparkContext.setJobGroup("pagerank", "pagerank")
+    try:
+        got = read(graphs.pagerank_distributed(e, o))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("pagerank"))
+    assert jobs < 100, f"{jobs} jobs"
+    for some in (got, read(graphs.pagerank_distributed(e, o, block=4))):
+        assert set(some) == set(want) and all(abs(some[k] - want[k]) < 1e-12 for k in want)
+    assert read(graphs.pagerank_distributed(e.limit(0), o.filter("year = 2022"))) == {(2022, "I00"): 0.5, (2022, "I01"): 0.5}
+
+
 def test_rule_chains_of_any_length_and_cycles(spark):
     n = 150
     rules = [(f"I{k}", f"I{k + 1}", f"r{k}") for k in range(n)] + [(f"I{n}", None, None), ("I900", "I901", "c0"), ("I901", "I902", "c1"), ("I902", "I901", "c2"), ("I950", "I999", "u")]

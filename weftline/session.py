@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,22 @@ def release(spark: SparkSession) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def put_bytes(uri: str, data: bytes) -> None:
+    """Write a file of the shared folder from a task; a task that runs twice replaces it whole."""
+    fs, path = FileSystem.from_uri(uri)
+    fs.create_dir(path.rpartition("/")[0])
+    part = f"{path}.{uuid.uuid4().hex[:12]}"
+    with fs.open_output_stream(part) as out:
+        out.write(data)
+    fs.move(part, path)
+
+
+def get_bytes(uri: str) -> bytes:
+    fs, path = FileSystem.from_uri(uri)
+    with fs.open_input_stream(path) as f:
+        return f.read()
+
+
 class Scratch:
     """Intermediate tables written once to the shared folder.
 
@@ -96,6 +113,17 @@ class Scratch:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def uri(self) -> str:
+        """The folder as tasks name it in ``put_bytes`` and ``get_bytes``."""
+        fs, p = self._fs(self.root)
+        at = fs.makeQualified(p).toString()
+        return f"file://{at[5:]}" if at.startswith("file:/") and not at.startswith("file://") else at
+
+    def delete(self, name: str) -> None:
+        """Remove what tasks have put under ``name``."""
+        fs, p = self._fs(f"{self.root}/{name}")
+        fs.delete(p, True)
+
     def intact(self) -> bool:
         """Whether every table written so far, and not dropped, is still there."""
         return all(fs.exists(p) for fs, p in map(self._fs, self._paths))
